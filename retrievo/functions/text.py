@@ -43,22 +43,33 @@ def windows(col: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def bm25_tokenize(col: Column) -> Column:
-    """Lower-cased word tokens; runs of ideographs become overlapping pairs.
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    Text without ideographs takes the plain split, so most rows never enter the per-run lambda.
-    """
-    low = F.regexp_replace(F.lower(col), r"[\p{P}\p{S}\s]+", " ")
-    kept = F.trim(F.regexp_replace(
-        low, r"[^\p{L}\p{Nd}\p{IsIdeographic} ]|[\x{10000}-\x{10FFFF}]", ""))
-    words = F.filter(F.split(kept, " +"), lambda t: t != "")
+
+def _runs(low: Column) -> Column:
+    """Tokens of lower-cased text that holds ideographs or characters that vanish without splitting a run."""
+    spaced = F.regexp_replace(low, r"[\p{P}\p{S}\s]+", " ")
+    kept = F.regexp_replace(spaced, r"[^\p{L}\p{Nd}\p{IsIdeographic} ]|[\x{10000}-\x{10FFFF}]", "")
     runs = F.regexp_extract_all(kept, F.lit(r"(\p{IsIdeographic}+|[^\p{IsIdeographic} ]+)"), 1)
-    mixed = F.flatten(F.transform(
+    return F.flatten(F.transform(
         runs,
         lambda r: F.when(r.rlike(r"^\p{IsIdeographic}") & (F.length(r) > 1), windows(r, 2)).otherwise(F.array(r)),
     ))
-    return (F.when(col.isNull(), F.array().cast("array<string>"))
-            .when(kept.rlike(r"\p{IsIdeographic}"), mixed).otherwise(words))
+
+
+def bm25_tokenize(col: Column) -> Column:
+    """Lower-cased word tokens; runs of ideographs become overlapping pairs.
+
+    Text of letters, digits, punctuation and spaces alone takes one split; only other text is cut into runs.
+    """
+    other = r"[^\p{L}\p{Nd}\p{P}\p{S}\s]|\p{IsIdeographic}|[\x{10000}-\x{10FFFF}]"
+    return let(
+        F.lower(F.coalesce(col, F.lit(""))),
+        lambda low: F.when(low.rlike(other), _runs(low))
+        .otherwise(F.array_remove(F.split(low, r"[\p{P}\p{S}\s]+"), "")),
+    )
 
 
 def memory_keywords(col: Column) -> Column:

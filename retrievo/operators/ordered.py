@@ -56,7 +56,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(hist, keys, [value], F.floor(F.col(value) / F.lit(width)), F.col("_n"), "_cum")
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    joined = _match(ranked, totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))  # totals: one row
+    if keys:
+        joined = _match(ranked, totals, keys)
+    else:
+        joined = ranked.withColumn("n", totals.select("n").scalar())
     aggs: list[Column] = []
     for name, p in probs.items():
         if method == "nearest":
