@@ -260,13 +260,13 @@ def replay_report(spark, sf_dir):
 
 def samples(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
-        F.unix_millis("ts").alias("time_stamp"), F.col("value").alias("elapsed"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("time_stamp"), F.col("value").alias("elapsed"),
         (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") == "error", "500").when(
             F.col("event_type") == "signup", "201").otherwise("200").alias("response_code"))
 
 
 @register("load_summary", f"""
-WITH r AS (SELECT value, event_type, epoch_ms(ts) AS t, row_number() OVER (ORDER BY value) AS rn,
+WITH r AS (SELECT value, event_type, epoch_us(ts) // 1000 AS t, row_number() OVER (ORDER BY value) AS rn,
   count(*) OVER () AS n FROM events)
 SELECT count(*) AS sample_count, count(*) FILTER (event_type <> 'error') AS success_count,
   count(*) FILTER (event_type = 'error') AS error_count,

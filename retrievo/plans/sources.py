@@ -169,12 +169,12 @@ SELECT CASE WHEN event_type = 'signup' THEN 'notes-' || ms || '.json' ELSE 'rag-
 
 
 @register("report_history", f"""
-WITH r AS ({_REPORTS} FROM (SELECT *, epoch_ms(ts)::VARCHAR AS ms FROM events)),
+WITH r AS ({_REPORTS} FROM (SELECT *, (epoch_us(ts) // 1000)::VARCHAR AS ms FROM events)),
 n AS (SELECT * FROM r WHERE regexp_matches(file_name, '^rag-evaluation-\\d{{13}}(?:-[0-9a-fA-F-]{{36}})?\\.json$')
   ORDER BY modified_at DESC, file_name LIMIT 50)
 SELECT file_name, modified_at FROM n WHERE json_valid(payload)""")
 def report_history(spark, sf_dir):
-    src = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis("ts").cast("string"))
+    src = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
     reports = spark.sql(_REPORTS + " FROM {src}", src=src)
     return index.report_history(reports, 50).select("file_name", "modified_at")
 
