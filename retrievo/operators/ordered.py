@@ -30,14 +30,14 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     are then summed inside their own bucket, so a task holds one bucket of one key and never the whole key.
     """
     keys = list(keys)
-    rows = df.withColumn("_bucket", bucket).withColumn("_v", value)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*keys, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _match(rows, base, keys + ["_bucket"])
-    return (joined.withColumn(out, F.col("_base") + F.sum("_v").over(inside))
-            .drop("_bucket", "_v", "_base"))
+    rows = df.withColumn("_rt_bucket", bucket).withColumn("_rt_value", value)
+    totals = rows.groupBy(*keys, "_rt_bucket").agg(F.sum("_rt_value").alias("_rt_total"))
+    before = Window.partitionBy(*keys).orderBy("_rt_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*keys, "_rt_bucket", F.coalesce(F.sum("_rt_total").over(before), F.lit(0)).alias("_rt_base"))
+    inside = Window.partitionBy(*keys, "_rt_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = _match(rows, base, keys + ["_rt_bucket"])
+    return (joined.withColumn(out, F.col("_rt_base") + F.sum("_rt_value").over(inside))
+            .drop("_rt_bucket", "_rt_value", "_rt_base"))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str) -> DataFrame:

@@ -149,17 +149,13 @@ ctx AS (SELECT q.query_id, q.query, route_type, route_reason, coalesce(rq, q.que
 
 
 def resolve(spark, sf_dir):
-    """Retrieval over one staged index: later rounds ask only for keywords of the first."""
-    asks, docs = questions(spark, sf_dir), corpus(spark, sf_dir)
-    words = adaptive.rewrite(adaptive.route(asks, LANGUAGE), LANGUAGE, limit=1000).select(
-        "query_id", F.col("rewritten_query").alias("query"))
-    index = lexical.bm25_index(docs, vocabulary=lexical.query_terms(words))
+    docs = corpus(spark, sf_dir)
 
     def retriever(queries):
-        hits = lexical.bm25_search(index, queries, TOP_K)
+        hits = lexical.bm25_top(docs, queries, TOP_K)
         return hits.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
 
-    return adaptive.adaptive_rag(asks, retriever, LANGUAGE, 2, THRESHOLD, MULTI_THRESHOLD)
+    return adaptive.adaptive_rag(questions(spark, sf_dir), retriever, LANGUAGE, 2, THRESHOLD, MULTI_THRESHOLD)
 
 
 @register("verify_evidence", f"""
