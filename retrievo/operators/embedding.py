@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from retrievo.functions.text import bm25_tokenize
 
@@ -16,24 +16,28 @@ def term_bucket(term: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
 
-def hashed_embedding(col: Column, dim: int = 64) -> Column:
-    """Unit vector of log(1 + count) per hashed term; null for text without terms."""
+def hashed_embedding(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = 64) -> DataFrame:
+    """Add the unit vector of log(1 + count) per hashed term; null for text without terms.
 
-    @F.pandas_udf("array<float>")
-    def weigh(buckets: pd.Series) -> pd.Series:
-        def one(b):
-            if b is None or len(b) == 0:
-                return None
-            w = np.log1p(np.bincount(np.asarray(b), minlength=dim))
-            return (w / np.sqrt((w * w).sum())).astype(np.float32)
-
-        return buckets.map(one)
-
-    return weigh(_buckets(col, dim))
+    The default embedder: like any other it takes a table and returns it with one more column.
+    """
+    hashed = df.withColumn("_buckets", F.transform(bm25_tokenize(F.col(text)), lambda t: term_bucket(t, dim)))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            n = len(lists)
+            lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+            cell = np.repeat(np.arange(n), lengths) * dim + np.asarray(lists.flatten(), dtype=np.int64)
+            weights = np.log1p(np.bincount(cell, minlength=n * dim)).reshape(n, dim)
+            size = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
+            unit = np.divide(weights, size, out=np.zeros_like(weights), where=size > 0).astype(np.float32)
+            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()), mask=pa.array(lengths == 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=[*batch.schema.names[:-1], out])
 
-def _buckets(col: Column, dim: int) -> Column:
-    return F.transform(bm25_tokenize(col), lambda t: term_bucket(t, dim))
+    return hashed.mapInArrow(weigh, schema)
 
 
 def hashed_weights(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
@@ -45,14 +49,13 @@ def hashed_weights(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return counts.join(norms, "doc_id").select("doc_id", "bucket", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def dedupe_embed(df: DataFrame, embed: Callable[[Column], Column], text: str = "text",
-                 out: str = "embedding") -> DataFrame:
+def dedupe_embed(df: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] = hashed_embedding,
+                 text: str = "text", out: str = "embedding") -> DataFrame:
     """Embed each distinct text once and attach the vector to every row that holds the text.
 
     Rows meet their vector by the text's hash. The distinct side has one row per hash, so a text that fills a third of
     the table is split by the adaptive skew join.
     """
     keyed = df.withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
-    once = (keyed.dropDuplicates(["_key"]).select("_key", F.col(text).alias("_text"))
-            .select("_key", embed(F.col("_text")).alias(out)))
-    return keyed.join(once, "_key", "left").drop("_key")
+    once = embed(keyed.dropDuplicates(["_key"]).select("_key", F.col(text).alias("_text")), "_text", out)
+    return keyed.join(once.drop("_text"), "_key", "left").drop("_key")

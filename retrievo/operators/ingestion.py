@@ -40,7 +40,7 @@ def ingest_documents(docs: DataFrame, embed=None, size: int = CHUNK_SIZE, overla
     rows = cut.select("doc_id", "file_name", F.size("_chunks").alias("total_chunks"),
                       F.posexplode("_chunks").alias("chunk_index", "content")).withColumn(
         "char_count", F.length("content"))
-    return (rows if embed is None else rows.withColumn("embedding", embed(F.col("content")))), status
+    return (rows if embed is None else embed(rows, "content", "embedding")), status
 
 
 def category_of(file_name: Column) -> Column:

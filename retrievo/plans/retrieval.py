@@ -188,7 +188,7 @@ FROM (SELECT doc_id, sha256(text) AS text_key FROM documents)""")
 def embed_dedupe(spark, sf_dir):
     """Each distinct text is embedded once and the vector is joined back to all its copies."""
     docs = corpus(spark, sf_dir)
-    out = embedding.dedupe_embed(docs, embedding.hashed_embedding)
+    out = embedding.dedupe_embed(docs)
     keyed = out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_key"),
                        F.col("embedding").isNotNull().alias("has_vector"))
     copies = keyed.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
