@@ -123,7 +123,7 @@ def verify(rewritten: DataFrame, chunks: DataFrame, threshold: float = VERIFY_TH
     share = F.size("_hit") / F.col("_n") + F.least(F.lit(0.1), F.greatest("score", F.lit(0.0)) * 0.05)
     summed = each.groupBy("query_id").agg(  # at most top_k chunks per question
         F.count(F.lit(1)).alias("relevant_chunks"), F.sum(share).alias("_sum"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_hit"))),
+        F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_hit"))),
                                                lambda x: x["_hit"]))).alias("matched"))
     out = rewritten.join(summed, "query_id", "left").withColumn(
         "matched", F.coalesce("matched", literal_array([]))).withColumn(
@@ -171,7 +171,7 @@ def adaptive_rag(questions: DataFrame, retriever: Callable[[DataFrame], DataFram
         asked = stage(rewrite(todo, language), "rewritten")
         hits = stage(_with_columns(retriever(asked.select("query_id", F.col("rewritten_query").alias("query")))), "hits")
         checked = verify(asked, hits, threshold, multi_threshold)
-        listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
             "rank", *[c for c in _CHUNK if c != "rank"], "content"))).alias("chunks"))  # top_k rows per question
         last = number == max(1, max_rounds)
         high = F.col("verification_level") == "HIGH"

@@ -34,7 +34,7 @@ def recent_window(messages: DataFrame, n: int = WINDOW) -> DataFrame:
     last = top_k(messages, ["conv_id"], [F.desc("turn")], n)
     return last.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_messages"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", _line().alias("line")))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", _line().alias("line")))),
                                  lambda x: x["line"]), "\n").alias("history"))
 
 
@@ -45,7 +45,7 @@ def summary_segments(messages: DataFrame, every: int = SUMMARY_EVERY, bucket_tur
     rows = numbered.groupBy("conv_id", segment.alias("round")).agg(
         F.count(F.lit(1)).alias("_n"), F.collect_list(F.struct("position", _line().alias("line"))).alias("_lines"))
     return rows.filter(F.col("_n") == every).select(
-        "conv_id", "round", F.array_join(F.transform(F.array_sort("_lines"), lambda x: x["line"]), "\n")
+        "conv_id", "round", F.array_join(F.transform(F.sort_array("_lines"), lambda x: x["line"]), "\n")
         .alias("conversation"))
 
 
@@ -82,7 +82,7 @@ def recall_summaries(summaries: DataFrame, questions: DataFrame, k: int = RECALL
     enough = best.filter(F.col("score") >= F.when(F.col("has_vector"), min_similarity).otherwise(1.0))
     return enough.groupBy("question_id", "conv_id").agg(
         F.count(F.lit(1)).alias("n_recalled"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "summary"))), lambda x: x["summary"]),
                      SUMMARY_SEPARATOR).alias("recalled"))
 
 
@@ -111,84 +111,95 @@ def semantic_lookup(entries: DataFrame, questions: DataFrame, threshold: float =
                     (F.coalesce("score", F.lit(0.0)) >= threshold).alias("hit")))
 
 
-_FLAGS = pa.schema([("request_id", pa.int64()), ("near_stored", pa.bool_()), ("near_open", pa.bool_())])
+_NEAR = pa.schema([("key", pa.string()), ("covered", pa.float64()), ("waits", pa.bool_())])
 
 
-def _near(open_rows: DataFrame, others: DataFrame, threshold: float, ttl_seconds: float, block_rows: int,
-          dim: int) -> DataFrame:
-    """Per open request: whether an earlier stored, and an earlier open request within the TTL is similar enough.
+def _near(heads: DataFrame, stored: DataFrame | None, threshold: float, block_rows: int, dim: int) -> DataFrame:
+    """Per open question: the latest similar stored time, and whether a similar question has an earlier open request.
 
-    Time is cut into spans of one TTL, so a request meets only its own span and the one before; busy spans are cut into
-    blocks. A block reports two flags per request and never the pairs.
+    Both tables have one row per distinct question (key, at, id, embedding). They are cut into blocks; a block reports
+    one row per question and never the pairs.
     """
-    span = lambda c: F.floor(F.col(c) / F.lit(ttl_seconds)).cast("long")
-    left = open_rows.withColumn("_span", span("at"))
-    # new names for the same columns: both sides may be one table
-    right = others.select(*[F.col(c).alias(c) for c in others.columns]).withColumn("_span", F.explode(F.array(span("at"), span("at") + 1)))
-    sizes = stage(left.select("_span", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select("_span", F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy("_span").agg(
-        F.greatest(F.ceil(F.sum("l") / F.lit(block_rows)), F.lit(1)).cast("long").alias("_ln"),
-        F.greatest(F.ceil(F.sum("r") / F.lit(block_rows)), F.lit(1)).cast("long").alias("_rn")), "spans")
-    cut = lambda df, mine, other, a, b: (
-        df.join(sizes, "_span").withColumn(a, F.pmod(F.xxhash64("request_id"), F.col(mine)))
-        .withColumn(b, F.explode(F.expr(f"sequence(0L, {other} - 1)"))).drop("_ln", "_rn"))
-    left, right = cut(left, "_ln", "_rn", "_lb", "_rb"), cut(right, "_rn", "_ln", "_rb", "_lb")
+    others = heads.withColumn("stored", F.lit(False))
+    if stored is not None:
+        others = others.unionByName(stored.withColumn("stored", F.lit(True)))
+    blocks = max(1, -(-others.count() // block_rows))
+    cut = lambda df, mine, theirs: df.select(*[F.col(c).alias(c) for c in df.columns]).withColumn(
+        mine, F.pmod(F.xxhash64("key"), F.lit(blocks))).withColumn(
+        theirs, F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    left, right = cut(heads, "_l", "_r"), cut(others, "_r", "_l")
 
     def block(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if len(mine) == 0 or len(theirs) == 0:
-            return _FLAGS.empty_table()
-        ids, rows = _matrix(mine["request_id"], mine["embedding"], dim)
-        other_ids, other_rows = _matrix(theirs["request_id"], theirs["embedding"], dim)
-        at, other_at = np.asarray(mine["at"]), np.asarray(theirs["at"])
-        stored = np.asarray(theirs["stored"])
-        flags = np.zeros((len(ids), 2), bool)
-        for start in range(0, len(ids), 1024):
+            return _NEAR.empty_table()
+        places, rows = _matrix(pa.array(np.arange(len(mine))), mine["embedding"], dim)
+        other_places, other_rows = _matrix(pa.array(np.arange(len(theirs))), theirs["embedding"], dim)
+        at, ids = np.asarray(mine["at"])[places], np.asarray(mine["id"])[places]
+        other_at, other_ids = np.asarray(theirs["at"])[other_places], np.asarray(theirs["id"])[other_places]
+        kept = np.asarray(theirs["stored"])[other_places]
+        covered, waits = np.full(len(places), -np.inf), np.zeros(len(places), bool)
+        for start in range(0, len(places), 1024):
             part = slice(start, start + 1024)
             similar = np.round(rows[part] @ other_rows.T, SCORE_DIGITS) >= threshold
-            gap = at[part, None] - other_at[None, :]
-            earlier = (gap > 0) | ((gap == 0) & (other_ids[None, :] < ids[part, None]))
-            found = similar & earlier & (gap < ttl_seconds)
-            flags[part, 0] = (found & stored[None, :]).any(axis=1)
-            flags[part, 1] = (found & ~stored[None, :]).any(axis=1)
-        return pa.table([pa.array(ids), pa.array(flags[:, 0]), pa.array(flags[:, 1])], schema=_FLAGS)
+            earlier = (other_at[None, :] < at[part, None]) | (
+                (other_at[None, :] == at[part, None]) & (other_ids[None, :] < ids[part, None]))
+            found = similar & earlier
+            covered[part] = np.where(found & kept[None, :], other_at[None, :], -np.inf).max(axis=1, initial=-np.inf)
+            waits[part] = (found & ~kept[None, :]).any(axis=1)
+        keys = mine["key"].combine_chunks().take(pa.array(places))
+        return pa.table([keys, pa.array(covered), pa.array(waits)], schema=_NEAR)
 
-    keys = ["_span", "_lb", "_rb"]
-    flags = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        block, "request_id long, near_stored boolean, near_open boolean")
-    return flags.groupBy("request_id").agg(F.max("near_stored").alias("near_stored"),
-                                           F.max("near_open").alias("near_open"))
+    flags = left.groupBy("_l", "_r").cogroup(right.groupBy("_l", "_r")).applyInArrow(
+        block, "key string, covered double, waits boolean")
+    return flags.groupBy("key").agg(F.max("covered").alias("covered"), F.max("waits").alias("waits"))
 
 
 def semantic_replay(log: DataFrame, threshold: float = CACHE_THRESHOLD, ttl_seconds: float = 86_400.0,
-                    block_rows: int = 4_096) -> DataFrame:
+                    block_rows: int = 8_192) -> DataFrame:
     """Replay a request log (request_id, ts, embedding) against an empty cache: request_id, hit.
 
     In arrival order a request hits when a stored request of the last ``ttl_seconds`` is similar enough; a miss is
-    stored, a hit is not. Each round settles every request whose outcome no longer depends on an open one: it hits once
-    a stored neighbour is known, and misses when no earlier neighbour is open. Rounds are written to the staging folder,
-    and there are as many as the longest chain of requests that wait for each other.
+    stored, a hit is not. Requests with the same vector form one question. Each round looks at the earliest open request
+    of every question: with a similar stored request that still lives, all requests of the question up to its expiry
+    hit; else, unless a similar question has an earlier open request, it misses and is stored. Similar questions thus
+    move on in time order, and the vectors compared are those of distinct questions. Rounds are staged tables, and their
+    number follows the log's span over the TTL and the longest chain of questions that wait for each other.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    todo = stage(log.select(F.col("request_id").cast("long"), at.alias("at"), "embedding")
-                 .withColumn("stored", F.lit(False)), "replay_open")
-    size = todo.agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    dim, left = size["d"] or 0, size["n"]
-    kept, done = None, []
-    while left:
-        others = todo if kept is None else todo.unionByName(kept)
-        flags = _near(todo, others, threshold, ttl_seconds, block_rows, dim)
-        judged = stage(todo.join(flags, "request_id", "left").withColumn(
-            "hit", F.when(F.col("near_stored"), True).when(~F.coalesce("near_open", F.lit(False)), False))
-            .drop("near_stored", "near_open"), "replay_round")
-        done.append(judged.filter(F.col("hit").isNotNull()).select("request_id", "hit"))
-        new = judged.filter("hit = false").drop("hit").withColumn("stored", F.lit(True))
-        kept = new if kept is None else kept.unionByName(new)
-        todo = judged.filter(F.col("hit").isNull()).drop("hit")
-        left = todo.count()
-    out = done[0] if done else todo.select("request_id", F.lit(False).alias("hit"))
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    key = F.md5(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary"))
+    rows = log.select(F.col("request_id").cast("long").alias("id"), at.alias("at"), key.alias("key"), "embedding")
+    todo = stage(rows.select("id", "at", "key"), "replay_open")
+    vectors = stage(rows.dropDuplicates(["key"]).select("key", "embedding"), "replay_vectors")
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    stored, done = None, None
+    while True:
+        heads = stage(todo.groupBy("key").agg(F.min(F.struct("at", "id")).alias("_h")).select(
+            "key", "_h.at", "_h.id").join(vectors, "key"), "replay_heads")
+        if heads.isEmpty():
+            break
+        judged = heads.select("key", "at", "id").join(
+            _near(heads, stored, threshold, block_rows, dim), "key", "left").select(
+            "key", F.col("at").alias("head_at"), F.col("id").alias("head"),
+            (F.coalesce("covered", F.lit(float("-inf"))) + ttl_seconds).alias("until"),
+            F.coalesce("waits", F.lit(False)).alias("waits"))
+        hits = F.col("head_at") < F.col("until")
+        judged = stage(judged.withColumn("outcome", F.when(F.col("waits"), "wait").when(hits, "hit").otherwise("miss")),
+                       "replay_judged")
+        new = judged.filter("outcome = 'miss'").select("key", F.col("head_at").alias("at"), F.col("head").alias("id"))
+        latest = new.join(vectors, "key")
+        # similar questions move in time order, so only a question's newest stored request can still cover others
+        stored = stage(latest if stored is None else latest.unionByName(
+            stored.join(new.select("key"), "key", "left_anti")), "replay_stored")
+        moved = todo.join(judged, "key").withColumn(
+            "hit", F.when(F.col("outcome") == "wait", F.lit(None))
+            .when(F.col("outcome") == "hit", F.when(F.col("at") < F.col("until"), True))
+            .otherwise(F.when(F.col("id") == F.col("head"), False)
+                       .when(F.col("at") < F.col("head_at") + ttl_seconds, True)))
+        moved = stage(moved.select("id", "at", "key", "hit"), "replay_round")
+        part = moved.filter(F.col("hit").isNotNull()).select(F.col("id").alias("request_id"), "hit")
+        done = part if done is None else done.unionByName(part)
+        todo = moved.filter(F.col("hit").isNull()).select("id", "at", "key")
+    return done if done is not None else todo.select(F.col("id").alias("request_id"), F.lit(False).alias("hit"))
 
 
 def live_entries(entries: DataFrame, now, ttl_seconds: dict[str, int], kind: str = "kind") -> DataFrame:

@@ -118,45 +118,61 @@ def bucketed(df: DataFrame, window_s: int) -> DataFrame:
         "retry_after", F.greatest(F.lit(1), window_s - _epoch() % window_s))
 
 
-def rate_limit(df: DataFrame, identity: str, limit: int = 30, window_s: int = 60, request: str = "event_id"
-               ) -> DataFrame:
+def _with_prior(df: DataFrame, keys: Sequence[str], prior: DataFrame | None) -> DataFrame:
+    """Add the requests ``_n`` and tokens ``_used0`` that earlier batches counted for the same identity and bucket."""
+    if prior is None:
+        return df.withColumn("_n", F.lit(0)).withColumn("_used0", F.lit(0))
+    return (df.join(prior.select(*keys, "n", "used"), list(keys), "left")
+            .withColumn("_n", F.coalesce("n", F.lit(0))).withColumn("_used0", F.coalesce("used", F.lit(0)))
+            .drop("n", "used"))
+
+
+def rate_limit(df: DataFrame, identity: str, limit: int = 30, window_s: int = 60, request: str = "event_id",
+               prior: DataFrame | None = None) -> DataFrame:
     """Add ``allowed`` and ``retry_after``: the first ``limit`` requests of an identity per bucket pass.
 
     The last passing request of each bucket is found with a bounded top-k and joined back, so a bucket full of requests
-    is never ordered in one task.
+    is never ordered in one task. ``prior`` (identity, bucket, n, used) holds the counts of earlier batches.
     """
     marked = bucketed(df, window_s)
     keys = [identity, "bucket"]
-    first = top_k(marked.select(*keys, "ts", request), keys, [F.asc("ts"), F.asc(request)], limit)
-    cut = first.groupBy(*keys).agg(F.max(F.struct("ts", request)).alias("_last"))
-    return marked.join(cut, keys).withColumn(
-        "allowed", F.struct("ts", request) <= F.col("_last")).withColumn(
+    first = _with_prior(top_k(marked.select(*keys, "ts", request), keys, [F.asc("ts"), F.asc(request)], limit),
+                        keys, prior)
+    cut = first.filter(F.col("rank") + F.col("_n") <= limit).groupBy(*keys).agg(
+        F.max(F.struct("ts", request)).alias("_last"))
+    return marked.join(cut, keys, "left").withColumn(
+        "allowed", F.coalesce(F.struct("ts", request) <= F.col("_last"), F.lit(False))).withColumn(
         "retry_after", F.when(~F.col("allowed"), F.col("retry_after"))).drop("_last")
 
 
+def request_tokens(text_length: Column, rate_per_char: float = 1.0, overhead: int = 256) -> Column:
+    return F.lit(max(1, overhead)) + F.ceil(text_length * F.lit(max(rate_per_char, 0.01)))
+
+
 def token_budget(df: DataFrame, identity: str, text_length: Column, per_min: int = 12_000, per_request: int = 4_000,
                  max_chars: int = 12_000, requests: int = 30, window_s: int = 60, rate_per_char: float = 1.0,
-                 overhead: int = 256, request: str = "event_id") -> DataFrame:
-    """Add ``decision``: the first check that rejects a request, or ``allowed``.
+                 overhead: int = 256, request: str = "event_id", prior: DataFrame | None = None) -> DataFrame:
+    """Add bucket, tokens, retry_after and ``decision``: the first check that rejects a request, or ``allowed``.
 
     Order: input length, request rate, tokens of the request, tokens of the identity in the bucket. Rejected requests
     count towards the rate, and those that reach the last check use budget even when they fail it. Each request costs
     at least ``overhead`` tokens, so at most ``per_min / overhead`` requests of a bucket can pass the last check and
     only that many are ordered.
     """
-    tokens = F.lit(max(1, overhead)) + F.ceil(text_length * F.lit(max(rate_per_char, 0.01)))
-    sized = df.withColumn("_chars", text_length).withColumn("tokens", tokens)
+    sized = df.withColumn("_chars", text_length).withColumn("tokens", request_tokens(
+        F.col("_chars"), rate_per_char, overhead))
     too_long = sized.filter(F.col("_chars") > max_chars)
-    limited = rate_limit(sized.filter(F.col("_chars") <= max_chars), identity, requests, window_s, request)
+    limited = rate_limit(sized.filter(F.col("_chars") <= max_chars), identity, requests, window_s, request, prior)
     costly = limited.filter("allowed").filter(F.col("tokens") > per_request)
     last = limited.filter("allowed").filter(F.col("tokens") <= per_request)
     keys = [identity, "bucket"]
     reach = per_min // (max(1, overhead)) + 1
-    first = top_k(last.select(*keys, "ts", request, "tokens"), keys, [F.asc("ts"), F.asc(request)], reach)
+    first = _with_prior(top_k(last.select(*keys, "ts", request, "tokens"), keys, [F.asc("ts"), F.asc(request)], reach),
+                        keys, prior)
     used = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("rank"))  # at most ``reach`` rows per bucket
-    passing = first.withColumn("_used", used).filter(F.col("_used") <= per_min).select(
+    passing = first.withColumn("_used", used + F.col("_used0")).filter(F.col("_used") <= per_min).select(
         *keys, F.col(request), F.lit(True).alias("_pass"))
-    keep = [*df.columns, "tokens"]
+    keep = [*df.columns, "bucket", "retry_after", "tokens", "decision"]
     decided = last.join(passing, [*keys, request], "left").withColumn(
         "decision", F.when(F.col("_pass"), "allowed").otherwise("cost_budget_exceeded"))
     parts = [
@@ -165,7 +181,17 @@ def token_budget(df: DataFrame, identity: str, text_length: Column, per_min: int
         costly.withColumn("decision", F.lit("request_cost_limit_exceeded")),
         decided,
     ]
-    out = parts[0].select(*keep, "decision")
+    out = parts[0].select(*keep)
     for p in parts[1:]:
-        out = out.unionByName(p.select(*keep, "decision"))
+        out = out.unionByName(p.select(*keep))
     return out
+
+
+def quota_counters(decided: DataFrame, identity: str, prior: DataFrame | None = None) -> DataFrame:
+    """identity, bucket, n, used after the decided requests: what a following batch needs as ``prior``."""
+    keys = [identity, "bucket"]
+    spends = F.col("decision").isin("allowed", "cost_budget_exceeded")
+    counts = decided.filter("decision <> 'request_too_large'").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(spends, F.col("tokens")).otherwise(0)).alias("used"))
+    both = counts if prior is None else counts.unionByName(prior.select(*keys, "n", "used"))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("used").alias("used"))

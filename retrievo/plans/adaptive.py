@@ -167,7 +167,7 @@ def verify_evidence(spark, sf_dir):
     return traces.select(
         "query_id", "round", "rewritten_query", F.array_join("keywords", "|").alias("keywords"), "verification_level",
         F.round("verification_score", 6).alias("verification_score"),
-        F.array_join(F.array_sort("matched"), "|").alias("matched"), F.array_join("missing", "|").alias("missing"),
+        F.array_join(F.sort_array("matched"), "|").alias("matched"), F.array_join("missing", "|").alias("missing"),
         "verification_reason", "terminal")
 
 

@@ -47,21 +47,22 @@ def stream_error_ratio(spark, sf_dir):
     return out.select(F.col("at").cast("timestamp_ntz").alias("at"), F.round("ratio", 9).alias("ratio"))
 
 
+def _decided(spark, sf_dir, **limits):
+    path = new_stage_path(spark, "quotas")
+    quotas.run_quotas(event_stream(spark, sf_dir), path, f"{path}/checkpoint", "user_id", window_s=WINDOW_S, **limits)
+    return spark.read.parquet(f"{path}/decisions")
+
+
 @register("stream_rate_limit", SQL["rate_limit_replay"])
 def stream_rate_limit(spark, sf_dir):
-    out = _drained(spark, quotas.quota_stream(event_stream(spark, sf_dir), "user_id", limit=LIMIT, window_s=WINDOW_S),
-                   "append")
-    allowed = F.col("decision") == "allowed"
-    return out.select(F.col("request_id").alias("event_id"), F.col("identity").alias("user_id"), "bucket",
-                      allowed.alias("allowed"), F.when(~allowed, F.col("retry_after")).alias("retry_after"))
+    out = _decided(spark, sf_dir, limit=LIMIT)
+    return out.select("event_id", "user_id", "bucket", (F.col("decision") == "allowed").alias("allowed"), "retry_after")
 
 
 @register("stream_token_budget", SQL["token_budget_replay"])
 def stream_token_budget(spark, sf_dir):
-    out = _drained(spark, quotas.quota_stream(
-        event_stream(spark, sf_dir), "user_id", text_length=F.ceil(F.col("value") * 40), limit=3, window_s=WINDOW_S,
-        per_min=4_500), "append")
-    return out.select(F.col("request_id").alias("event_id"), "tokens", "decision")
+    out = _decided(spark, sf_dir, text_length=F.ceil(F.col("value") * 40), limit=3, per_min=4_500)
+    return out.select("event_id", "tokens", "decision")
 
 
 @register("stream_import", SQL["import_counts"])

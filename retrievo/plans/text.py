@@ -60,7 +60,7 @@ kw AS (SELECT conv_id, turn, p AS k FROM parts WHERE length(p) >= 2
 SELECT conv_id, turn, count(k) AS n, md5(string_agg(k, '|' ORDER BY k COLLATE "C")) AS keywords_md5
 FROM kw GROUP BY conv_id, turn""".replace(' COLLATE "C"', ""))
 def memory_keywords(spark, sf_dir):
-    kw = F.array_sort(text.memory_keywords(F.col("text")))
+    kw = F.sort_array(text.memory_keywords(F.col("text")))
     return (table(spark, sf_dir, "conversations").select("conv_id", "turn", kw.alias("kw"))
             .filter(F.size("kw") > 0)
             .select("conv_id", "turn", F.size("kw").cast("long").alias("n"),

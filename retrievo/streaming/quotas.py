@@ -1,60 +1,46 @@
-"""Request quotas over a stream: counters per identity and time bucket as keyed state."""
+"""Request quotas over a stream.
 
-from __future__ import annotations
+Each micro-batch is decided with the batch operator plus the counters of the open buckets. The counters are a table per
+batch in the sink's folder: a repeated batch reads those of the batch before it and replaces its own.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from retrievo.operators.telemetry import bucketed
+from retrievo.operators import telemetry
+from retrievo.streaming.sinks import drain
 
 
-def _counted(requests: DataFrame, identity: str, request: str, window_s: int, tokens: Column, chars: Column,
-             watermark: str) -> DataFrame:
-    return bucketed(requests, window_s).withWatermark("ts", watermark).select(
-        F.col(identity).alias("identity"), "bucket", F.col(request).alias("request_id"), "ts", "retry_after",
-        tokens.cast("long").alias("tokens"), chars.cast("long").alias("chars"))
+def _prior(spark, path: str, batch_id: int) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/counters/batch_id={batch_id - 1}") if batch_id > 0 else None
 
 
-def quota_stream(requests: DataFrame, identity: str, request: str = "event_id", text_length: Column | None = None,
-                 limit: int = 30, window_s: int = 60, per_min: int = 12_000, per_request: int = 4_000,
-                 max_chars: int = 12_000, overhead: int = 256, watermark: str = "10 minutes") -> DataFrame:
-    """request_id, identity, bucket, retry_after, tokens and ``decision`` per request, as in the batch replay.
+def run_quotas(requests: DataFrame, path: str, checkpoint: str, identity: str, request: str = "event_id",
+               text_length: Column | None = None, limit: int = 30, window_s: int = 60, per_min: int = 12_000,
+               per_request: int = 4_000, max_chars: int = 12_000, overhead: int = 256, keep_s: int = 600):
+    """Decide the requests of a stream into ``path/decisions``: the request columns, bucket, retry_after, tokens and
+    ``decision``.
 
-    Without ``text_length`` only the request rate is checked. State per identity and bucket is the number of requests
-    and the tokens used; it goes once the watermark passes the bucket. Requests of a micro-batch are taken in time
-    order, so what one group holds is bounded by the size of a trigger.
+    Without ``text_length`` only the request rate is checked. Requests of a micro-batch are taken in time order, later
+    batches come after. Counters are kept until their bucket ended ``keep_s`` before the newest request.
     """
-    rate_only = text_length is None
-    chars = F.lit(0) if rate_only else text_length
-    rows = _counted(requests, identity, request, window_s, F.lit(max(1, overhead)) + F.ceil(chars), chars, watermark)
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, used = state.get if state.exists else (0, 0)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        open_ = (pdf["chars"] <= max_chars) | rate_only
-        position = n + open_.cumsum()
-        in_rate = open_ & (position <= limit)
-        small = in_rate & (pdf["tokens"] <= per_request)
-        spent = used + pdf["tokens"].where(small, 0).cumsum()
-        decision = pd.Series("allowed", index=pdf.index)
-        if not rate_only:
-            decision = decision.mask(small & (spent > per_min), "cost_budget_exceeded")
-            decision = decision.mask(in_rate & ~small, "request_cost_limit_exceeded")
-        decision = decision.mask(open_ & ~in_rate, "rate_limit_exceeded").mask(~open_, "request_too_large")
-        state.update((int(n + open_.sum()), int(used + pdf["tokens"].where(small, 0).sum())))
-        end = (int(key[1]) + 1) * window_s * 1000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        yield pd.DataFrame({
-            "request_id": pdf["request_id"], "identity": pdf["identity"], "bucket": pdf["bucket"],
-            "tokens": pdf["tokens"], "retry_after": pdf["retry_after"], "decision": decision})
-
-    return rows.groupBy("identity", "bucket").applyInPandasWithState(
-        decide, "request_id long, identity long, bucket long, tokens long, retry_after long, decision string",
-        "n long, used long", "append", GroupStateTimeout.EventTimeTimeout)
+    def sink(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        prior = _prior(spark, path, batch_id)
+        if text_length is None:
+            marked = telemetry.rate_limit(df, identity, limit, window_s, request, prior)
+            decided = marked.withColumn("tokens", F.lit(0).cast("long")).withColumn("decision", F.when(
+                F.col("allowed"), "allowed").otherwise("rate_limit_exceeded")).drop("allowed")
+        else:
+            decided = telemetry.token_budget(df, identity, text_length, per_min, per_request, max_chars, limit,
+                                             window_s, 1.0, overhead, request, prior)
+        decided.write.mode("overwrite").parquet(f"{path}/decisions/batch_id={batch_id}")
+        written = spark.read.parquet(f"{path}/decisions/batch_id={batch_id}")
+        counters = telemetry.quota_counters(written, identity, prior)
+        newest = counters.agg(F.max("bucket")).first()[0]
+        if newest is not None:
+            counters = counters.filter(F.col("bucket") >= newest - keep_s // window_s - 1)
+        counters.write.mode("overwrite").parquet(f"{path}/counters/batch_id={batch_id}")
+
+    return drain(requests, sink, checkpoint)
