@@ -59,8 +59,8 @@ def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float) -> Dat
              .withColumn("_lo", F.coalesce(F.lag("le").over(w), F.lit(0.0)))
              .withColumn("_below", F.coalesce(F.lag("cumulative").over(w), F.lit(0)))
              .withColumn("_rank", F.lit(q) * F.col("_n")))
-    inside = F.col("_lo") + (F.col("le") - F.col("_lo")) * (F.col("_rank") - F.col("_below")) / (
-        F.col("cumulative") - F.col("_below"))
+    inside = F.col("_lo") + (F.col("le") - F.col("_lo")) * F.try_divide(
+        F.col("_rank") - F.col("_below"), F.col("cumulative") - F.col("_below"))
     point = F.when(F.col("le") == float("inf"), F.col("_lo")).otherwise(inside)
     reached = (F.col("cumulative") >= F.col("_rank")) & (F.col("_n") > 0)
     out = steps.groupBy(*keys).agg(F.min(F.when(reached, F.struct("le", point.alias("v")))).alias("_first"))
