@@ -68,6 +68,12 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df straight from the corpus: each document counts its distinct terms, so only counts are shuffled."""
+    return (docs.select(F.explode(F.array_distinct(bm25_tokenize(F.col(text)))).alias("term"))
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
 def _wanted(vocabulary: DataFrame) -> DataFrame:
     """The distinct terms and the document row, as a table of known size."""
     one = vocabulary.sparkSession.range(1).select(F.lit(DOCUMENT_ROW).alias("term"))
@@ -122,13 +128,14 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int) -> D
 
 
 def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B,
-                query_id: str = "query_id", text: str = "query", prune: bool = True, seed_rows: int = 10_000,
-                salts: int = 1) -> DataFrame:
+                query_id: str = "query_id", text: str = "query", prune_pairs: int = 200_000_000,
+                seed_rows: int = 10_000, salts: int = 1) -> DataFrame:
     """Top ``k`` documents per question: query_id, doc_id, score, rank.
 
     Repeated question tokens count once each; only positive scores are returned; equal scores are ordered by document.
-    With ``prune`` the result is the same and fewer pairs are summed. ``salts`` spreads a common term over several
-    tasks where the question terms are too many to broadcast.
+    Pruning gives the same result from fewer summed pairs but takes more jobs, so it starts where the postings of all
+    question terms exceed ``prune_pairs``. ``salts`` spreads a common term over several tasks where the question terms
+    are too many to broadcast.
     """
     qt = stage(query_terms(queries, query_id, text), "query_terms")
     stats = index.stats()
@@ -140,9 +147,10 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K
                .withColumn("weight", F.col("qtf") * idf(n_docs, F.col("df")))
                .withColumn("bound", F.col("weight") * F.col("max_sat"))
                .select("query_id", "term", "df", "weight", "bound"))
-    if not prune:
+    weights = stage(weights, "weights")
+    if (weights.agg(F.sum("df")).first()[0] or 0) <= prune_pairs:
         return _ranked(_sum_scores(impacts, weights, salts), k)
-    impacts, weights = stage(impacts, "impacts"), stage(weights, "weights")
+    impacts = stage(impacts, "impacts")
 
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     seeds = (weights.withColumn("_before", F.coalesce(F.sum("df").over(rarest), F.lit(0)))
@@ -194,19 +202,21 @@ def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float =
                              .alias("term"))
                .join(_wanted(qt), "term", "left_semi")
                .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total")))
-    counts = stage(counted, "term_counts")
-    corpus = counts.filter(F.col("term") == DOCUMENT_ROW).first()  # one row
-    if corpus is None:
+    counts = counted.toArrow()  # one row per question term
+    terms, df = counts["term"].combine_chunks(), counts["df"].to_numpy()
+    corpus = pc.index(terms, DOCUMENT_ROW).as_py()
+    if corpus < 0:
         return docs.sparkSession.createDataFrame([], HITS_DDL + ", rank int")
-    n_docs, avg_dl = corpus["df"], corpus["total"] / corpus["df"]
-    table = (qt.join(counts, "term")
-             .select("query_id", "term", (F.col("qtf") * idf(F.lit(n_docs), F.col("df"))).alias("weight"))
-             .orderBy("term", "query_id").toArrow())  # bounded by SCAN_TERMS
-    term_index = table["term"].combine_chunks().dictionary_encode()
-    query_ids, query = np.unique(table["query_id"].to_numpy(), return_inverse=True)
-    weight = table["weight"].to_numpy()
-    first = np.searchsorted(term_index.indices.to_numpy(), np.arange(len(term_index.dictionary) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((term_index.dictionary, first, query, weight, query_ids))
+    n_docs, avg_dl = int(df[corpus]), counts["total"][corpus].as_py() / int(df[corpus])
+    asked = qt.toArrow()  # bounded by SCAN_TERMS
+    place = np.asarray(pc.fill_null(pc.index_in(asked["term"].combine_chunks(), value_set=terms), -1))
+    order = np.argsort(place, kind="stable")
+    order = order[place[order] >= 0]
+    query_ids, query = np.unique(asked["query_id"].to_numpy()[order], return_inverse=True)
+    rarity = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    weight = asked["qtf"].to_numpy()[order] * rarity[place[order]]
+    first = np.searchsorted(place[order], np.arange(len(terms) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, first, query, weight, query_ids))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, first, query, weight, query_ids = shared.value
@@ -239,7 +249,7 @@ def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float =
 def bm25_over_candidates(candidates: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B,
                          query_id: str = "query_id", text: str = "query") -> DataFrame:
     """BM25 whose statistics come from each question's own candidates (query_id, doc_id, text)."""
-    qt = query_terms(queries, query_id, text)
+    qt = stage(query_terms(queries, query_id, text), "query_terms")
     tokens = candidates.select("query_id", "doc_id", bm25_tokenize(F.col("text")).alias("_tokens"))
     sized = tokens.select("query_id", "doc_id", "_tokens", F.size("_tokens").cast("long").alias("dl"))
     stats = sized.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))

@@ -40,7 +40,7 @@ def rounded(df):
 WITH tok AS (SELECT doc_id, unnest({q.tokens('text')}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term""")
 def bm25_df(spark, sf_dir):
-    return lexical.Bm25Index(lexical.postings(corpus(spark, sf_dir))).document_frequencies()
+    return lexical.document_frequencies(corpus(spark, sf_dir))
 
 
 @register("bm25_doc_len", f"SELECT doc_id, len({q.tokens('text')}) AS dl FROM documents")

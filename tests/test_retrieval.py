@@ -82,9 +82,9 @@ def test_bm25_routes_agree(spark, skewed):
     want = brute_bm25(rows, queries, 7)
     index = lexical.bm25_index(d)
     assert ranked(lexical.bm25_top(d, q, 7)) == want
-    assert ranked(lexical.bm25_search(index, q, 7, prune=False)) == want
-    assert ranked(lexical.bm25_search(index, q, 7, seed_rows=50)) == want
-    assert ranked(lexical.bm25_search(index, q, 7, seed_rows=50, salts=3)) == want
+    assert ranked(lexical.bm25_search(index, q, 7)) == want
+    assert ranked(lexical.bm25_search(index, q, 7, prune_pairs=0, seed_rows=50)) == want
+    assert ranked(lexical.bm25_search(index, q, 7, prune_pairs=0, seed_rows=50, salts=3)) == want
 
 
 def test_scan_limit_falls_back_to_index(spark, skewed, monkeypatch):
