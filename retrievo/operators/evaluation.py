@@ -36,24 +36,30 @@ def normalize_qrels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
-def per_case(hits: DataFrame, cases: DataFrame, ks: Sequence[int]) -> DataFrame:
+def per_case(hits: DataFrame, cases: DataFrame, ks: Sequence[int], relevant: DataFrame | None = None) -> DataFrame:
     """query_id, category, k, found, recall, precision, result_count; cases without results stay.
 
-    ``hits``: query_id, doc_id, rank from one retrieval at the largest k. ``cases``: query_id, category, relevant_ids
-    (of the type of doc_id). Precision divides by k, not by the number of results.
+    ``hits``: query_id, doc_id, rank from one retrieval at the largest k. ``cases``: query_id, category, and either
+    relevant_ids or a table ``relevant`` of distinct (query_id, doc_id), which has no bound on the ids of a case.
+    Precision divides by k, not by the number of results.
     """
     ks = sanitize_ks(ks)
+    if relevant is None:
+        relevant = cases.select("query_id", F.explode(F.array_distinct("relevant_ids")).alias("doc_id"))
+        sized = cases.select("query_id", "category", F.size(F.array_distinct("relevant_ids")).alias("_rel"))
+    else:
+        counts = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("_rel"))
+        sized = cases.select("query_id", "category").join(counts, "query_id", "left").withColumn(
+            "_rel", F.coalesce("_rel", F.lit(0)))
     within = lambda c, k: F.count(F.when(F.col(c) <= k, 1))
     best = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
-    wanted = cases.select("query_id", F.explode(F.array_distinct("relevant_ids")).alias("doc_id"), F.lit(1).alias("_r"))
-    joined = best.join(wanted, ["query_id", "doc_id"], "left").withColumn(
+    joined = best.join(relevant.select("query_id", "doc_id", F.lit(1).alias("_r")), ["query_id", "doc_id"], "left").withColumn(
         "_found", F.when(F.col("_r") == 1, F.col("rank")))
     counted = joined.groupBy("query_id").agg(
         *[within("_found", k).alias(f"_f{k}") for k in ks], *[within("rank", k).alias(f"_n{k}") for k in ks])
     levels = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(F.col(f"_f{k}"), F.lit(0)).alias("found"),
                                 F.coalesce(F.col(f"_n{k}"), F.lit(0)).alias("result_count")) for k in ks])
-    n_relevant = F.size(F.array_distinct("relevant_ids"))
-    return (cases.select("query_id", "category", n_relevant.alias("_rel")).join(counted, "query_id", "left")
+    return (sized.join(counted, "query_id", "left")
             .select("query_id", "category", "_rel", F.explode(levels).alias("_l"))
             .select("query_id", "category", "_l.k", "_l.found",
                     F.when(F.col("_rel") > 0, F.col("_l.found") / F.col("_rel")).otherwise(0.0).alias("recall"),
@@ -102,7 +108,7 @@ class Profile:
 
 
 def compare_profiles(cases: DataFrame, profiles: Sequence[Profile], ks: Sequence[int], vector_hits: DataFrame,
-                     bm25_hits: DataFrame) -> DataFrame:
+                     bm25_hits: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
     """One report per profile from one run of each retrieval route.
 
     ``vector_hits`` is ranked without a threshold to the larger of 20 and the largest k: a threshold only cuts the tail
@@ -117,7 +123,7 @@ def compare_profiles(cases: DataFrame, profiles: Sequence[Profile], ks: Sequence
             hits = fusion.rrf_fuse(near.filter(F.col("rank") <= fusion.ROUTE_K), bm25_hits, max(ks))
         else:
             hits = near.filter(F.col("rank") <= max(ks))
-        rows = per_case(hits, cases, ks).withColumn("profile", F.lit(p.name))
+        rows = per_case(hits, cases, ks, relevant).withColumn("profile", F.lit(p.name))
         out = rows if out is None else out.unionByName(rows)
     return summarize(out, keys=["profile"])
 
@@ -219,16 +225,14 @@ def load_summary(samples: DataFrame, width: float = 1.0) -> DataFrame:
     marks = samples.agg(
         F.count(F.lit(1)).alias("sample_count"), F.count(F.when(F.col("success"), 1)).alias("success_count"),
         F.avg("elapsed").alias("_mean"), F.min("time_stamp").alias("_from"), F.max("time_stamp").alias("_to"))
-    quantiles = exact_quantiles(samples.withColumn("_all", F.lit(1)), ["_all"], "elapsed", PERCENTILES, "nearest", width)
+    quantiles = exact_quantiles(samples, [], "elapsed", PERCENTILES, "nearest", width)
     span = F.when(F.col("sample_count") > 1,
                   F.greatest(F.lit(0.001), (F.col("_to") - F.col("_from")) / 1000.0))
-    out = marks
-    for p in PERCENTILES:
-        out = out.withColumn(f"{p}_elapsed_ms", F.bround(quantiles.select(p).scalar(), 2))
+    out = marks.withColumn("_q", quantiles.select(F.struct(*PERCENTILES)).scalar())
     return out.select(
         "sample_count", "success_count", (F.col("sample_count") - F.col("success_count")).alias("error_count"),
         F.bround((F.col("sample_count") - F.col("success_count")) / F.col("sample_count"), 4).alias("error_rate"),
-        F.bround("_mean", 2).alias("mean_elapsed_ms"), *[f"{p}_elapsed_ms" for p in PERCENTILES],
+        F.bround("_mean", 2).alias("mean_elapsed_ms"), *[F.bround(f"_q.{p}", 2).alias(f"{p}_elapsed_ms") for p in PERCENTILES],
         F.bround(span, 3).alias("sample_duration_seconds"),
         F.bround(F.col("sample_count") / span, 2).alias("throughput_rps"))
 

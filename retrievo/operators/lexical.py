@@ -138,8 +138,8 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K
     are too many to broadcast.
     """
     qt = stage(query_terms(queries, query_id, text), "query_terms")
-    stats = index.stats()
-    n_docs, avg_dl = stats.select("n_docs").scalar(), stats.select("avg_dl").scalar()
+    stats = index.stats().select(F.struct("n_docs", "avg_dl")).scalar()
+    n_docs, avg_dl = stats["n_docs"], stats["avg_dl"]
     impacts = (index.postings.join(qt.select("term").distinct(), "term", "left_semi")
                .select("doc_id", "term", saturation(F.col("tf"), F.col("dl"), avg_dl, k1, b).alias("sat")))
     terms = impacts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("sat").alias("max_sat"))

@@ -93,7 +93,12 @@ def session_context(recent: DataFrame, recalled: DataFrame) -> DataFrame:
     """
     part = lambda heading, c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0,
                                      F.concat(F.lit(heading), F.col(c), F.lit("\n\n"))).otherwise(F.lit(""))
-    return recalled.join(recent.select("conv_id", "history"), "conv_id", "full_outer").select(
+    history = recent.select("conv_id", "history")
+    silent = history.join(recalled.select("conv_id").distinct(), "conv_id", "left_anti").withColumn(
+        "question_id", F.lit(None).cast("long")).withColumn("recalled", F.lit(None).cast("string"))
+    # a left join can be split where one session has most of the questions, a full outer join cannot
+    both = recalled.select("conv_id", "question_id", "recalled").join(history, "conv_id", "left").unionByName(silent)
+    return both.select(
         "question_id", "conv_id",
         F.concat(part(RECENT_HEADING, "history"), part(SUMMARY_HEADING, "recalled")).alias("context"))
 

@@ -45,6 +45,19 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     return running_total(df, keys, order, bucket, F.lit(1).cast("long"), out)
 
 
+def spans(df: DataFrame, order: str, size: int, before: int) -> DataFrame:
+    """Cut consecutively numbered rows into spans of ``size``: adds ``span`` and ``copied``.
+
+    The last ``before`` rows of a span are copied to the front of the next one, so a window over (key, span) sees the
+    rows just before each of its own rows. Drop the copies afterwards.
+    """
+    here = F.floor(F.col(order) / size)
+    own = F.struct(here.alias("span"), F.lit(False).alias("copied"))
+    after = F.struct((here + 1).alias("span"), F.lit(True).alias("copied"))
+    places = F.when(F.col(order) % size >= size - before, F.array(own, after)).otherwise(F.array(own))
+    return df.withColumn("_place", F.explode(places)).select(*df.columns, "_place.span", "_place.copied")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                     method: str = "nearest", width: float = 1.0) -> DataFrame:
     """Exact quantiles per key with row count ``n``.

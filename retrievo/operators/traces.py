@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from retrievo.functions.text import is_blank, strip
+from retrievo.operators.ordered import spans
 
 MAX_STEPS = 10
 MAX_REPEATED = 3
@@ -64,13 +65,17 @@ def tool_status(action: Column, observation: Column, tools: Sequence[str] = TOOL
 
 
 def repeated(df: DataFrame, n: int = MAX_REPEATED, run: str = "run_id", step: str = "step",
-             observation: str = "observation") -> DataFrame:
-    """Add ``repeated``: the observation equals those of the ``n - 1`` steps before it."""
-    w = Window.partitionBy(run).orderBy(step)
+             observation: str = "observation", span: int = 1024) -> DataFrame:
+    """Add ``repeated``: the observation equals those of the ``n - 1`` steps before it.
+
+    Steps of a run are numbered consecutively; a long run is worked on in spans of steps.
+    """
+    w = Window.partitionBy(run, "span").orderBy(step)
     same = F.col(observation).isNotNull()
     for i in range(1, n):
         same = same & (F.lag(observation, i).over(w) == F.col(observation))
-    return df.withColumn("repeated", F.coalesce(same, F.lit(False)))
+    cut = spans(df, step, span, n - 1).withColumn("repeated", F.coalesce(same, F.lit(False)))
+    return cut.filter("NOT copied").drop("span", "copied")
 
 
 def stop_reasons(steps: DataFrame, max_steps: int = MAX_STEPS, timeout_ms: int = TIMEOUT_MS) -> DataFrame:

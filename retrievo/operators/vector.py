@@ -120,7 +120,7 @@ def kmeans_centroids(index: DataFrame, n_cells: int, seed: int = 7, max_iter: in
 
 
 def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The ``n`` closest cells of each vector: the id column and ``cell``, best first in ``rank``."""
+    """The ``n`` closest cells of each vector: the id column, embedding and ``cell``, best first in ``rank``."""
     table = centroids.toArrow()  # one row per cell
     dim = len(table["centre"][0])
     cells, centres = _matrix(table["cell"], table["centre"], dim)
@@ -132,13 +132,15 @@ def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, id_col: str)
             ids, rows = _matrix(batch.column(0), batch.column(1), dim)
             scores = np.round(rows @ points.T, SCORE_DIGITS)
             best = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :n]
+            each = pa.array(np.repeat(np.arange(len(ids)), best.shape[1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, best.shape[1])), pa.array(names[best].ravel()),
+                [batch.column(0).take(each), batch.column(1).take(each), pa.array(names[best].ravel()),
                  pa.array(np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(ids)))],
-                names=[id_col, "cell", "rank"])
+                names=[id_col, "embedding", "cell", "rank"])
 
-    return vectors.select(F.col(id_col).cast("long"), "embedding").mapInArrow(
-        assign, f"{id_col} long, cell long, rank int")
+    sized = vectors.select(F.col(id_col).cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return sized.filter(F.size("embedding") == dim).mapInArrow(
+        assign, f"{id_col} long, embedding array<double>, cell long, rank int")
 
 
 def build_ivf(index: DataFrame, n_cells: int, method: str = "sampled") -> tuple[DataFrame, DataFrame]:
@@ -146,8 +148,7 @@ def build_ivf(index: DataFrame, n_cells: int, method: str = "sampled") -> tuple[
     index = index.select(F.col("doc_id").cast("long"), "embedding")
     made = sampled_centroids(index, n_cells) if method == "sampled" else kmeans_centroids(index, n_cells)
     centroids = stage(made, "centroids")
-    cells = nearest_cells(index, centroids, 1, "doc_id").drop("rank")
-    return centroids, stage(index.join(cells, "doc_id"), "ivf")
+    return centroids, stage(nearest_cells(index, centroids, 1, "doc_id"), "ivf").drop("rank")
 
 
 def ivf_search(ivf: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, nprobe: int, min_score: float = -1.0,
@@ -160,10 +161,11 @@ def ivf_search(ivf: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, npr
     queries = stage(queries.select(F.col("query_id").cast("long"), "embedding"), "query_vectors")
     blocks = stage(members.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks")), "cell_sizes")
-    docs = members.join(blocks, "cell").select(
+    probed = stage(nearest_cells(queries, centroids, nprobe, "query_id").drop("rank"), "probes")
+    wanted = members.join(probed.select("cell").distinct(), "cell", "left_semi")
+    docs = wanted.join(blocks, "cell").select(
         "doc_id", "embedding", "cell", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).alias("_b"))
-    probes = (nearest_cells(queries, centroids, nprobe, "query_id").drop("rank").join(queries, "query_id")
-              .join(blocks, "cell")
+    probes = (probed.join(blocks, "cell")
               .withColumn("_b", F.explode(F.expr("sequence(0L, CAST(_blocks - 1 AS BIGINT))")))
               .select("query_id", "embedding", "cell", "_b"))
 

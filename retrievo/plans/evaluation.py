@@ -11,6 +11,7 @@ from retrievo.operators import evaluation, fusion, lexical, vector
 from retrievo.plans import sqltext as q
 from retrievo.plans.registry import register, table
 from retrievo.plans.retrieval import corpus, questions, vector_index, vector_questions
+from retrievo.staging import stage
 
 KS = [1, 3, 5, 10]
 
@@ -30,11 +31,11 @@ def containment(docs, passages):
 
 
 def cases(spark, sf_dir):
-    found = containment(corpus(spark, sf_dir), questions(spark, sf_dir))
-    ids = found.groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant_ids"))
+    """Cases (query_id, category) and the relevant documents (query_id, doc_id)."""
+    relevant = stage(containment(corpus(spark, sf_dir), questions(spark, sf_dir)), "relevant")
     category = F.when(F.length("query") < 180, "short").otherwise("long")
-    return questions(spark, sf_dir).join(ids, "query_id").select(
-        "query_id", category.alias("category"), "relevant_ids")
+    return questions(spark, sf_dir).join(relevant.select("query_id").distinct(), "query_id").select(
+        "query_id", category.alias("category")), relevant
 
 
 def lexical_hits(spark, sf_dir, k=10):
@@ -85,7 +86,8 @@ WITH {_LEX}, {_per_case_sql('lex')}
 SELECT query_id, category, k, found, round(recall, 6) AS recall, round("precision", 6) AS "precision", result_count
 FROM percase""")
 def recall_precision_at_k(spark, sf_dir):
-    return _rounded(evaluation.per_case(lexical_hits(spark, sf_dir), cases(spark, sf_dir), KS), "recall", "precision")
+    known, relevant = cases(spark, sf_dir)
+    return _rounded(evaluation.per_case(lexical_hits(spark, sf_dir), known, KS, relevant), "recall", "precision")
 
 
 def _report(df):
@@ -94,7 +96,8 @@ def _report(df):
 
 @register("eval_report", f"WITH {_LEX}, {_per_case_sql('lex')} {_summary_sql()}")
 def eval_report(spark, sf_dir):
-    return _report(evaluation.summarize(evaluation.per_case(lexical_hits(spark, sf_dir), cases(spark, sf_dir), KS)))
+    known, relevant = cases(spark, sf_dir)
+    return _report(evaluation.summarize(evaluation.per_case(lexical_hits(spark, sf_dir), known, KS, relevant)))
 
 
 _RANK = lambda p: f"min(value) FILTER (rn >= greatest(ceil({p}::DOUBLE * n), 1))"
@@ -132,8 +135,9 @@ percase AS (SELECT profile, c.query_id, c.category, k, count(r.doc_id) / any_val
     AND h.query_id = percase.query_id AND h.rank <= percase.k) AS result_count) FROM percase)''', 'profile, k')}""")
 def profile_comparison(spark, sf_dir):
     near = vector.vector_search(vector_index(spark, sf_dir), vector_questions(spark, sf_dir), fusion.ROUTE_K, -1.0)
-    return _report(evaluation.compare_profiles(cases(spark, sf_dir), PROFILES, _PKS, near,
-                                               lexical_hits(spark, sf_dir, fusion.ROUTE_K)))
+    known, relevant = cases(spark, sf_dir)
+    return _report(evaluation.compare_profiles(known, PROFILES, _PKS, near,
+                                               lexical_hits(spark, sf_dir, fusion.ROUTE_K), relevant))
 
 
 _METRICS = ["recall", "precision", "f1"]
@@ -151,11 +155,11 @@ SELECT k, metric, round(baseline, 5) AS baseline, round(candidate, 5) AS candida
   round(candidate - baseline, 5) AS delta FROM lb JOIN lc USING (k, metric)""")
 def metric_deltas(spark, sf_dir):
     """BM25 against vectors alone."""
-    known = cases(spark, sf_dir)
+    known, relevant = cases(spark, sf_dir)
     near = vector.vector_search(vector_index(spark, sf_dir), vector_questions(spark, sf_dir), 10, -1.0)
 
     def long(hits):
-        report = _report(evaluation.summarize(evaluation.per_case(hits, known, KS))).filter("scope = 'overall'")
+        report = _report(evaluation.summarize(evaluation.per_case(hits, known, KS, relevant))).filter("scope = 'overall'")
         return evaluation.metric_rows(report, ["k"], _METRICS)
 
     out = evaluation.metric_deltas(long(near), long(lexical_hits(spark, sf_dir)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from retrievo.operators import documents
+from retrievo.operators.ordered import spans
 from retrievo.plans import sqltext as q
 from retrievo.plans.registry import register, table
 from retrievo.plans.text import _format_sql
@@ -50,8 +51,8 @@ chat AS (SELECT *, turn = 0 AS bad, 1 + (r1 IS NOT NULL)::INT + (r2 IS NOT NULL)
 
 
 def chat_lines(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations")
-    o = Window.partitionBy("conv_id").orderBy("turn")
+    conv = spans(table(spark, sf_dir, "conversations"), "turn", 1024, 2)
+    o = Window.partitionBy("conv_id", "span").orderBy("turn")
     message = F.struct("role", F.col("text").alias("content"))
     messages = F.array_compact(F.array(F.lag(message, 2).over(o), F.lag(message, 1).over(o), message))
     full = F.to_json(F.struct(messages.alias("messages")))
@@ -59,7 +60,8 @@ def chat_lines(spark, sf_dir):
             .when(F.col("turn") == 7, F.lit("  ")).otherwise(F.col("_full")))
     name = F.element_at(F.array(*[F.lit(f"{n}.jsonl") for n in ("train", "dev", "test", "chat")]),
                         (F.col("conv_id") % 4 + 1).cast("int"))
-    return conv.select("conv_id", "turn", name.alias("file_name"), full.alias("_full")).select(
+    return conv.select("conv_id", "turn", name.alias("file_name"), full.alias("_full"), "copied").filter(
+        "NOT copied").select(
         "conv_id", "turn", "file_name", line.alias("line"))
 
 
