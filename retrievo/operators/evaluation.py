@@ -197,6 +197,18 @@ def evidence_status(rounds: Column, chunks: Column) -> Column:
     return F.when(rounds == 0, "not_requested").when(chunks > 0, "available").otherwise("empty")
 
 
+def replay_summary(records: DataFrame, rag: bool = True) -> DataFrame:
+    """One row: replayed, successful and failed records, those with and without evidence, and whether the replay can
+    serve as a baseline, which takes at least one record with evidence unless retrieval was off."""
+    ok = F.col("status") == "ok"
+    evidence = evidence_status(F.col("retrieval_rounds"), F.col("chunk_count"))
+    n = lambda cond: F.count(F.when(cond, 1))
+    out = records.agg(F.count(F.lit(1)).alias("query_count"), n(ok).alias("success_count"), n(~ok).alias("failure_count"),
+                      n(ok & (evidence == "available")).alias("evidence_ready_count"),
+                      n(ok & (evidence == "empty")).alias("empty_evidence_count"))
+    return out.withColumn("benchmark_ready", F.lit(not rag) | (F.col("evidence_ready_count") > 0))
+
+
 def replay_distributions(records: DataFrame) -> DataFrame:
     """Counts per value of route type, end reason, verification level and evidence status of successful records."""
     fields = ["route_type", "end_reason", "verification_level", "evidence_status"]

@@ -262,6 +262,17 @@ def replay_report(spark, sf_dir):
     return evaluation.replay_numbers(records(spark, sf_dir))
 
 
+@register("replay_summary", f"""
+WITH {_REC_SQL}
+SELECT count(*) AS query_count, count(*) FILTER (status = 'ok') AS success_count,
+  count(*) FILTER (status <> 'ok') AS failure_count,
+  count(*) FILTER (status = 'ok' AND retrieval_rounds > 0 AND chunk_count > 0) AS evidence_ready_count,
+  count(*) FILTER (status = 'ok' AND retrieval_rounds > 0 AND chunk_count = 0) AS empty_evidence_count,
+  count(*) FILTER (status = 'ok' AND retrieval_rounds > 0 AND chunk_count > 0) > 0 AS benchmark_ready FROM rec""")
+def replay_summary(spark, sf_dir):
+    return evaluation.replay_summary(records(spark, sf_dir))
+
+
 def samples(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("time_stamp"), F.col("value").alias("elapsed"),

@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from retrievo.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ def register(name: str, sql: str | None = None):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold times without a zone
             return fn(spark, sf_dir)
 
