@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from retrievo.llm.decontaminate import find_passages
 from retrievo.llm.ngram_join import similar_sets
 from retrievo.llm.registry import register, table
 
@@ -13,3 +15,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with Jaccard similarity of at least 0.9 on three-word shingles."""
     return similar_sets(table(spark, sf_dir, "documents"), width=3, percent=90) \
         .select("doc_id", "n_shingles", "component_id")
+
+
+@register("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages of ten words in every document."""
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    ids = F.concat_ws(",", F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))

@@ -53,3 +53,28 @@ def similar(rows: list[tuple], width: int, percent: int) -> dict:
                         links.append((a, b))
     found = roots(list(sets), links)
     return {d: (len(sets[d]), found[d]) for d in sets}
+
+
+def letter_words(text: str | None) -> list[bytes]:
+    lowered = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def passages(docs: list[tuple], items: list[tuple], window: int = 10) -> list[tuple]:
+    """(doc_id, words, hit words, items that occur) of every document, by looking each window up."""
+    owners: dict = {}
+    for item, text in items:
+        w = letter_words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            owners.setdefault(tuple(w[i:i + window]), set()).add(item)
+    lengths = {len(k) for k in owners}
+    out = []
+    for doc, text in docs:
+        w, hit, found = letter_words(text), set(), set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if (own := owners.get(tuple(w[i:i + n]))) is not None:
+                    hit |= set(range(i, i + n))
+                    found |= own
+        out.append((doc, len(w), len(hit), sorted(found)))
+    return out
