@@ -15,7 +15,7 @@ def suffix_order(text: np.ndarray, alphabet: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(taken):
         key <<= width
-        key[:n - i] |= text[i:]
+        key[:max(0, n - i)] |= text[i:]
     packed = np.sort(key << 21 | np.arange(n))
     order, key = packed & (1 << 21) - 1, packed >> 21
     new = np.ones(n, bool)
