@@ -64,6 +64,6 @@ def test_removal(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
     out = remove_passages(frame, spark.createDataFrame([(1, item)], ITEMS))
     assert out.columns == frame.columns
-    assert {r.doc_id: r.text for r in out.collect()} == {1: "Start, . End", 2: "clean text", 3: None, 4: "", 5: "  "}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "Start, . End", 2: "clean text", 3: None, 4: "", 5: ""}
     assert find_passages(frame.where("false"), spark.createDataFrame([], ITEMS)).count() == 0
     assert [r.n_words for r in find_passages(frame, spark.createDataFrame([], ITEMS)).orderBy("doc_id").collect()][1] == 2
