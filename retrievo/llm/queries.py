@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retrievo.llm.bpe import default_path, read_definition, tokenize
 from retrievo.llm.decontaminate import find_passages
 from retrievo.llm.ngram_join import similar_sets
 from retrievo.llm.registry import register, table
@@ -25,3 +26,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.concat_ws(",", F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))))
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(ids, 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
+
+
+@register("op6_bpe")
+def op6(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token and round-trip digests of every document; ``tokenizer`` is the path of another tokenizer file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenize(docs, read_definition(tokenizer or default_path()), digests=True).drop("text")
