@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrievo.llm.bpe import default_path, read_definition, tokenize
+from retrievo.llm.chat import format_chats, read_chats
 from retrievo.llm.decontaminate import find_passages
 from retrievo.llm.ngram_join import similar_sets
 from retrievo.llm.registry import register, table
+from retrievo.llm.url_rules import judge
 
 
 @register("op1_ngram_jaccard_join")
@@ -33,3 +35,61 @@ def op6(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataF
     """Token and round-trip digests of every document; ``tokenizer`` is the path of another tokenizer file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenize(docs, read_definition(tokenizer or default_path()), digests=True).drop("text")
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+         ("org", "/fr/", "allow")]
+OP7_SQL = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(h, p, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                               ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+  FROM (SELECT DISTINCT host, path FROM parts) d
+  JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN fits USING (host, path)
+"""
+
+
+@register("op7_url_filters", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of four rules on every page's URL."""
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\\[<]', '', 'g')) AS wide,
+         length(role) + length(regexp_replace(role, '[^\\\[<\n]', '', 'g')) AS role_wide,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS same
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(wide + CASE WHEN same THEN 4 ELSE 14 + role_wide END))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@register("op9_chat_formatting", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's turns and loss text, read back from its formatted string."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    turns = turns.union(spark.createDataFrame(own, turns.schema))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return read_chats(format_chats(turns)).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
