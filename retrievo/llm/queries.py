@@ -9,6 +9,7 @@ from retrievo.llm.bpe import default_path, read_definition, tokenize
 from retrievo.llm.chat import format_chats, read_chats
 from retrievo.llm.decontaminate import find_passages
 from retrievo.llm.ngram_join import similar_sets
+from retrievo.llm.pivots import near_vectors
 from retrievo.llm.registry import register, table
 from retrievo.llm.url_rules import judge
 
@@ -93,3 +94,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op8_embedding_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of at least 0.95."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
