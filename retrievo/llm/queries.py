@@ -12,6 +12,7 @@ from retrievo.llm.ngram_join import similar_sets
 from retrievo.llm.pivots import near_vectors
 from retrievo.llm.registry import register, table
 from retrievo.llm.url_rules import judge
+from retrievo.llm.warc_zip import read_archives, write_archives
 
 
 @register("op1_ngram_jaccard_join")
@@ -100,3 +101,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors with a cosine of at least 0.95."""
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE octet_length(bytes) >= 100 GROUP BY digest)
+SELECT page_id, octet_length(bytes)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
+
+@register("op10_warc_zip", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to ZIP-packaged archives and read back by range."""
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
