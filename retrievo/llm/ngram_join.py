@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrievo.llm import blobs
+from retrievo.llm.blobs import runs
 from retrievo.llm.components import components
 from retrievo.llm.words import SPACED, shingles, slices, words_of
 from retrievo.staging import stage
@@ -27,6 +29,7 @@ SKETCH_BITS = 22  # counters of the token sketch: 16 MB, whatever the corpus
 RARE_FLOOR = 64   # tokens seen more often than this, and than four times the mean counter, are the frequent class
 COMBINE = 2       # k: tokens of a frequent-class combination
 SHORT_BITS, LONG_BITS, LONG_SET = 512, 4096, 1024
+BLOCK = 512         # nodes of a group that one task compares with another block
 
 _SETS = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
@@ -86,24 +89,28 @@ def signatures(tokens: np.ndarray, seen: np.ndarray, frequent_above: int, percen
     return np.unique(np.concatenate(out))
 
 
-def _passes(tables, percent):
-    """Candidate pairs that the length and bitmap bounds cannot rule out."""
-    for batch in tables:
-        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        keep = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
-        bits_a, bits_b = batch.column("bits_a"), batch.column("bits_b")
-        for size in (SHORT_BITS // 8, LONG_BITS // 8):
-            same = np.flatnonzero(keep & (pa.compute.binary_length(bits_a).to_numpy() == size)
-                                  & (pa.compute.binary_length(bits_b).to_numpy() == size))
-            for at in range(0, len(same), 1 << 14):
-                own = same[at:at + (1 << 14)]
-                x, y = (np.frombuffer(b"".join(v.take(pa.array(own)).to_pylist()), np.uint64).reshape(len(own), -1)
-                        for v in (bits_a, bits_b))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                total = na[own] + nb[own]
-                keep[own] = (total - apart) * (100 + percent) >= 2 * percent * total
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)),
-                                          batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+def _bounded(bits_a: pa.Array, bits_b: pa.Array, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs the length and bitmap bounds cannot rule out."""
+    keep = np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)
+    for size in (SHORT_BITS // 8, LONG_BITS // 8):
+        same = np.flatnonzero(keep & (pc.binary_length(bits_a).to_numpy() == size)
+                              & (pc.binary_length(bits_b).to_numpy() == size))
+        for at in range(0, len(same), 1 << 14):
+            own = same[at:at + (1 << 14)]
+            x, y = (np.frombuffer(b"".join(v.take(pa.array(own)).to_pylist()), np.uint64).reshape(len(own), -1)
+                    for v in (bits_a, bits_b))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            total = na[own] + nb[own]
+            keep[own] = (total - apart) * (100 + percent) >= 2 * percent * total
+    return keep
+
+
+def _passes(batches, percent):
+    for batch in batches:
+        keep = pa.array(_bounded(batch.column("bits_a"), batch.column("bits_b"), batch.column("na").to_numpy(),
+                                 batch.column("nb").to_numpy(), percent))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)],
+                                         names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -128,6 +135,55 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                  .where(shared * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
 
 
+def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a signature, stand in different components and pass the bounds.
+
+    Signatures with the same smallest node go together, as a group of near copies shares hundreds of them: each pair is
+    made once for all. Many nodes are cut into blocks, and each two blocks meet in a task of their own.
+    """
+    wide = stage(members.groupBy("low").agg(F.approx_count_distinct("node").alias("size")).where(F.col("size") > BLOCK)
+                 .select("low", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "wide")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = members.join(nodes.select("node", "n", "bits"), "node").join(wide, "low", "left") \
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")) \
+        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))) \
+        .select("low", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block",
+                "signature", "node", "component", "n", "bits")
+    keys = ["low", "left", "right"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys) \
+        .mapInArrow(lambda b: _met(b, percent), "a long, b long").distinct()
+
+
+def _met(batches, percent):
+    for (_, left, right), rows in runs(batches, ("low", "left", "right")):
+        name, first, of = np.unique(rows.column("node").to_numpy(), return_index=True, return_inverse=True)
+        if len(name) < 2:
+            continue
+        _, signature = np.unique(rows.column("signature").to_numpy(), return_inverse=True)
+        block = rows.column("block").to_numpy()[first]
+        component, n = (rows.column(c).to_numpy()[first] for c in ("component", "n"))
+        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        shared = np.zeros((len(a), len(b)), bool)
+        order = np.argsort(signature, kind="stable")
+        cuts = np.searchsorted(signature[order], np.arange(0, signature.max() + 2, 2048))
+        for x, y in zip(cuts, np.append(cuts[1:], len(order))):
+            own = order[x:y]
+            if len(own):
+                held = np.zeros((len(name), 2048), np.float32)
+                held[of[own], signature[own] % 2048] = 1
+                shared |= held[a] @ held[b].T > 0
+        shared &= component[a][:, None] != component[b][None, :]
+        shared &= np.minimum(n[a][:, None], n[b][None, :]) * 100 >= percent * np.maximum(n[a][:, None], n[b][None, :])
+        if left == right:
+            shared &= name[a][:, None] < name[b][None, :]
+        i, j = np.nonzero(shared)
+        if len(i):
+            bits = rows.column("bits").take(pa.array(first))
+            keep = _bounded(bits.take(pa.array(a[i])), bits.take(pa.array(b[j])), n[a[i]], n[b[j]], percent)
+            x, y = name[a[i[keep]]], name[b[j[keep]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
 def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row: the classes that links of Jaccard similarity make.
@@ -173,23 +229,23 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     least = stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "least")
     nodes = stage(rows.where("node is not null").dropDuplicates(["node"]), "nodes")
 
-    met = nodes.select("node", F.explode("signatures").alias("signature"))
-    hubs = stage(met.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                 .where("low <> high"), "hubs")
-    members = stage(met.join(hubs, "signature"), "members")
-    pairs = stage(members.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub") \
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    met = nodes.select("node", F.size("signatures").alias("carried"), F.explode("signatures").alias("signature"))
+    # the node with most shared tokens is the likeliest centre of a group of copies
+    hubs = stage(met.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"),
+                                              F.max_by("node", "carried").alias("hub"))
+                 .where("low <> high").drop("high"), "hubs")
+    members = stage(met.select("signature", "node").join(hubs, "signature"), "members")
+    pairs = members.select("node", F.explode(F.array("low", "hub")).alias("with")).where("node <> with") \
+        .select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
     links = _verified(pairs, nodes, docs, width, percent)
     found = stage(components(links), "found")
 
-    placed = stage(members.select("signature", "node").join(found, "node", "left")
-                   .select("signature", "node", F.coalesce("component", "node").alias("component")), "placed")
+    placed = stage(members.select("signature", "low", "node").join(found, "node", "left")
+                   .withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = stage(placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                   .where("x <> y").select("signature"), "mixed")
     left = stage(placed.join(mixed, "signature", "left_semi"), "left")
-    across = left.toDF("signature", "a", "ca").join(left.toDF("signature", "b", "cb"), "signature") \
-        .where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(stage(across, "across"), nodes, docs, width, percent)
+    more = _verified(_across(left, nodes, percent), nodes, docs, width, percent)
     return _labelled(rows, least, links.union(more))
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retrievo.llm.blobs import runs
 from retrievo.llm.components import components
 from retrievo.staging import stage
 
@@ -65,25 +66,9 @@ def _describe(sent, nearest):
     return run
 
 
-def _lists(batches):
-    """Runs of rows of one list and block pair; the input is sorted by these."""
-    held, last = [], None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("width", "first", "second", "left", "right")], 1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-            if last is not None and (keys[a] != last).any():
-                yield last, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield last, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _compare(threshold):
     def run(batches):
-        for (_, first, second, left, right), rows in _lists(batches):
+        for (_, first, second, left, right), rows in runs(batches, ("width", "first", "second", "left", "right")):
             n = rows.num_rows
             if n < 2:
                 continue
