@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from retrievo.llm.bpe import default_path, read_definition, tokenize
 from retrievo.llm.chat import format_chats, read_chats
+from retrievo.llm.context_mixing import score_texts
 from retrievo.llm.decontaminate import find_passages
+from retrievo.llm.html_crf import extract_main
+from retrievo.llm.html_crf import fit as fit_field
 from retrievo.llm.ngram_join import similar_sets
 from retrievo.llm.pivots import near_vectors
 from retrievo.llm.registry import register, table
@@ -118,3 +121,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written to ZIP-packaged archives and read back by range."""
     return read_archives(write_archives(table(spark, sf_dir, "pages"))) \
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document: token counts, and mixed bit predictors."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@register("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return extract_main(pages, fit_field(pages)).select("page_id", "url", "text", "n_chars")
