@@ -13,6 +13,8 @@ from retrievo.llm.html_crf import extract_main
 from retrievo.llm.html_crf import fit as fit_field
 from retrievo.llm.ngram_join import similar_sets
 from retrievo.llm.pivots import near_vectors
+from retrievo.llm.quality import classify
+from retrievo.llm.quality import fit as fit_quality
 from retrievo.llm.registry import register, table
 from retrievo.llm.url_rules import judge
 from retrievo.llm.warc_zip import read_archives, write_archives
@@ -134,3 +136,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return extract_main(pages, fit_field(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@register("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities of low quality and toxicity, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit_quality(docs, table(spark, sf_dir, "labels"))) \
+        .select("doc_id", "p_low_quality", "p_toxic", "keep")
