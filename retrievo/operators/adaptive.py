@@ -53,6 +53,10 @@ class Language:
     stop_words: Sequence[str] = STOP_WORDS
 
 
+# Fixed value: the reason given where no route is decided.
+BYPASSED = "adaptive rag disabled or direct answer route"
+
+
 def route(questions: DataFrame, language: Language = Language(), max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Add route_type, route_reason, route_confidence and planned_rounds to questions (query_id, query)."""
     def decide(text: Column) -> Column:
@@ -191,14 +195,17 @@ def _contexts(routed: DataFrame, traces: DataFrame) -> DataFrame:
         "query_id", "rewritten_query", "changed", "verification_level", "verification_score", "verification_reason",
         F.col("round").alias("retrieval_rounds"), "chunk_count", "chunks")
     direct = F.col("route_type") == "DIRECT_ANSWER"
-    end = (F.when(direct, "direct_answer_route").when(F.col("verification_level") == "HIGH", "verification_high")
+    blank = normalize(F.col("query")) == ""  # bypasses the loop altogether
+    end = (F.when(blank, "direct_answer_no_retrieval").when(direct, "direct_answer_route").when(F.col("verification_level") == "HIGH", "verification_high")
            .when(F.col("verification_level") == "NONE", "no_evidence").otherwise("max_rounds_reached_partial"))
     out = routed.join(final, "query_id", "left")
     return (out.withColumn("end_reason", end)
-            .withColumn("used_adaptive", F.lit(True))
-            .withColumn("verified", direct | (F.col("verification_level") != "NONE"))
+            .withColumn("used_adaptive", ~blank)
+            .withColumn("route_reason", F.when(blank, BYPASSED).otherwise(F.col("route_reason")))
+            .withColumn("verified", ~blank & (direct | (F.col("verification_level") != "NONE")))
             .withColumn("verification_level", F.coalesce("verification_level", F.lit("NONE")))
-            .withColumn("verification_reason", F.coalesce("verification_reason", F.lit("direct answer route")))
+            .withColumn("verification_reason", F.coalesce(
+                "verification_reason", F.when(blank, "skipped").otherwise("direct answer route")))
             .withColumn("rewritten_query", F.coalesce("rewritten_query", "query"))
             .withColumn("rewritten", F.coalesce("changed", F.lit(False)))
             .withColumn("retrieval_rounds", F.coalesce("retrieval_rounds", F.lit(0)))

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SCORE_DIGITS = 9
-HITS_SCHEMA = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-HITS_DDL = "query_id long, doc_id long, score double"
+
+
+def hits_ddl(queries: DataFrame, docs: DataFrame) -> str:
+    """Columns of hits whose ids have the types that questions and documents have."""
+    return f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double"
+
+
+def id_array(column) -> np.ndarray:
+    """Ids as numbers, or as text that sorts by code point."""
+    return column.to_numpy(zero_copy_only=False).astype(str) if pa.types.is_string(column.type) else np.asarray(column)
+
+
+def arrow_type(spark_type: str) -> pa.DataType:
+    return pa.string() if spark_type == "string" else {"int": pa.int32()}.get(spark_type, pa.int64())
 
 
 class LocalTopK:
@@ -21,7 +34,7 @@ class LocalTopK:
         self.k = k
         self.floor = np.full(n_queries, min_score)
         self.query = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
+        self.ids: np.ndarray | None = None
         self.score = np.empty(0, np.float64)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -29,7 +42,7 @@ class LocalTopK:
         scores = np.round(scores, SCORE_DIGITS)
         rows, cols = np.nonzero(scores >= self.floor)
         query = np.concatenate([self.query, cols])
-        found = np.concatenate([self.ids, ids[rows]])
+        found = ids[rows] if self.ids is None else np.concatenate([self.ids, ids[rows]])
         score = np.concatenate([self.score, scores[rows, cols]])
         order = np.lexsort((found, -score, query))
         query, found, score = query[order], found[order], score[order]
@@ -40,7 +53,8 @@ class LocalTopK:
         self.floor[query[last]] = score[last]
         self.query, self.ids, self.score = query[keep], found[keep], score[keep]
 
-    def hits(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[self.query].astype(np.int64)), pa.array(self.ids.astype(np.int64)),
-             pa.array(self.score)], schema=HITS_SCHEMA)
+    def hits(self, query_ids: np.ndarray, query_type: str = "bigint", doc_type: str = "bigint") -> pa.RecordBatch:
+        ids = [] if self.ids is None else self.ids.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[self.query].tolist(), arrow_type(query_type)),
+                                           pa.array(ids, arrow_type(doc_type)), pa.array(self.score)],
+                                          names=["query_id", "doc_id", "score"])

@@ -51,22 +51,22 @@ def check_select(sql: str | None, allowed: set[str], known: set[str] = frozenset
     ``known``: other relations that the session could resolve; ``namespaces``: database and catalog names.
     """
     if sql is None or not sql.strip():
-        raise RejectedSql("SQL must not be blank.")
+        raise RejectedSql("There is no statement.")
     text = re.sub(r";+\s*$", "", sql.strip())
     low = text.lower()
     if not re.match(r"select\s", low):
         raise RejectedSql("Only SELECT queries are allowed.")
     if any(mark in low for mark in ("--", "/*", "*/", ";")):
-        raise RejectedSql("Comments and multi-statement SQL are not allowed.")
+        raise RejectedSql("One statement without comments, please.")
     bare = re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", low)
     if any(c in bare for c in "`\"\\{$:@"):
         raise RejectedSql("Quoted names and substitutions are not allowed.")
     for word in FORBIDDEN:
         if re.search(rf"\b{word.replace(' ', chr(92) + 's+')}\b", bare):
-            raise RejectedSql(f"Forbidden SQL keyword detected: {word}")
+            raise RejectedSql(f"This word may not stand in a statement: {word}")
     tables = re.findall(r"\b(?:from|join)\s+([a-z0-9_.$]+)", bare)
     if not tables:
-        raise RejectedSql("Query must reference a whitelisted table.")
+        raise RejectedSql("The statement reads none of the allowed tables.")
     for name in tables:
         if name not in allowed:
             raise RejectedSql(f"Access to table is not allowed: {name}")

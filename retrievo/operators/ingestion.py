@@ -44,7 +44,8 @@ def ingest_documents(docs: DataFrame, embed=None, size: int = CHUNK_SIZE, overla
 
 
 def category_of(file_name: Column) -> Column:
-    """train, dev or test when the file name contains the word, else general."""
+    """train, dev or test when the name of the file, without its folders, contains the word, else general."""
+    file_name = F.regexp_extract(file_name, r"[^/\\\\]*$", 0)
     out = F.lit("general")
     for word in ("test", "dev", "train"):
         out = F.when(F.contains(file_name, F.lit(word)), F.lit(word)).otherwise(out)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from retrievo.functions.text import bm25_tokenize
-from retrievo.operators.blocks import HITS_DDL, SCORE_DIGITS, LocalTopK
+from retrievo.operators.blocks import SCORE_DIGITS, LocalTopK, hits_ddl, id_array
 from retrievo.operators.ordered import top_k
 from retrievo.staging import stage
 
@@ -196,23 +196,24 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b
 
 def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """Top ``k`` for the question terms ``qt`` (query_id, term, qtf), at most ``SCAN_TERMS`` rows of them."""
-    tokens = docs.select(F.col("doc_id").cast("long"), bm25_tokenize(F.col("text")).alias("tokens"))
+    tokens = docs.select("doc_id", bm25_tokenize(F.col("text")).alias("tokens"))
     counted = (tokens.select(F.size("tokens").cast("long").alias("dl"),
                              F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(DOCUMENT_ROW))))
                              .alias("term"))
                .join(_wanted(qt), "term", "left_semi")
                .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total")))
+    ddl, query_type, doc_type = hits_ddl(qt, docs), dict(qt.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
     counts = counted.toArrow()  # one row per question term
     terms, df = counts["term"].combine_chunks(), counts["df"].to_numpy()
     corpus = pc.index(terms, DOCUMENT_ROW).as_py()
     if corpus < 0:
-        return docs.sparkSession.createDataFrame([], HITS_DDL + ", rank int")
+        return docs.sparkSession.createDataFrame([], ddl + ", rank int")
     n_docs, avg_dl = int(df[corpus]), counts["total"][corpus].as_py() / int(df[corpus])
     asked = qt.toArrow()  # bounded by SCAN_TERMS
     place = np.asarray(pc.fill_null(pc.index_in(asked["term"].combine_chunks(), value_set=terms), -1))
     order = np.argsort(place, kind="stable")
     order = order[place[order] >= 0]
-    query_ids, query = np.unique(asked["query_id"].to_numpy()[order], return_inverse=True)
+    query_ids, query = np.unique(id_array(asked["query_id"].combine_chunks())[order], return_inverse=True)
     rarity = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     weight = asked["qtf"].to_numpy()[order] * rarity[place[order]]
     first = np.searchsorted(place[order], np.arange(len(terms) + 1))
@@ -224,7 +225,7 @@ def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float =
         best = LocalTopK(n_queries, k, 10.0 ** -SCORE_DIGITS)
         step = max(1, SCORE_CELLS // max(1, n_queries))
         for batch in batches:
-            ids, lists = np.asarray(batch.column(0)), batch.column(1)
+            ids, lists = id_array(batch.column(0)), batch.column(1)
             lengths = np.asarray(lists.value_lengths(), dtype=np.int64)
             term = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1), dtype=np.int64)
             row = np.repeat(np.arange(len(ids)), lengths)
@@ -241,9 +242,9 @@ def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float =
                 scores = np.bincount(cell, weights=np.repeat(sat[lo:hi], per) * weight[entry],
                                      minlength=size * n_queries)
                 best.add(ids[start:start + size], scores.reshape(size, n_queries))
-        yield best.hits(query_ids)
+        yield best.hits(query_ids, query_type, doc_type)
 
-    return top_k(tokens.mapInArrow(scan, HITS_DDL), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return top_k(tokens.mapInArrow(scan, ddl), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def bm25_over_candidates(candidates: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B,

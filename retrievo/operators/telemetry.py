@@ -154,6 +154,7 @@ def token_budget(df: DataFrame, identity: str, text_length: Column, per_min: int
                  overhead: int = 256, request: str = "event_id", prior: DataFrame | None = None) -> DataFrame:
     """Add bucket, tokens, retry_after and ``decision``: the first check that rejects a request, or ``allowed``.
 
+    ``retry_after``: null for allowed requests, 0 where a smaller request is needed, else the seconds left of the bucket.
     Order: input length, request rate, tokens of the request, tokens of the identity in the bucket. Rejected requests
     count towards the rate, and those that reach the last check use budget even when they fail it. Each request costs
     at least ``overhead`` tokens, so at most ``per_min / overhead`` requests of a bucket can pass the last check and
@@ -184,7 +185,9 @@ def token_budget(df: DataFrame, identity: str, text_length: Column, per_min: int
     out = parts[0].select(*keep)
     for p in parts[1:]:
         out = out.unionByName(p.select(*keep))
-    return out
+    left = F.greatest(F.lit(1), window_s - _epoch() % window_s)
+    return out.withColumn("retry_after", F.when(F.col("decision") == "allowed", None).when(
+        F.col("decision").isin("request_too_large", "request_cost_limit_exceeded"), 0).otherwise(left))
 
 
 def quota_counters(decided: DataFrame, identity: str, prior: DataFrame | None = None) -> DataFrame:

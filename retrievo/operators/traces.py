@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from retrievo.functions.text import is_blank, strip
-from retrievo.operators.ordered import spans
+from retrievo.operators.ordered import row_numbers, spans
 
 MAX_STEPS = 10
 MAX_REPEATED = 3
 MAX_SUBTASKS = 5
-TIMEOUT_MS = 60_000
+TIMEOUT_MS = 180_000
 # Tool names, error prefixes and rate-limit phrases.
 TOOLS = ("query_database", "call_external_api")
 TOOL_ERROR_PREFIXES = ("Error:", "参数解析失败")
@@ -68,14 +68,19 @@ def repeated(df: DataFrame, n: int = MAX_REPEATED, run: str = "run_id", step: st
              observation: str = "observation", span: int = 1024) -> DataFrame:
     """Add ``repeated``: the observation equals those of the ``n - 1`` steps before it.
 
-    Steps of a run are numbered consecutively; a long run is worked on in spans of steps.
+    Step numbers may have gaps. A long run is worked on in spans of its steps in order.
     """
-    w = Window.partitionBy(run, "span").orderBy(step)
+    ordered = row_numbers(df, [run], [step], F.floor(F.col(step) / span), "_row")
+    w = Window.partitionBy(run, "span").orderBy("_row")
+    cut = spans(ordered, "_row", span, n - 1).withColumn("repeated", _same_as_before(n, observation, w))
+    return cut.filter("NOT copied").drop("span", "copied", "_row")
+
+
+def _same_as_before(n: int, observation: str, w) -> Column:
     same = F.col(observation).isNotNull()
     for i in range(1, n):
         same = same & (F.lag(observation, i).over(w) == F.col(observation))
-    cut = spans(df, step, span, n - 1).withColumn("repeated", F.coalesce(same, F.lit(False)))
-    return cut.filter("NOT copied").drop("span", "copied")
+    return F.coalesce(same, F.lit(False))
 
 
 def stop_reasons(steps: DataFrame, max_steps: int = MAX_STEPS, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
@@ -87,7 +92,7 @@ def stop_reasons(steps: DataFrame, max_steps: int = MAX_STEPS, timeout_ms: int =
     steps = steps.filter(F.col("step") <= max_steps)  # a run is at most max_steps rows from here on
     w = Window.partitionBy("run_id").orderBy("step")
     used = F.coalesce(F.sum("latency_ms").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = repeated(steps).withColumn("_before", used)
+    marked = steps.withColumns({"_before": used, "repeated": _same_as_before(MAX_REPEATED, "observation", w)})
     reason = (F.when(F.col("_before") > timeout_ms, "timeout")
               .when(F.col("llm_error"), "llm_error")
               .when(~is_blank(F.col("final_answer")), "final_answer")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from retrievo.functions.vectors import relevance
-from retrievo.operators.blocks import HITS_DDL, HITS_SCHEMA, SCORE_DIGITS, LocalTopK
+from retrievo.operators.blocks import SCORE_DIGITS, LocalTopK, arrow_type, hits_ddl, id_array
 from retrievo.operators.ordered import top_k
 from retrievo.staging import stage
 # scores one task holds at a time
@@ -36,13 +36,13 @@ def _matrix(ids: pa.ChunkedArray | pa.Array, vectors, dim: int) -> tuple[np.ndar
         ids, vectors = ids.filter(mask), vectors.filter(mask)
     rows = np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(ids), dim)
     size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return np.asarray(ids), np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+    return id_array(ids), np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def _block_hits(q_ids, q_rows, ids, rows, k: int, min_score: float) -> pa.RecordBatch:
+def _block_hits(q_ids, q_rows, ids, rows, k: int, min_score: float, types: tuple[str, str]) -> pa.RecordBatch:
     best = LocalTopK(len(q_ids), k, min_score)
     best.add(ids, rows @ q_rows.T)
-    return best.hits(q_ids)
+    return best.hits(q_ids, *types)
 
 
 def vector_candidates(index: DataFrame, queries: DataFrame, k: int, min_score: float = -1.0,
@@ -51,10 +51,11 @@ def vector_candidates(index: DataFrame, queries: DataFrame, k: int, min_score: f
 
     ``index``: doc_id, embedding. ``queries``: query_id, embedding.
     """
-    queries = stage(queries.select(F.col("query_id").cast("long"), "embedding"), "query_vectors")
+    queries = stage(queries.select("query_id", "embedding"), "query_vectors")
+    ddl, types = hits_ddl(queries, index), (dict(queries.dtypes)["query_id"], dict(index.dtypes)["doc_id"])
     dim_row = queries.agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     dim, n_queries = dim_row["d"] or 0, dim_row["n"]
-    index = index.select(F.col("doc_id").cast("long"), "embedding").filter(F.size("embedding") == dim)
+    index = index.select("doc_id", "embedding").filter(F.size("embedding") == dim)
     if n_queries * dim * 8 <= broadcast_bytes:
         table = queries.toArrow()
         q_ids, q_rows = _matrix(table["query_id"], table["embedding"], dim)
@@ -68,9 +69,9 @@ def vector_candidates(index: DataFrame, queries: DataFrame, k: int, min_score: f
                 ids, rows = _matrix(batch.column(0), batch.column(1), dim)
                 for start in range(0, len(ids), step):
                     best.add(ids[start:start + step], rows[start:start + step] @ rows_q.T)
-            yield best.hits(ids_q)
+            yield best.hits(ids_q, *types)
 
-        return index.mapInArrow(scan, HITS_DDL)
+        return index.mapInArrow(scan, ddl)
 
     q_blocks = max(1, math.ceil(n_queries * dim * 8 / broadcast_bytes))
     d_blocks = max(1, math.ceil(index.count() / block_rows))
@@ -82,9 +83,9 @@ def vector_candidates(index: DataFrame, queries: DataFrame, k: int, min_score: f
     def cell(docs: pa.Table, asks: pa.Table) -> pa.Table:
         ids, rows = _matrix(docs["doc_id"], docs["embedding"], dim)
         q_ids, q_rows = _matrix(asks["query_id"], asks["embedding"], dim)
-        return pa.Table.from_batches([_block_hits(q_ids, q_rows, ids, rows, k, min_score)])
+        return pa.Table.from_batches([_block_hits(q_ids, q_rows, ids, rows, k, min_score, types)])
 
-    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(cell, HITS_DDL)
+    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(cell, ddl)
 
 
 def vector_search(index: DataFrame, queries: DataFrame, k: int = 20, min_score: float = 0.7,
@@ -138,14 +139,15 @@ def nearest_cells(vectors: DataFrame, centroids: DataFrame, n: int, id_col: str)
                  pa.array(np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(ids)))],
                 names=[id_col, "embedding", "cell", "rank"])
 
-    sized = vectors.select(F.col(id_col).cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = dict(vectors.dtypes)[id_col]
+    sized = vectors.select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
     return sized.filter(F.size("embedding") == dim).mapInArrow(
-        assign, f"{id_col} long, embedding array<double>, cell long, rank int")
+        assign, f"{id_col} {kind}, embedding array<double>, cell long, rank int")
 
 
 def build_ivf(index: DataFrame, n_cells: int, method: str = "sampled") -> tuple[DataFrame, DataFrame]:
     """Cell centres and the vectors with their cell: (cell, centre) and (doc_id, embedding, cell)."""
-    index = index.select(F.col("doc_id").cast("long"), "embedding")
+    index = index.select("doc_id", "embedding")
     made = sampled_centroids(index, n_cells) if method == "sampled" else kmeans_centroids(index, n_cells)
     centroids = stage(made, "centroids")
     return centroids, stage(nearest_cells(index, centroids, 1, "doc_id"), "ivf").drop("rank")
@@ -158,7 +160,9 @@ def ivf_search(ivf: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, npr
     A cell larger than ``block_rows`` is cut into blocks, and only the questions that probe a cell meet its blocks.
     """
     centroids, members = ivf
-    queries = stage(queries.select(F.col("query_id").cast("long"), "embedding"), "query_vectors")
+    queries = stage(queries.select("query_id", "embedding"), "query_vectors")
+    ddl, types = hits_ddl(queries, members), (dict(queries.dtypes)["query_id"], dict(members.dtypes)["doc_id"])
+    schema = pa.schema([("query_id", arrow_type(types[0])), ("doc_id", arrow_type(types[1])), ("score", pa.float64())])
     blocks = stage(members.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks")), "cell_sizes")
     probed = stage(nearest_cells(queries, centroids, nprobe, "query_id").drop("rank"), "probes")
@@ -171,7 +175,7 @@ def ivf_search(ivf: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, npr
 
     def cell_block(found: pa.Table, asks: pa.Table) -> pa.Table:
         if len(found) == 0 or len(asks) == 0:
-            return pa.Table.from_batches([], schema=HITS_SCHEMA)
+            return pa.Table.from_batches([], schema=schema)
         dim = len(asks["embedding"][0])
         ids, rows = _matrix(found["doc_id"], found["embedding"], dim)
         # questions go through in slices, so the score matrix stays bounded
@@ -179,10 +183,10 @@ def ivf_search(ivf: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, npr
         for start in range(0, len(asks), 1024):
             piece = asks.slice(start, 1024)
             q_ids, q_rows = _matrix(piece["query_id"], piece["embedding"], dim)
-            parts.append(_block_hits(q_ids, q_rows, ids, rows, k, min_score))
-        return pa.Table.from_batches(parts, schema=HITS_SCHEMA)
+            parts.append(_block_hits(q_ids, q_rows, ids, rows, k, min_score, types))
+        return pa.Table.from_batches(parts, schema=schema)
 
-    hits = docs.groupBy("cell", "_b").cogroup(probes.groupBy("cell", "_b")).applyInArrow(cell_block, HITS_DDL)
+    hits = docs.groupBy("cell", "_b").cogroup(probes.groupBy("cell", "_b")).applyInArrow(cell_block, ddl)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 

@@ -14,20 +14,33 @@ from retrievo.plans.retrieval import corpus, questions, vector_index, vector_que
 from retrievo.staging import stage
 
 KS = [1, 3, 5, 10]
+SHORT_PASSAGES = 200  # of one or two words that one pass over the documents looks for
 
 
 def containment(docs, passages):
     """(query_id, doc_id) of passages contained in documents.
 
     A passage's words other than the first and last stand between the same spaces in a document that contains it, so
-    the longest of them is the join key; ``contains`` then decides. Passages need three words.
+    the longest of them is the join key; ``contains`` then decides. Passages without such a word are few and short; they
+    go to every document in blocks of bounded size, as an array that each row filters.
     """
     words = F.split("query", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    keyed = passages.select("query_id", "query", longest.alias("_w"))
+    passages = stage(passages.select("query_id", "query", longest.alias("_w")), "passages")
     shown = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("_w"))
-    return shown.join(keyed, "_w").filter(F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    held = shown.join(passages.filter("_w <> ''"), "_w").filter(F.contains("text", F.col("query"))) \
+        .select("query_id", "doc_id")
+    short = passages.filter("_w = '' AND query <> ''").drop("_w")
+    n_blocks = -(-short.count() // SHORT_PASSAGES)
+    for i in range(n_blocks):
+        block = short.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == i).collect()
+        if not block:
+            continue
+        found = F.filter(F.array(*[F.struct(F.lit(p.query_id).alias("query_id"), F.lit(p.query).alias("query"))
+                                   for p in block]), lambda p: F.contains(F.col("text"), p["query"]))
+        held = held.unionByName(docs.select(F.explode(found).alias("p"), "doc_id").select("p.query_id", "doc_id"))
+    return held
 
 
 def cases(spark, sf_dir):

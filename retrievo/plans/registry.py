@@ -29,11 +29,16 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+# texts up to this size are dealt to all cores, as one small file may be a single row group that cannot be split
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared table. One read from fewer files than there are cores is spread over the cores first."""
+    """A shared table as ``spark.sql.files.maxPartitionBytes`` splits it; only small texts are dealt anew."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in _TEXT_TABLES and len(df.inputFiles()) < cores else df
+    if name in _TEXT_TABLES and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 # tables whose rows cost much more to process than to move

@@ -62,7 +62,7 @@ def stream_rate_limit(spark, sf_dir):
 @register("stream_token_budget", SQL["token_budget_replay"])
 def stream_token_budget(spark, sf_dir):
     out = _decided(spark, sf_dir, text_length=F.ceil(F.col("value") * 40), limit=3, per_min=4_500)
-    return out.select("event_id", "tokens", "decision")
+    return out.select("event_id", "tokens", "decision", "retry_after")
 
 
 @register("stream_import", SQL["import_counts"])

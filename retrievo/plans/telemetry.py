@@ -152,11 +152,13 @@ s2 AS (SELECT *, row_number() OVER (PARTITION BY user_id, b ORDER BY ts, event_i
 s3 AS (SELECT *, CASE WHEN n > 3 THEN 'rate_limit_exceeded' WHEN tokens > 4000 THEN 'request_cost_limit_exceeded' END
   AS d2 FROM s2),
 s4 AS (SELECT *, sum(tokens) OVER (PARTITION BY user_id, b ORDER BY ts, event_id) AS used FROM s3 WHERE d2 IS NULL)
-SELECT event_id, tokens, d AS decision FROM s1 WHERE d IS NOT NULL
-UNION ALL SELECT event_id, tokens, d2 FROM s3 WHERE d2 IS NOT NULL
-UNION ALL SELECT event_id, tokens, CASE WHEN used <= 4500 THEN 'allowed' ELSE 'cost_budget_exceeded' END FROM s4""")
+SELECT event_id, tokens, decision, CASE WHEN decision = 'allowed' THEN NULL WHEN decision LIKE 'request%' THEN 0
+  ELSE greatest(1, {WINDOW_S} - floor(epoch(ts))::BIGINT % {WINDOW_S}) END AS retry_after FROM (
+SELECT event_id, ts, tokens, d AS decision FROM s1 WHERE d IS NOT NULL
+UNION ALL SELECT event_id, ts, tokens, d2 FROM s3 WHERE d2 IS NOT NULL
+UNION ALL SELECT event_id, ts, tokens, CASE WHEN used <= 4500 THEN 'allowed' ELSE 'cost_budget_exceeded' END FROM s4)""")
 def token_budget_replay(spark, sf_dir):
     """Forty characters per unit of value stand in for the input text."""
     ev = events(spark, sf_dir)
     return m.token_budget(ev, "user_id", F.ceil(F.col("value") * 40), per_min=4_500, requests=3,
-                          window_s=WINDOW_S).select("event_id", "tokens", "decision")
+                          window_s=WINDOW_S).select("event_id", "tokens", "decision", "retry_after")
