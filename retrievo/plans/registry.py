@@ -36,7 +36,7 @@ SMALL_BYTES = 64 << 20
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A shared table as ``spark.sql.files.maxPartitionBytes`` splits it; only small texts are dealt anew."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in _TEXT_TABLES and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES:
+    if name in _TEXT_TABLES and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
