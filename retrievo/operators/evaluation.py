@@ -115,17 +115,21 @@ def compare_profiles(cases: DataFrame, profiles: Sequence[Profile], ks: Sequence
     of a ranked list, so every profile's list is a prefix of it.
     """
     ks = sanitize_ks(ks)
-    vector_hits, bm25_hits = stage(vector_hits, "vector_hits"), stage(bm25_hits, "bm25_hits")
-    out = None
-    for p in [p.resolved() for p in profiles] or [Profile().resolved()]:
-        near = vector_hits.filter(F.col("score") >= p.threshold)
-        if p.hybrid:
-            hits = fusion.rrf_fuse(near.filter(F.col("rank") <= fusion.ROUTE_K), bm25_hits, max(ks))
-        else:
-            hits = near.filter(F.col("rank") <= max(ks))
-        rows = per_case(hits, cases, ks, relevant).withColumn("profile", F.lit(p.name))
-        out = rows if out is None else out.unionByName(rows)
-    return summarize(out, keys=["profile"])
+    own = [p.resolved() for p in profiles] or [Profile().resolved()]
+    table = F.array(*[F.struct(F.lit(p.name).alias("name"), F.lit(float(p.threshold)).alias("threshold"),
+                               F.lit(p.hybrid).alias("hybrid")) for p in own])
+
+    def each(df: DataFrame) -> DataFrame:
+        """The rows for each profile, whose name is part of the question from here on."""
+        return df.withColumn("_p", F.explode(table)).withColumn("query_id", F.struct("_p.name", "query_id"))
+
+    near = stage(each(vector_hits).filter("score >= _p.threshold"), "vector_hits")
+    fused = fusion.rrf_fuse(near.filter(F.col("_p.hybrid") & (F.col("rank") <= fusion.ROUTE_K)),
+                            each(bm25_hits).filter("_p.hybrid"), max(ks))
+    alone = near.filter(~F.col("_p.hybrid") & (F.col("rank") <= max(ks)))
+    hits = fused.select("query_id", "doc_id", "rank").unionByName(alone.select("query_id", "doc_id", "rank"))
+    rows = per_case(hits, each(cases), ks, None if relevant is None else each(relevant))
+    return summarize(rows.withColumn("profile", F.col("query_id.name")), keys=["profile"])
 
 
 def metric_rows(report: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

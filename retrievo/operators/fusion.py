@@ -10,6 +10,7 @@ from retrievo.functions.text import search_key
 from retrievo.operators.lexical import Bm25Index, bm25_over_candidates, bm25_search, bm25_top
 from retrievo.operators.ordered import top_k
 from retrievo.operators.vector import vector_search
+from retrievo.staging import stage
 
 RRF_K = 60
 ROUTE_K = 20
@@ -73,7 +74,7 @@ def hybrid_search(index: DataFrame, queries: DataFrame, options: SearchOptions =
         vector_hits = vector_search(index, queries, ROUTE_K, opts.threshold)
         lexical_hits = bm25_search(bm25, queries, ROUTE_K) if bm25 is not None else bm25_top(corpus, queries, ROUTE_K)
     elif candidates is not None:
-        pool = vector_search(index, queries, CANDIDATE_POOL, opts.threshold)
+        pool = stage(vector_search(index, queries, CANDIDATE_POOL, opts.threshold), "pool")
         vector_hits = pool.filter(F.col("rank") <= ROUTE_K)
         texts = pool.select("query_id", "doc_id").join(candidates.select("doc_id", "text"), "doc_id")
         lexical_hits = bm25_over_candidates(texts, queries, ROUTE_K)

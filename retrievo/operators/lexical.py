@@ -250,16 +250,18 @@ def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float =
 def bm25_over_candidates(candidates: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B,
                          query_id: str = "query_id", text: str = "query") -> DataFrame:
     """BM25 whose statistics come from each question's own candidates (query_id, doc_id, text)."""
-    qt = stage(query_terms(queries, query_id, text), "query_terms")
-    tokens = candidates.select("query_id", "doc_id", bm25_tokenize(F.col("text")).alias("_tokens"))
-    sized = tokens.select("query_id", "doc_id", "_tokens", F.size("_tokens").cast("long").alias("dl"))
-    stats = sized.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    tf = (sized.select("query_id", "doc_id", "dl", F.explode("_tokens").alias("term"))
-          .join(qt, ["query_id", "term"])
-          .groupBy("query_id", "doc_id", "dl", "term", "qtf").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scores = (tf.join(df, ["query_id", "term"]).join(stats, "query_id")
-              .groupBy("query_id", "doc_id")
-              .agg(F.sum(F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
-                         * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)).alias("score")))
+    asked = query_terms(queries, query_id, text).groupBy("query_id").agg(
+        F.collect_list(F.struct("term", "qtf")).alias("_asked"))  # the terms of one question
+    # everything below stays in the partition of its question: one pass over each pool
+    pool = Window.partitionBy("query_id")
+    sized = (candidates.select("query_id", "doc_id", bm25_tokenize(F.col("text")).alias("_tokens"))
+             .withColumn("dl", F.size("_tokens").cast("long"))
+             .withColumns({"n_docs": F.count(F.lit(1)).over(pool), "avg_dl": F.avg("dl").over(pool)}))
+    found = (sized.join(asked, "query_id").select("*", F.explode("_asked").alias("_a"))
+             .select("query_id", "doc_id", "dl", "n_docs", "avg_dl", "_a.term", "_a.qtf",
+                     F.size(F.filter("_tokens", lambda t: t == F.col("_a.term"))).alias("tf"))
+             .filter("tf > 0").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "term"))))
+    scores = found.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("qtf") * idf(F.col("n_docs"), F.col("df"))
+              * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)).alias("score"))
     return _ranked(scores, k)
