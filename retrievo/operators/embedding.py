@@ -40,15 +40,6 @@ def hashed_embedding(df: DataFrame, text: str = "text", out: str = "embedding",
     return hashed.mapInArrow(weigh, schema)
 
 
-def hashed_weights(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
-    """The hashed vectors as long rows: doc_id, bucket, weight."""
-    counts = (docs.select(F.col(doc_id).alias("doc_id"), F.explode(bm25_tokenize(F.col(text))).alias("_t"))
-              .groupBy("doc_id", term_bucket(F.col("_t"), dim).alias("bucket"))
-              .agg(F.log(1 + F.count(F.lit(1))).alias("_w")))
-    norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return counts.join(norms, "doc_id").select("doc_id", "bucket", (F.col("_w") / F.col("_norm")).alias("weight"))
-
-
 def dedupe_embed(df: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] = hashed_embedding,
                  text: str = "text", out: str = "embedding") -> DataFrame:
     """Embed each distinct text once and attach the vector to every row that holds the text.

@@ -176,9 +176,12 @@ def ann_recall(spark, sf_dir):
 WITH c AS (SELECT doc_id, b AS bucket, ln(1 + count(*)) AS w FROM (
     SELECT doc_id, (('0x' || md5(t)[1:8])::BIGINT % 64)::INTEGER AS b
     FROM (SELECT doc_id, unnest({q.tokens('text')}) AS t FROM documents)) GROUP BY ALL)
-SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""")
+SELECT doc_id, bucket, round((w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)))::REAL::DOUBLE, 6) AS weight FROM c""")
 def hashed_embedding(spark, sf_dir):
-    return embedding.hashed_weights(corpus(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    """The vectors' elements that are not zero, as rows."""
+    made = embedding.hashed_embedding(corpus(spark, sf_dir))
+    weights = made.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight > 0")
+    return weights.withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
 @register("embed_dedupe", """

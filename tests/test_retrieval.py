@@ -174,5 +174,4 @@ def test_hashed_embedding(spark):
     out = {r.doc_id: r.embedding for r in embedding.dedupe_embed(d).collect()}
     assert out[1] == out[2] != out[3] and out[4] is None
     assert np.linalg.norm(out[1]) == pytest.approx(1, abs=1e-6)
-    long = embedding.hashed_weights(d).filter("doc_id = 1").collect()
-    assert {r.bucket for r in long} == {i for i, x in enumerate(out[1]) if x > 0}
+    assert sum(x > 0 for x in out[1]) in (1, 2)
