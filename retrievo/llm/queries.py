@@ -20,14 +20,54 @@ from retrievo.llm.url_rules import judge
 from retrievo.llm.warc_zip import read_archives, write_archives
 
 
-@register("op1_ngram_jaccard_join")
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+grams AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.node = links.a)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(node) AS component_id FROM sets JOIN reach USING (doc_id) GROUP BY doc_id
+"""
+
+
+@register("op1_ngram_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with Jaccard similarity of at least 0.9 on three-word shingles."""
     return similar_sets(table(spark, sf_dir, "documents"), width=3, percent=90) \
         .select("doc_id", "n_shingles", "component_id")
 
 
-@register("op3_benchmark_decontamination")
+OP3_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+found AS MATERIALIZED (
+  SELECT doc_id, i, n, item_id
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows)) d
+  JOIN windows USING (n) WHERE array_to_string(w[i:i + n - 1], ' ') = g),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(held.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
+@register("op3_benchmark_decontamination", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of ten words in every document."""
     found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -102,7 +142,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
-@register("op8_embedding_near_dedup")
+OP8_SQL = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_sum([CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END FOR x IN embedding]) = 0
+    AND list_sum([abs(x) FOR x IN embedding]) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach(vec_id, node) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.node = links.a),
+least AS (SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
+"""
+
+
+@register("op8_embedding_near_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors with a cosine of at least 0.95."""
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
