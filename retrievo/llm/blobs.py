@@ -62,7 +62,7 @@ def gather(parts: DataFrame, length: int, dtype: str, add: Callable = np.add) ->
 
     tasks = max(1, min(-(-length // BLOCK), parts.sparkSession.sparkContext.defaultParallelism))
     out = np.zeros(length, dtype)
-    for block, data in parts.repartition(tasks, "block").mapInArrow(together, SCHEMA).collect():
+    for block, data in parts.repartition(tasks, "block").mapInArrow(together, SCHEMA).toLocalIterator():
         part = _unpack(bytes(data), dtype)
         out[block * BLOCK:(block + 1) * BLOCK] = part[:length - block * BLOCK]
     return out
