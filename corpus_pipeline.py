@@ -13,7 +13,7 @@ from retrievo.llm.bpe import default_path, read_definition, tokenize
 from retrievo.llm.decontaminate import remove_passages
 from retrievo.llm.ngram_join import one_of_each
 from retrievo.llm.quality import classify, fit
-from retrievo.session import ship
+from retrievo.llm.registry import prepare
 from retrievo.staging import stage
 
 
@@ -22,20 +22,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the co-trained classifier takes for neither low quality nor toxic."""
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs.select(COLUMNS), fit(docs, labels)).where("keep").select(COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: Jaccard similarity of at least 0.8 on five-word shingles."""
-    ship(spark)
+    prepare(spark)
     return one_of_each(docs.select(COLUMNS), width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with benchmark passages cut out; ``n_chars`` follows the text."""
-    ship(spark)
+    prepare(spark)
     clean = remove_passages(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))
                             .otherwise(F.col("n_chars")))
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document with the number and digest of its tokens and the digest of what they decode to."""
-    ship(spark)
+    prepare(spark)
     return tokenize(docs.select(COLUMNS), read_definition(default_path()), digests=True) \
         .select("doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 

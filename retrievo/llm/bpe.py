@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from retrievo.llm.words import slices
 
 WORD_END = "</w>"
-MEMORY_WORDS = 500_000  # distinct words, and spans between white space, that a Python worker keeps before it starts anew
+MEMORY_WORDS = 250_000  # distinct words, and spans between white space, that a Python worker keeps before it starts anew
 
 
 def _byte_letters() -> list[str]:

@@ -13,11 +13,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+BATCH_ROWS = 1000  # texts that a Python task holds at once
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers and keep batches of texts small."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def register(name: str, sql: str | None = None):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
