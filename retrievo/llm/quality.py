@@ -26,7 +26,7 @@ from retrievo.staging import stage
 
 LABELLED, POOL = 6000, 3000  # documents that are learned from
 ROUNDS, SURE, ADDED = 3, 0.98, 300  # a round adds so many documents of the pool for each answer, if a view is so sure
-FEATURES, LEAST_DOCS = 3000, 4      # text features of each question, and in how many labelled documents one must be
+FEATURES, LEAST_DOCS = 800, 4      # text features of each question, and in how many labelled documents one must be
 STEPS, DECAY = 80, 1e-3
 REJECT = 0.5
 QUESTIONS = ("low_quality", "toxic")
