@@ -43,6 +43,7 @@ def blocks_of(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(table), BLOCK):
         part = table[i:i + BLOCK]
         if part.any():
+            part = np.pad(part, (0, BLOCK - len(part)))
             yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([_pack(part)])],
                                              schema=_ARROW)
 

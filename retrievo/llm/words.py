@@ -93,7 +93,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int =
             for x in range(first, last, limit):
                 y = min(x + limit, last)
                 part = (LOWER[data[x:y]].astype(_U) + _U(1)) * _multipliers(x - first, y - x)
-                out[at] += part.sum(dtype=_U)
+                out[at:to] += part.sum(dtype=_U)
         else:
             own = starts[at:to] - first
             widths = np.diff(own, append=last - first)
