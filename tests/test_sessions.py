@@ -112,7 +112,7 @@ def test_stop_reasons(spark):
     rows = [(1, 1, q, "a", None, False, 5), (1, 2, None, None, "done", False, 5), (1, 3, q, "x", None, False, 5),
             (2, 1, q, "s", None, False, 5), (2, 2, q, "s", None, False, 5), (2, 3, q, "s", None, False, 5),
             (3, 1, None, None, None, False, 5), (4, 1, None, None, None, True, 5),
-            (5, 1, q, "Error: x", None, False, 70_000), (5, 2, q, "b", None, False, 5)]
+            (5, 1, q, "Error: x", None, False, 190_000), (5, 2, q, "b", None, False, 5)]
     rows += [(6, i, q, f"o{i}", None, False, 5) for i in range(1, 11)] + [(6, 11, None, None, "late", False, 5)]
     out = {r.run_id: r for r in traces.stop_reasons(steps(spark, rows)).collect()}
     assert {k: (r.stop_reason, r.step_count) for k, r in out.items()} == {
