@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from retrievo.functions.text import bm25_tokenize
 from retrievo.operators.blocks import SCORE_DIGITS, LocalTopK, hits_ddl, id_array
 from retrievo.operators.ordered import top_k
+from retrievo.sources.index import index_exists
 from retrievo.staging import stage
 
 K1 = 1.2
@@ -105,6 +106,16 @@ def read_index(spark, path: str, max_age: str | None = None) -> Bm25Index | None
     return Bm25Index(table.drop("built_at"))
 
 
+def fresh_index(docs: DataFrame, path: str, max_age: str, partitions: int) -> Bm25Index:
+    """The stored index of ``docs``, built anew where there is none yet or it is older than ``max_age``."""
+    spark = docs.sparkSession
+    index = read_index(spark, path, max_age) if index_exists(spark, path) else None
+    if index is None:
+        write_index(Bm25Index(postings(docs)), path, partitions)
+        index = read_index(spark, path)
+    return index
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from retrievo.operators import evaluation, fusion, lexical, vector
 from retrievo.plans import sqltext as q
-from retrievo.plans.registry import register, table
+from retrievo.plans.registry import SQL, register, table
 from retrievo.plans.retrieval import corpus, questions, vector_index, vector_questions
-from retrievo.staging import stage
+from retrievo.sources.index import append_report, stored_reports
+from retrievo.staging import new_stage_path, stage
 
 KS = [1, 3, 5, 10]
 SHORT_PASSAGES = 200  # of one or two words that one pass over the documents looks for
@@ -168,6 +169,21 @@ SELECT k, metric, round(baseline, 5) AS baseline, round(candidate, 5) AS candida
   round(candidate - baseline, 5) AS delta FROM lb JOIN lc USING (k, metric)""")
 def metric_deltas(spark, sf_dir):
     """BM25 against vectors alone."""
+    return _rounded_deltas(evaluation.metric_deltas(*_two_reports(spark, sf_dir)))
+
+
+@register("stored_report_deltas", SQL["metric_deltas"])
+def stored_report_deltas(spark, sf_dir):
+    """The same two reports saved as runs, read back by run and compared."""
+    path = new_stage_path(spark, "reports")
+    for run_id, report in zip(("vectors", "bm25"), _two_reports(spark, sf_dir)):
+        append_report(report, path, run_id)
+    stored = stored_reports(spark, path)
+    of = lambda run: stored.filter(F.col("run_id") == run).select("k", "metric", "value")
+    return _rounded_deltas(evaluation.metric_deltas(of("vectors"), of("bm25")))
+
+
+def _two_reports(spark, sf_dir):
     known, relevant = cases(spark, sf_dir)
     near = vector.vector_search(vector_index(spark, sf_dir), vector_questions(spark, sf_dir), 10, -1.0)
 
@@ -175,10 +191,11 @@ def metric_deltas(spark, sf_dir):
         report = _report(evaluation.summarize(evaluation.per_case(hits, known, KS, relevant))).filter("scope = 'overall'")
         return evaluation.metric_rows(report, ["k"], _METRICS)
 
-    out = evaluation.metric_deltas(long(near), long(lexical_hits(spark, sf_dir)))
-    for c in ("baseline", "candidate", "delta"):
-        out = out.withColumn(c, F.round(c, 5))
-    return out
+    return long(near), long(lexical_hits(spark, sf_dir))
+
+
+def _rounded_deltas(out):
+    return out.withColumns({c: F.round(c, 5) for c in ("baseline", "candidate", "delta")})
 
 
 # Case stand-ins: conversation messages as questions, ids with blanks and repeats, categories for two of the roles.

@@ -102,6 +102,11 @@ def append_report(report: DataFrame, path: str, run_id: str) -> None:
      .write.mode("append").partitionBy("run_id").parquet(path))
 
 
+def stored_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored run's long report with ``run_id`` and ``generated_at``."""
+    return spark.read.parquet(path)
+
+
 def report_history(reports: DataFrame, limit: int = HISTORY_DEFAULT) -> DataFrame:
     """Newest reports (file_name, modified_at, payload): other files are ignored, unreadable ones skipped."""
     n = min(max(limit, 1), HISTORY_MAX)

@@ -95,3 +95,13 @@ def test_staging_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(staging, "_staged", [])
     table = staging.stage(spark.range(3), "gone")
     assert table.count() == 3 and staging.remove_staged(spark) == 1
+
+
+def test_stale_index_is_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = spark.createDataFrame([("a", "apple")], "doc_id string, text string")
+    both = spark.createDataFrame([("a", "apple"), ("b", "apple pear")], "doc_id string, text string")
+    asked = spark.createDataFrame([(1, "pear")], "query_id long, query string")
+    assert lexical.bm25_search(lexical.fresh_index(first, path, "1 hour", 2), asked, 3).count() == 0
+    assert lexical.bm25_search(lexical.fresh_index(both, path, "1 hour", 2), asked, 3).count() == 0  # still fresh
+    assert lexical.bm25_search(lexical.fresh_index(both, path, "0 seconds", 2), asked, 3).count() == 1
