@@ -16,6 +16,8 @@ from retrievo.llm.pivots import near_vectors
 from retrievo.llm.quality import classify
 from retrievo.llm.quality import fit as fit_quality
 from retrievo.llm.registry import register, table
+from retrievo.llm.sentence_pieces import default_path as default_model
+from retrievo.llm.sentence_pieces import encode_pieces, read_file
 from retrievo.llm.url_rules import judge
 from retrievo.llm.warc_zip import read_archives, write_archives
 
@@ -200,3 +202,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit_quality(docs, table(spark, sf_dir, "labels"))) \
         .select("doc_id", "p_low_quality", "p_toxic", "keep")
+
+
+@register("op12_sentencepiece")
+def op12(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Token and round-trip digests of every document; ``model`` is the path of another model file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, read_file(model or default_model()), digests=True).drop("text")
