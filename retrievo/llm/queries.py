@@ -12,6 +12,7 @@ from retrievo.llm.decontaminate import find_passages
 from retrievo.llm.html_crf import extract_main
 from retrievo.llm.html_crf import fit as fit_field
 from retrievo.llm.ngram_join import similar_sets
+from retrievo.llm.periodic_runs import find_runs
 from retrievo.llm.pivots import near_vectors
 from retrievo.llm.quality import classify
 from retrievo.llm.quality import fit as fit_quality
@@ -209,3 +210,77 @@ def op12(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFram
     """Token and round-trip digests of every document; ``model`` is the path of another model file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_pieces(docs, read_file(model or default_model()), digests=True).drop("text")
+
+
+# crc32 of the decimal id, bit by bit; then every distance at which words are equal, and its stretches of places
+OP13_SQL = r"""
+WITH sums AS (
+  SELECT doc_id, text, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] ||
+      [ascii(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')], lambda r, b: list_reduce(
+          [xor(r, b)] || [0::UBIGINT FOR i IN range(8)], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))::BIGINT AS h
+  FROM documents),
+plain AS (SELECT doc_id, h % 10 = 0 AS own, h // 10 AS g,
+                 regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM sums),
+tails AS (SELECT *, g % len(w) AS a, 1 + (len(w) - g % len(w)) // (3 + g % 8) AS p FROM plain WHERE len(w) > 0),
+docs AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN own THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(len(w))]
+                 ELSE w END AS w FROM tails
+  UNION ALL SELECT doc_id, w FROM plain WHERE len(w) = 0),
+words AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+same AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM words a JOIN words b
+  ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND b.i <= a.i + a.n // 4),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+hidden AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN hidden USING (doc_id, i)
+              GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id),
+best AS (
+  SELECT * FROM runs r WHERE NOT EXISTS (
+    SELECT 1 FROM runs b WHERE b.doc_id = r.doc_id AND (b.length * r.period > r.length * b.period
+      OR (b.length * r.period = r.length * b.period AND (b.start, b.period) < (r.start, r.period)))))
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length,
+       period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(collapsed.t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN collapsed USING (doc_id)
+"""
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, by the checksum of its id, ends in a repetition of its own words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        copies = F.floor((n - a) / p).cast("int") + 1
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), copies)), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    # a list of one, so that the words are cut once and not for every use
+    own = F.element_at(F.transform(F.array(words), repeated), 1)
+    return docs.withColumn("text", F.when(h % 10 == 0, own).otherwise(F.col("text")))
+
+
+@register("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, the one of most periods, and the text without repetitions."""
+    found = find_runs(periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
+    more = lambda b, r: r["length"] * b["period"] > b["length"] * r["period"]
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.try_element_at("runs", F.lit(1)),
+                       lambda b, r: F.when(more(b, r), r).otherwise(b))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
