@@ -21,6 +21,7 @@ from retrievo.llm.sentence_pieces import default_path as default_model
 from retrievo.llm.sentence_pieces import encode_pieces, read_file
 from retrievo.llm.url_rules import judge
 from retrievo.llm.warc_zip import read_archives, write_archives
+from retrievo.llm.whitening import whiten
 
 
 OP1_SQL = r"""
@@ -284,3 +285,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 whitened components of every vector."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("*", F.posexplode("whitened").alias("at", "value")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"),
+        F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
