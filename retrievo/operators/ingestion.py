@@ -57,23 +57,27 @@ def _last(messages: Column, role: str) -> Column:
     return F.coalesce(F.get(F.reverse(F.filter(messages, lambda m: m["role"] == role)), 0)["content"], F.lit(""))
 
 
-def extract_qa(lines: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Question/answer pairs and rejects from parsed chat lines (file_name, messages, bad)."""
+def judged_lines(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every parsed chat line (file_name, messages, bad) with its pair, or with the ``reason`` why it has none."""
     user, answer = _last(F.col("messages"), "user"), _last(F.col("messages"), "assistant")
     reason = (F.when(F.col("bad"), "malformed")
               .when(F.col("messages").isNull() | (F.size("messages") < MIN_MESSAGES), "too few messages")
               .when(F.exists("messages", lambda m: m["role"].isNull()), "malformed")
               .when(user == "", "empty question"))
-    judged = lines.withColumn("reason", reason)
     question = clean_text(user)
+    return lines.withColumn("reason", reason).select(
+        *keep, "file_name", "reason", question.alias("_q"), clean_text(answer).alias("answer"),
+        _last(F.col("messages"), "system").alias("system_prompt"), category_of(F.col("file_name")).alias("category")).select(
+        *keep, "file_name", "reason", F.substring("_q", 1, QUESTION_CHARS).alias("question"), "answer",
+        qa_text(F.col("_q"), F.col("answer")).alias("qa_text"), "system_prompt", "category")
+
+
+def extract_qa(lines: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Question/answer pairs and rejects from parsed chat lines (file_name, messages, bad)."""
+    judged = judged_lines(lines, keep)
     good = judged.filter(F.col("reason").isNull()).select(
-        *keep, question.alias("_q"), clean_text(answer).alias("answer"),
-        _last(F.col("messages"), "system").alias("system_prompt"),
-        category_of(F.col("file_name")).alias("category"), F.col("file_name").alias("source_file")).select(
-        *keep, F.substring("_q", 1, QUESTION_CHARS).alias("question"), "answer",
-        qa_text(F.col("_q"), F.col("answer")).alias("qa_text"), "system_prompt", "category", "source_file")
-    rejected = judged.filter(F.col("reason").isNotNull()).select(*keep, "file_name", "reason")
-    return good, rejected
+        *keep, "question", "answer", "qa_text", "system_prompt", "category", F.col("file_name").alias("source_file"))
+    return good, judged.filter(F.col("reason").isNotNull()).select(*keep, "file_name", "reason")
 
 
 def extract_qa_from_messages(messages: DataFrame, keys: list[str], order: str = "turn", role: str = "role",
