@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from retrievo.functions import formats
+from retrievo.functions.recursive_split import recursive_chunks
 from retrievo.functions.text import clean_text, let
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
+CHARS_PER_TOKEN = 4  # sizes are given in tokens; the splitter counts characters
 
 
 def _numbered(df: DataFrame, items: Column, doc_id: str, number: str) -> DataFrame:
@@ -61,3 +65,28 @@ def chunk_text(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERL
     return cut.select(doc_id, *rest, F.size("_chunks").alias("total_chunks"),
                       F.posexplode("_chunks").alias("chunk_index", "content")).withColumn(
         "char_count", F.length("content"))
+
+
+def chunk_recursive(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text",
+                    doc_id: str = "doc_id", chars_per_token: int = CHARS_PER_TOKEN) -> DataFrame:
+    """``chunk_text`` by paragraphs, lines, sentences, words and characters instead of word windows.
+
+    ``size`` and ``overlap`` count tokens of ``chars_per_token`` characters; no chunk has more characters than that. Null
+    and blank texts have no chunks. A text is one row, so its chunks come from one task; nothing is shuffled.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must lie in 0..size-1")
+    rest = [c for c in df.columns if c not in (doc_id, text)]
+    narrow = df.select(doc_id, *rest, F.col(text).alias("_text"))
+    chars, shared = size * chars_per_token, overlap * chars_per_token
+
+    def cut(batches):
+        for batch in batches:
+            found = [recursive_chunks(t, chars, shared) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.string()))],
+                                             names=[*batch.schema.names[:-1], "_chunks"])
+
+    schema = StructType([*narrow.schema.fields[:-1], StructField("_chunks", ArrayType(StringType()))])
+    return narrow.mapInArrow(cut, schema).select(
+        doc_id, *rest, F.size("_chunks").alias("total_chunks"),
+        F.posexplode("_chunks").alias("chunk_index", "content")).withColumn("char_count", F.length("content"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from retrievo.functions.text import bm25_tokenize
+from retrievo.functions.text import bm25_tokenize, clean_text
 
 
 def term_bucket(term: Column, dim: int) -> Column:
@@ -50,3 +50,61 @@ def dedupe_embed(df: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame
     keyed = df.withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
     once = embed(keyed.dropDuplicates(["_key"]).select("_key", F.col(text).alias("_text")), "_text", out)
     return keyed.join(once.drop("_text"), "_key", "left").drop("_key")
+
+
+MODEL_BATCH = 18  # texts that a model is asked for at once
+REASON_CHARS = 200
+Model = Callable[[list[str]], list]
+
+
+def _answers(model: Model, texts: list[str], attempts: int) -> tuple[list, list]:
+    """A vector or None for each text, and why there is none. A batch that fails is halved down to single texts; a single
+    text is tried ``attempts`` times."""
+    for attempt in range(attempts if len(texts) == 1 else 1):
+        try:
+            vectors = list(model(texts))
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+            kept = [None if v is None else np.asarray(v, np.float32) for v in vectors]
+            usable = [v is not None and v.ndim == 1 and len(v) > 0 and bool(np.isfinite(v).all()) for v in kept]
+            return ([v if ok else None for v, ok in zip(kept, usable)],
+                    [None if ok else "no vector" if v is None else "unusable vector" for v, ok in zip(kept, usable)])
+        except Exception as e:  # a model may fail in any way; the reason is kept with the text
+            failed = f"{type(e).__name__}: {e}"[:REASON_CHARS]
+    if len(texts) == 1:
+        return [None], [failed]
+    half = len(texts) // 2
+    left, right = _answers(model, texts[:half], attempts), _answers(model, texts[half:], attempts)
+    return left[0] + right[0], left[1] + right[1]
+
+
+def model_embedding(df: DataFrame, connect: Callable[[], Model], text: str = "text", out: str = "embedding",
+                    reason: str = "embed_error", batch_size: int = MODEL_BATCH, attempts: int = 2) -> DataFrame:
+    """Add the vector that a model gives for each text, and null with a ``reason`` where it gives none.
+
+    ``connect`` is called once in a task and returns the model: a function from a list of cleaned texts to a list of
+    vectors. No row is lost: one text that fails costs its own vector only, as its batch is halved until it is alone. A
+    batch that fails whole costs at most twice its number of calls. Null and blank texts are not sent. Vectors that are
+    empty or not finite count as none. Columns with the result's names are replaced.
+    """
+    kept = [c for c in df.columns if c not in (out, reason)]
+    rows = df.select(*kept, clean_text(F.col(text)).alias("_sent"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.FloatType())),
+                           T.StructField(reason, T.StringType())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            sent = batch.column(batch.num_columns - 1).to_pylist()
+            vectors, reasons = [None] * len(sent), ["text is blank"] * len(sent)
+            full = [i for i, t in enumerate(sent) if t]
+            for at in range(0, len(full), batch_size):
+                part = full[at:at + batch_size]
+                model = model or connect()
+                for i, v, why in zip(part, *_answers(model, [sent[i] for i in part], attempts)):
+                    vectors[i], reasons[i] = v, why
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(vectors, pa.list_(pa.float32())), pa.array(reasons, pa.string())],
+                names=[*batch.schema.names[:-1], out, reason])
+
+    return rows.mapInArrow(ask, schema)
