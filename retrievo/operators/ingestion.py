@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from retrievo.functions.text import (QUESTION_CHARS, clean_text, generation_tokens, is_blank, let, qa_text, strip)
 from retrievo.operators.documents import CHUNK_OVERLAP, CHUNK_SIZE, chunks
+from retrievo.operators.embedding import hashed_embedding
 from retrievo.operators.ordered import running_total
+from retrievo.sources.index import write_chunks
 from retrievo.sources.readers import SUPPORTED_TYPES, document_text
 
 ERROR_CHARS = 1000
@@ -43,6 +45,21 @@ def ingest_documents(docs: DataFrame, embed=None, size: int = CHUNK_SIZE, overla
     return (rows if embed is None else embed(rows, "content", "embedding")), status
 
 
+def ingest_index(docs: DataFrame, path: str, embed=hashed_embedding, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                 read_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Ingest documents into ``path/chunks`` and ``path/status`` and return both as written.
+
+    Each chunk has the ``chunk_id`` that searches name, its text and its vector; a chunk without a vector is kept, as words
+    still find it.
+    """
+    rows, status = ingest_documents(docs, embed, size, overlap)
+    rows = rows.withColumn("chunk_id", F.concat_ws("#", "file_name", F.col("chunk_index").cast("string")))
+    write_chunks(rows, f"{path}/chunks", read_only=read_only)
+    status.write.mode("append").parquet(f"{path}/status")
+    spark = docs.sparkSession
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/status")
+
+
 def category_of(file_name: Column) -> Column:
     """train, dev or test when the name of the file, without its folders, contains the word, else general."""
     file_name = F.regexp_extract(file_name, r"[^/\\\\]*$", 0)

@@ -8,7 +8,7 @@ from retrievo.plans import registry
 def load() -> None:
     """Import every module that registers queries."""
     from retrievo.plans import (  # noqa: F401
-        adaptive, evaluation, guarded, ingestion, memory, retrieval, sources, streams, telemetry, text, traces,
+        adaptive, evaluation, files, guarded, ingestion, memory, retrieval, sources, streams, telemetry, text, traces,
     )
 
 

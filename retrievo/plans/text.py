@@ -212,7 +212,83 @@ def mixed_blocks(spark, sf_dir):
     return documents.parse_mixed(docs(spark, sf_dir).withColumn("text", d.mixed(F.col("text"))))
 
 
-@register("structured_text")
+def _list_of(body: str, separator: str) -> str:
+    return (f"list_filter(list_transform(string_split({body}, chr(10) || '{separator}' || chr(10)), "
+            f"lambda b: {_strip('b')}), lambda b: b <> '')")
+
+
+def _numbered(items: str, one: str, body: str) -> str:
+    """Items joined by ``one`` of item ``e`` and number ``n``; the text itself without items."""
+    return (f"CASE WHEN len({items}) > 0 THEN array_to_string(list_transform({items}, lambda e, n: {one}), '') "
+            f"ELSE {body} END")
+
+
+def _lines_of(text: str) -> str:
+    return f"list_filter(list_transform(string_split({text}, chr(10)), lambda l: {_strip('l')}), lambda l: l <> '')"
+
+
+def _found(text: str, pattern: str) -> str:
+    extracted = _strip(f"regexp_extract({text}, '{pattern}', 1)")
+    return f"CASE WHEN regexp_matches({text}, '{pattern}') THEN {extracted} END"
+
+
+def _labelled(label: str, value: str) -> str:
+    return f"coalesce('{label}' || {value} || chr(10), '')"
+
+
+def rendered_sql(body: str, fmt: str) -> str:
+    """The text that is chunked, for a text expression of a known format other than MIXED."""
+    nl, users = "chr(10)", "^(User:|用户：|顾客：|客户：)"
+    faq = f"list_filter({_list_of(body, '---')}, lambda b: regexp_matches(b, 'Q[：:]') AND regexp_matches(b, 'A[：:]'))"
+    faq_one = (f"'FAQ-' || n || ':' || {nl} || {_labelled('问题：', _found('e', 'Q[：:](.*)'))} || "
+               f"{_labelled('回答：', _found('e', 'A[：:](.*)'))} || {nl}")
+    turns = (f"list_filter({_lines_of('b')}, "
+             "lambda l: regexp_matches(l, '^(User:|用户：|顾客：|客户：|Assistant:|客服：|助手：)'))")
+    talks = f"list_filter(list_transform({_list_of(body, '---')}, lambda b: {turns}), lambda t: len(t) >= 2)"
+    said = _strip("regexp_replace(l, '^[^:：]*[:：]', '')")
+    talk_one = (f"'对话-' || n || ':' || {nl} || array_to_string(list_transform(e, lambda l: CASE WHEN "
+                f"regexp_matches(l, '{users}') THEN '顾客：' ELSE '客服：' END || {said} || {nl}), '') || {nl}")
+    inner = lambda x: _strip(f"array_to_string(list_filter({_lines_of(x)}, lambda l: NOT starts_with(l, '# ') AND "
+                             "NOT starts_with(l, '## ') AND NOT starts_with(l, '===')), ' ')")
+    arts = f"list_filter({_list_of(body, '===')}, lambda b: regexp_matches(b, '# (.+)') AND NOT {_blank(inner('b'))})"
+    art_one = (f"'文章-' || n || ':' || {nl} || {_labelled('标题：', _found('e', '# (.+)'))} || "
+               f"{_labelled('类别：', _found('e', '## 类别[：:][[:space:]]*(.+)'))} || "
+               f"{_labelled('关键词：', _found('e', '## 关键词[：:][[:space:]]*(.+)'))} || "
+               f"'内容：' || {inner('e')} || {nl} || {nl}")
+    rows = _lines_of(body)
+    rows = (f"CASE WHEN starts_with({rows}[1], 'question') OR starts_with({rows}[1], '问题') "
+            f"THEN list_slice({rows}, 2, 1000000000) ELSE {rows} END")
+    pairs = (f"list_filter(list_transform({rows}, lambda l: string_split_regex(regexp_replace(l, '[，,]+$', ''), '[，,]')), "
+             f"lambda p: len(p) >= 2 AND {_strip('p[1]')} <> '' AND {_strip('p[2]')} <> '')")
+    pair_one = (f"'CSV-QA-' || n || ':' || {nl} || {_labelled('问题：', _strip('e[1]'))} || "
+                f"{_labelled('回答：', _strip('e[2]'))} || {_labelled('类别：', _strip('e[3]'))} || {nl}")
+    return (f"CASE {fmt} WHEN 'FAQ' THEN {_numbered(faq, faq_one, body)} "
+            f"WHEN 'CONVERSATION' THEN {_numbered(talks, talk_one, body)} "
+            f"WHEN 'ARTICLE' THEN {_numbered(arts, art_one, body)} WHEN 'CSV' THEN {_numbered(pairs, pair_one, body)} "
+            f"ELSE {body} END")
+
+
+def parsed_ctes(source: str) -> str:
+    """CTE parsed(k, text) of a select with the columns k and body: the text that is chunked."""
+    return f"""
+src AS MATERIALIZED (SELECT *, {_format_sql('body')} AS format FROM ({source})),
+mixed_bs AS (SELECT k, unnest(bs) AS b, generate_subscripts(bs, 1) AS pos FROM (SELECT k, list_filter(list_transform(
+  string_split_regex(body, '\\n\\n+|\\n---\\n|\\n===\\n'), lambda b: {_strip('b')}),
+  lambda b: b <> '' AND NOT starts_with(b, '===')) AS bs FROM src WHERE format = 'MIXED')),
+mixed_ps AS (SELECT k, pos, {rendered_sql('b', 'f')} AS content FROM (SELECT *, {_format_sql('b')} AS f FROM mixed_bs)),
+mixed_ts AS (SELECT k, string_agg(content || chr(10), '' ORDER BY pos) AS t FROM mixed_ps
+  WHERE len(string_split(regexp_replace(content, '\\n+$', ''), chr(10))) > 2 GROUP BY k),
+parsed AS (SELECT k, CASE WHEN {_blank('body')} THEN '' WHEN format = 'MIXED' THEN coalesce(t, body)
+  ELSE {rendered_sql('body', 'format')} END AS text FROM src LEFT JOIN mixed_ts USING (k))"""
+
+
+_SHAPED_DOCS = " UNION ALL ".join(
+    f"SELECT doc_id || '/{k}' AS k, {d.shaped_sql('text', k)} AS body FROM documents" for k in _KINDS)
+
+
+@register("structured_text", f"""
+WITH {parsed_ctes(_SHAPED_DOCS)}
+SELECT string_split(k, '/')[1]::BIGINT AS doc_id, string_split(k, '/')[2] AS kind, length(text) AS n_chars FROM parsed""")
 def structured_text(spark, sf_dir):
     """Length of the text each shaped document is chunked from."""
     base = docs(spark, sf_dir)

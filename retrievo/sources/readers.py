@@ -22,14 +22,19 @@ def document_text(kind: Column, raw: Column) -> Column:
     return F.when(kind == "txt", structured_text(raw)).otherwise(raw)
 
 
-def read_text_documents(spark: SparkSession, path: str, pattern: str = "*.{txt,md,TXT,MD}") -> DataFrame:
-    """One row per UTF-8 file: doc_id, file_name, file_type, text."""
+def read_raw_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """One row per UTF-8 file as it is: doc_id, file_name, file_type, raw. Empty files are not listed."""
     files = (spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-             .select("value", F.col("_metadata.file_name").alias("file_name"),
+             .select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file_name"),
                      F.col("_metadata.file_path").alias("_path")))
-    kind = file_type(F.col("file_name"))
     return files.select(F.sha2(F.col("_path").cast("binary"), 256).alias("doc_id"), "file_name",
-                        kind.alias("file_type"), document_text(kind, F.col("value")).alias("text"))
+                        file_type(F.col("file_name")).alias("file_type"), "raw")
+
+
+def read_text_documents(spark: SparkSession, path: str, pattern: str = "*.{txt,md,TXT,MD}") -> DataFrame:
+    """One row per UTF-8 file: doc_id, file_name, file_type, text."""
+    raw = read_raw_documents(spark, path, pattern)
+    return raw.withColumn("text", document_text(F.col("file_type"), F.col("raw"))).drop("raw")
 
 
 def parse_chat_lines(lines: DataFrame, line: str = "line") -> DataFrame:
