@@ -1,7 +1,7 @@
 """Queries over adaptive retrieval, with patterns in the languages of the test questions.
 
-The loop runs twice: over the best BM25 chunk, and (``..._hybrid``) over the five best of hybrid search, as the operators
-are meant to be used. A question keeps the vector of its id in all rounds; its rewritten text goes to BM25.
+The loop runs twice: over the five best BM25 chunks, and (``..._hybrid``) over the five best of hybrid search, as the
+operators are meant to be used. A question keeps the vector of its id in all rounds; its rewritten text goes to BM25.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ LANGUAGE = adaptive.Language(
     direct=("thing", "schr", "hola", "Que"), single=("tion", "heit", "mente", "eaux"), multi=("sh ", "ver", "ción", "oui"),
     action=("write", "schreib"), multi_boosters=("with", "und", "les"), single_boosters=("the", "der"),
     domain_terms=DOMAIN, stop_words=STOP)
-TOP_K, THRESHOLD, MULTI_THRESHOLD = 1, 0.95, 0.99
+TOP_K, THRESHOLD, MULTI_THRESHOLD = 5, 0.95, 0.99
 HYBRID_K = 5
 
 # all conversation messages, so every route occurs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retrievo.operators import documents, fusion, ingestion
+from retrievo.operators import documents, evaluation, fusion, ingestion
 from retrievo.operators.embedding import hashed_embedding
 from retrievo.plans import derived as d, sqltext as q
 from retrievo.plans.registry import register, table
@@ -120,3 +120,58 @@ def recursive_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.chunk_recursive(docs, 100, 10).select(
         "doc_id", "chunk_index", "total_chunks", F.md5(F.col("content").cast("binary")).alias("content_md5"), "char_count")
+
+
+_CASES = """SELECT item_id, 'Question ' || item_id || ', "' || text[1:60] || '"' AS question,
+  '["' || item_id || '", " ' || item_id % 7 || ' "]' AS as_json, item_id || '|' || item_id % 7 || '|' AS as_list,
+  CASE WHEN item_id % 3 <> 0 THEN 'kind ' || item_id % 3 END AS category FROM benchmark"""
+_IDS = "CASE WHEN item_id = item_id % 7 THEN item_id::VARCHAR ELSE item_id || ',' || item_id % 7 END"
+
+
+def _cases(spark, sf_dir):
+    item = F.col("item_id")
+    seventh = (item % 7).cast("string")
+    category = F.when(item % 3 != 0, F.concat(F.lit("kind "), (item % 3).cast("string")))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", F.concat(F.lit("Question "), item.cast("string"), F.lit(', "'), F.substring("text", 1, 60), F.lit('"')).alias("question"),
+        F.concat(F.lit('["'), item.cast("string"), F.lit('", " '), seventh, F.lit(' "]')).alias("as_json"),
+        F.concat(item.cast("string"), F.lit("|"), seventh, F.lit("|")).alias("as_list"), category.alias("category"))
+
+
+def _read_back(cases):
+    return cases.select(F.md5(F.col("question").cast("binary")).alias("question_md5"),
+                        F.array_join("relevant_ids", ",").alias("ids"), "category")
+
+
+@register("eval_json_cases", f"""
+SELECT md5(question) AS question_md5, item_id || ', ' || item_id % 7 || ' ' AS ids, category FROM ({_CASES})""")
+def eval_json_cases(spark, sf_dir):
+    """Evaluation cases written as files with a JSON array each and read back as they are; cleaning the ids is a step of
+    its own."""
+    path = f"{new_stage_path(spark, 'cases')}.json"
+    ids = F.from_json("as_json", "array<string>").alias("relevantDocIds")
+    cases = _cases(spark, sf_dir).select(F.concat("item_id", F.lit(".json")).alias("file_name"), F.to_json(
+        F.array(F.struct("question", ids, "category")), {"pretty": "true"}).alias("text"))
+    write_text_files(cases, path)
+    return _read_back(readers.read_qrels(spark, path))
+
+
+@register("eval_csv_cases", f"SELECT md5(question) AS question_md5, {_IDS} AS ids, category FROM ({_CASES})")
+def eval_csv_cases(spark, sf_dir):
+    """Evaluation cases written as quoted CSV with other column names, quotes and commas, and read back."""
+    path = f"{new_stage_path(spark, 'cases')}.csv"
+    _cases(spark, sf_dir).select(F.col("question").alias("Question"), F.col("as_list").alias("relevant_doc_ids"),
+                                 F.col("category").alias("type")).write.csv(path, header=True, quote='"', escape='"')
+    return _read_back(readers.read_qrels(spark, path))
+
+
+@register("redacted_reports", """
+SELECT doc_id, 'set-' || doc_id || '.json' AS dataset_source, 'run of dataset=<private>, size=' || n_chars || ', ok' AS summary
+FROM documents""")
+def redacted_reports(spark, sf_dir):
+    """Reports that name a private dataset, as they may be shown."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("/data/"), "lang", F.lit("\\\\x/set-"), "doc_id", F.lit(".json")).alias("dataset_source"),
+        F.concat(F.lit("run of dataset=/data/"), "lang", F.lit("/"), "source", F.lit(", size="), "n_chars",
+                 F.lit(", ok")).alias("summary"))
+    return evaluation.redact(rows)

@@ -123,13 +123,16 @@ miss AS (SELECT u, min(ts) AS ts FROM log GROUP BY u
   UNION ALL SELECT l.u, min(l.ts) FROM miss m JOIN log l ON l.u = m.u AND l.ts >= m.ts + INTERVAL {TTL_DAYS} DAY
   GROUP BY l.u)
 SELECT id AS request_id, (u, ts) NOT IN (SELECT (u, ts) FROM miss) AS hit FROM log
-WHERE u IN (SELECT u FROM alone)""")
+WHERE u IN (SELECT u FROM alone)
+UNION ALL SELECT event_id, false FROM events WHERE user_id NOT IN (SELECT vec_id FROM embeddings)""")
 def semantic_cache_replay(spark, sf_dir):
-    """User u asks the question with vector u; the SQL covers logs whose distinct questions are not similar."""
+    """User u asks the question with vector u; the SQL covers logs whose distinct questions are not similar. Requests
+    without a vector are not looked up and miss."""
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
     log = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "ts", "user_id").join(
-        vecs, "user_id")
-    return memory.semantic_replay(log, ttl_seconds=TTL_DAYS * 86_400.0)
+        vecs, "user_id", "left")
+    unasked = log.filter("embedding IS NULL").select("request_id", F.lit(False).alias("hit"))
+    return memory.semantic_replay(log.filter("embedding IS NOT NULL"), ttl_seconds=TTL_DAYS * 86_400.0).unionByName(unasked)
 
 
 # Lifetimes in seconds of session history, search results and embeddings.

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from retrievo.operators import embedding, fusion, lexical, vector
 from retrievo.plans import sqltext as q
 from retrievo.plans.registry import register, table
+from retrievo.sources import embedding_cache
+from retrievo.staging import new_stage_path
 
 THRESHOLD = 0.25
 
@@ -198,9 +200,53 @@ def embed_dedupe(spark, sf_dir):
     return keyed.join(copies, "text_key").select("doc_id", "text_key", "has_vector", "copies")
 
 
+REFUSED = "0"  # a model stand-in refuses texts whose digest begins so
+
+
+@register("embed_isolated", f"""
+WITH t AS (SELECT doc_id, {q.clean('text')} AS t FROM documents)
+SELECT doc_id, CASE WHEN t = '' THEN 'text is blank' WHEN starts_with(md5(t), '{REFUSED}') THEN 'ValueError: refused' END
+    AS embed_error, CASE WHEN t <> '' AND NOT starts_with(md5(t), '{REFUSED}') THEN length(t)::DOUBLE END AS first_value
+FROM t""")
+def embed_isolated(spark, sf_dir):
+    """Vectors of a model that fails for any batch that holds one of some texts: only these have none."""
+    def connect():
+        from hashlib import md5
+
+        def model(texts):
+            if any(md5(t.encode()).hexdigest().startswith(REFUSED) for t in texts):
+                raise ValueError("refused")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    made = embedding.model_embedding(corpus(spark, sf_dir), connect)
+    return made.select("doc_id", "embed_error", F.col("embedding")[0].cast("double").alias("first_value"))
+
+
+@register("embed_cache_runs", """
+WITH a AS (SELECT DISTINCT text FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT text FROM documents)
+SELECT 1 AS run, (SELECT count(*) FROM a) AS texts, (SELECT count(*) FROM a) AS embedded
+UNION ALL SELECT 2, (SELECT count(*) FROM b), (SELECT count(*) FROM b WHERE text NOT IN (SELECT text FROM a))
+UNION ALL SELECT 3, (SELECT count(*) FROM b), (SELECT count(*) FROM a)
+UNION ALL SELECT 4, (SELECT count(*) FROM b), (SELECT count(*) FROM b WHERE text NOT IN (SELECT text FROM a))""")
+def embed_cache_runs(spark, sf_dir):
+    """Four runs over one cache: one language, an hour later all documents, a day after the first run all of them, when
+    the first run's entries have ended, and after a compaction an hour later again, when the second run's have."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), new_stage_path(spark, "cache")
+    runs = []
+    for number, (rows, now) in enumerate([(docs.filter("lang = 'en'"), "2024-01-01 00:00:00"), (docs, "2024-01-01 01:00:00"),
+                                          (docs, "2024-01-02 00:30:00"), (docs, "2024-01-02 01:00:00")], 1):
+        if number == 4:
+            embedding_cache.compact_cache(spark, path, "2024-01-02 00:45:00")
+        found = embedding_cache.cached_embedding(rows, path, now)
+        runs.append((number, found.distinct, found.embedded))
+    return spark.createDataFrame(runs, "run int, texts long, embedded long")
+
+
 _LOG = f"""
 log AS (SELECT event_id AS request_id, ts, b.text || '|topK=5|threshold=0.2500|hybrid=true' AS cache_key
-  FROM events JOIN benchmark b ON b.item_id = events.user_id),
+  FROM events LEFT JOIN benchmark b ON b.item_id = events.user_id),
 kept AS (SELECT DISTINCT b.text || '|topK=5|threshold=0.2500|hybrid=true' AS cache_key
   FROM benchmark b JOIN lex ON lex.query_id = b.item_id)"""
 
@@ -216,10 +262,11 @@ starts AS (SELECT cache_key, min(s) AS s FROM secs2 GROUP BY cache_key
   GROUP BY b.cache_key),
 firsts AS (SELECT f.id AS request_id FROM starts JOIN secs2 USING (cache_key, s))
 SELECT request_id, ts, md5(cache_key) AS cache_key,
-  cache_key IN (SELECT cache_key FROM kept) AND request_id NOT IN (SELECT request_id FROM firsts) AS hit
+  coalesce(cache_key IN (SELECT cache_key FROM kept), false) AND request_id NOT IN (SELECT request_id FROM firsts) AS hit
 FROM log""")
 def result_cache_hits(spark, sf_dir):
-    """A log in which user u asks question u: one retrieval per distinct key, then hit or miss per request."""
+    """A log in which user u asks question u: one retrieval per distinct key, then hit or miss per request. Users without
+    a question ask for nothing that is stored and always miss."""
     asks = questions(spark, sf_dir).select(
         "query_id", "query", F.lit(5).alias("top_k"), F.lit(THRESHOLD).alias("threshold"), F.lit(True).alias("hybrid"))
     keyed = fusion.with_search_key(asks)
@@ -228,6 +275,6 @@ def result_cache_hits(spark, sf_dir):
     stored = keyed.join(answered, "query_id", "left_semi")
     events = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), "ts", F.col("user_id").alias("query_id"))
-    log = events.join(keyed.select("query_id", "cache_key"), "query_id")
+    log = events.join(keyed.select("query_id", "cache_key"), "query_id", "left")
     return (fusion.cache_accounting(log, stored)
             .withColumn("cache_key", F.md5(F.col("cache_key").cast("binary"))))
