@@ -2,9 +2,10 @@
 
 A word's encoding is a chain of tokens in which every neighbouring pair is stable: merging the two tokens' own symbols
 gives the same pair back. Therefore the encoding of a prefix is the encoding of a shorter prefix and one more token, and
-the last token of each prefix tells the whole chain. Distinct words go into a trie; one depth-first walk finds the last
-token of every node from those of its ancestors, so a prefix that many words share is encoded once. Documents are then
-put together from their words' tokens. Nothing is shuffled.
+the last token of each prefix tells the whole chain. Distinct words go into a trie that a worker keeps; going down, each
+new node finds its last token from those of its ancestors, so a prefix that many words share is encoded once. The tokens
+that end at a node come from the vocabulary's suffix links, longest first. Documents are then put together from their
+words' tokens. Nothing is shuffled.
 
 No word crosses white space, so what stands between it is looked up as a whole.
 """
@@ -25,7 +26,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from retrievo.llm.words import slices
 
 WORD_END = "</w>"
-MEMORY_WORDS = 250_000  # distinct words, and spans between white space, that a Python worker keeps before it starts anew
+MEMORY_SPANS = 200_000  # distinct spans between white space in a generation; a worker keeps two, so frequent ones stay
+MEMORY_NODES = 1_000_000  # nodes of the trie that a worker keeps before it starts a new one
+MEMORY_PAIRS = 500_000
+_ENDS = 256  # a byte that ends its word is another symbol
 
 
 def _byte_letters() -> list[str]:
@@ -55,8 +59,8 @@ class Vocabulary:
         self.pattern = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.longest = max(len(self._symbols(t)) for t in self.ids)
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable: dict[int, bool] = {}
+        self._index_tokens(of_letter)
         size = max([*self.ids.values(), *self.special.values()]) + 1
         held = [b""] * size
         self.spaced = d.get("decoder") is None  # a file without a decoder puts spaces between tokens
@@ -70,9 +74,58 @@ class Vocabulary:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, list[int]] = {}
         self._spans: dict[str, int] = {}
         self._flat, self._borders = array("I"), array("q", [0])
+        self._old = ({}, self._flat, self._borders)
+        self._words: dict[str, list[int]] = {}
+        self._plant()
+
+    def _plant(self) -> None:
+        """An empty trie: children by (node, symbol), and for each node its automaton state and last token."""
+        self._children: dict[int, int] = {}
+        self._states, self._last = array("i", [0]), array("i", [-1])
+
+    def _index_tokens(self, of_letter: dict[str, int]) -> None:
+        """The automaton of all tokens over bytes: its steps, suffix links and the longest token that ends in a state; and
+        for each token its parts, its length and the next shorter token that ends it."""
+        self.parts = {i: self._symbols(t) for t, i in self.ids.items()}
+        self.width = {i: len(p) for i, p in self.parts.items()}
+        self._steps: dict[int, int] = {}
+        own, paths = [-1], [()]
+        for t, i in self.ids.items():
+            *plain, end = self._symbols(t)
+            path = [of_letter[c] for c in plain] + [of_letter[end.removesuffix(WORD_END) or end]
+                                                    + _ENDS * (end.endswith(WORD_END) and end != WORD_END)]
+            state = 0
+            for symbol in path:
+                key = state << 9 | symbol
+                if key not in self._steps:
+                    self._steps[key] = len(own)
+                    own.append(-1)
+                    paths.append((state, symbol))
+                state = self._steps[key]
+            own[state] = i
+        # states come after the states of their prefixes, but links need those of all shorter ones
+        depth = [0] * len(own)
+        for state in range(1, len(own)):
+            depth[state] = depth[paths[state][0]] + 1
+        self._fail, self._ending, self.shorter = [0] * len(own), list(own), {}
+        for state in sorted(range(1, len(own)), key=depth.__getitem__):
+            parent, symbol = paths[state]
+            self._fail[state] = self._step(self._fail[parent], symbol) if parent else 0
+            below = self._ending[self._fail[state]]
+            if own[state] >= 0:
+                self.shorter[own[state]] = below
+            else:
+                self._ending[state] = below
+
+    def _step(self, state: int, symbol: int) -> int:
+        """The state of the longest suffix that some token begins with."""
+        while (found := self._steps.get(state << 9 | symbol)) is None:
+            if not state:
+                return 0
+            state = self._fail[state]
+        return found
 
     @staticmethod
     def _symbols(token: str) -> list[str]:
@@ -82,56 +135,73 @@ class Vocabulary:
             letters[-1] += WORD_END
         return letters
 
-    def stable(self, left: str, right: str) -> bool:
-        """Whether merging the symbols of two tokens together gives these two tokens."""
-        key = (left, right)
+    def merged(self, symbols: list[str]) -> list[str]:
+        """Symbols merged pair by pair: lowest rank first, then leftmost."""
+        parts, none = list(symbols), len(self.rank)
+        ranks = [self.rank.get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.rank.get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = self.rank.get((parts[i], parts[i + 1]), none)
+        return parts
+
+    def stable(self, left: int, right: int) -> bool:
+        """Whether merging the symbols of two tokens together gives these two tokens; of one token, if ``left`` is -1."""
+        key = left << 20 | right if left >= 0 else -1 - right
         if (known := self._stable.get(key)) is None:
-            parts = self._symbols(left) + self._symbols(right)
-            while len(parts) > 2:
-                best = min(range(len(parts) - 1),
-                           key=lambda i: self.rank.get((parts[i], parts[i + 1]), len(self.rank)))
-                if (parts[best], parts[best + 1]) not in self.rank:
-                    break
-                parts[best:best + 2] = [parts[best] + parts[best + 1]]
-            known = self._stable[key] = parts == [left, right] and key not in self.rank
-            if len(self._stable) > 1_000_000:
+            a, b = self.parts.get(left, []), self.parts[right]
+            joined = (["".join(a)] if a else []) + ["".join(b)]
+            known = tuple(joined) not in self.rank and self.merged(a + b) == joined
+            if len(self._stable) >= MEMORY_PAIRS:
                 self._stable.clear()
+            self._stable[key] = known
         return known
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not yet known: a trie of their symbols, walked depth first."""
-        trie: dict = {}
+        """Ids of words, which come in order: down the trie from where the word leaves the one before it, with the last
+        token of each prefix, and then backwards from the end."""
+        if len(self._states) > MEMORY_NODES:
+            self._plant()
+        children, states, lasts, width = self._children, self._states, self._last, self.width
+        before, nodes, last = b"", [0], []  # the word before without its last symbol, its nodes, their last tokens
         for word in words:
-            node = trie
-            symbols = [self.letters[b] for b in word.encode()]
-            symbols[-1] += WORD_END
-            for symbol in symbols:
-                node = node.setdefault(symbol, {})
-            node[None] = word
-        path: list[str] = []                # symbols down to the node
-        last: list[tuple[str, int]] = []    # last token of each prefix and where it starts
-        walk = [(0, symbol, child) for symbol, child in trie.items()]
-        while walk:
-            depth, symbol, node = walk.pop()
-            del path[depth:], last[depth:]
-            path.append(symbol)
-            token = symbol
-            for start in range(depth, max(-1, depth - self.longest), -1):
-                if start < depth:
-                    token = path[start] + token
-                if token in self.ids and (start == 0 or self.stable(last[start - 1][0], token)):
-                    last.append((token, start))
-                    break
-            for symbol, child in node.items():
-                if symbol is not None:
-                    walk.append((depth + 1, symbol, child))
-            if None in node:
-                ids, at = [], depth
-                while at >= 0:
-                    token, start = last[at]
-                    ids.append(self.ids[token])
-                    at = start - 1
-                self.known[node[None]] = ids[::-1]
+            data = word.encode()
+            end = len(data) - 1
+            at, most = 0, min(end, len(before))
+            while at < most and data[at] == before[at]:
+                at += 1
+            del nodes[at + 1:], last[at:]
+            before = data[:end]
+            node = nodes[at]
+            while at <= end:
+                symbol = data[at] + _ENDS if at == end else data[at]
+                key = node << 9 | symbol
+                child = children.get(key)
+                if child is None:
+                    state = self._step(states[node], symbol)
+                    token = self._ending[state]
+                    while token >= 0:
+                        start = at + 1 - width[token]
+                        if self.stable(last[start - 1] if start else -1, token):
+                            break
+                        token = self.shorter[token]
+                    child = children[key] = len(states)
+                    states.append(state)
+                    lasts.append(token)
+                node = child
+                nodes.append(node)
+                last.append(lasts[node])
+                at += 1
+            ids, at = [], end
+            while at >= 0:
+                ids.append(last[at])
+                at -= width[last[at]]
+            self._words[word] = ids[::-1]
+            del nodes[end + 1:], last[end:]
 
     def _pieces(self, text: str) -> list[str]:
         """Special tokens of a text and what stands between white space elsewhere."""
@@ -143,21 +213,27 @@ class Vocabulary:
         return out
 
     def _learn_spans(self, fresh: list[str]) -> None:
-        cut = {s: self.pattern.findall(_lower(s)) for s in fresh if s not in self.special}
-        self.learn(list({w for words in cut.values() for w in words}.difference(self.known)))
+        if len(self._words) > MEMORY_SPANS:
+            self._words = {}
+        spans, flat, borders = self._old
+        cut = {s: self.pattern.findall(_lower(s)) for s in fresh if s not in spans and s not in self.special}
+        self.learn(sorted({w for words in cut.values() for w in words}.difference(self._words)))
         for span in fresh:
-            self._spans[span] = len(self._borders) - 1
             if span in self.special:
                 self._flat.append(self.special[span])
+            elif (at := spans.get(span)) is not None:
+                self._flat.extend(flat[borders[at]:borders[at + 1]])
             else:
                 for word in cut[span]:
-                    self._flat.extend(self.known[word])
+                    self._flat.extend(self._words[word])
+            self._spans[span] = len(self._borders) - 1
             self._borders.append(len(self._flat))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._pieces(t) for t in texts]
-        if max(len(self.known), len(self._spans)) > MEMORY_WORDS:
-            self._reset()
+        if len(self._spans) > MEMORY_SPANS:
+            self._old = (self._spans, self._flat, self._borders)
+            self._spans, self._flat, self._borders = {}, array("I"), array("q", [0])
         fresh = set().union(*cut).difference(self._spans)
         if fresh:
             self._learn_spans(list(fresh))

@@ -38,7 +38,8 @@ def test_any_text(text):
 
 def test_forgetting(monkeypatch):
     own = bpe.Vocabulary(bpe.read_definition(PATH))
-    monkeypatch.setattr(bpe, "MEMORY_WORDS", 2)
+    for name in ("MEMORY_SPANS", "MEMORY_NODES", "MEMORY_PAIRS"):
+        monkeypatch.setattr(bpe, name, 2)
     for text in ["one two three four", "two five", "one"]:
         assert own.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
