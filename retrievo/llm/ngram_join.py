@@ -6,6 +6,11 @@ rare ones first. If two sets are similar enough, the first ``k`` tokens that the
 itself, or all ``k`` are frequent, and both carry their combination. Pairs that meet under a signature pass a length
 and a parity-bitmap bound, neither of which can lose a link, and are verified on whole sets.
 
+The combinations of a prefix grow with its square. Sets from a size on, whose prefix is too long for them, carry the
+tokens of the prefix for ``k = 1`` singly instead, and so do, besides their combinations, the sets below that size that
+can still be similar to one of them; any two similar sets thus carry signatures of one kind. A set of ``n`` n-grams has a
+number of signatures that is linear in ``n``.
+
 Equal sets are one node before any of this. Under each signature nodes first meet only two of its nodes; the links so
 found are contracted, and then only nodes of different components meet, as links inside a component decide nothing. A
 group of many near copies thus costs a multiple of its size.
@@ -28,6 +33,8 @@ from retrievo.staging import stage
 SKETCH_BITS = 22  # counters of the token sketch: 16 MB, whatever the corpus
 RARE_FLOOR = 64   # tokens seen more often than this, and than four times the mean counter, are the frequent class
 COMBINE = 2       # k: tokens of a frequent-class combination
+PREFIX = 64       # sets with a longer prefix carry single tokens only
+YIELD = 1 << 20   # signatures that a task holds before it sends them on
 SHORT_BITS, LONG_BITS, LONG_SET = 512, 4096, 1024
 BLOCK = 512         # nodes of a group that one task compares with another block
 
@@ -62,30 +69,45 @@ def _parity(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def signatures(tokens: np.ndarray, seen: np.ndarray, frequent_above: int, percent: int, k: int = COMBINE) -> np.ndarray:
-    """Single rare tokens and ``k``-combinations of frequent ones from the extended prefix of one ascending set.
+def single_from(percent: int, k: int = COMBINE, most: int = PREFIX) -> int:
+    """The smallest set size whose extended prefix has more than ``most`` tokens."""
+    n = 1
+    while n - -(-percent * n // 100) + k <= most:
+        n += 1
+        if percent >= 100 and n > most:
+            break
+    return n
+
+
+def signatures(tokens: np.ndarray, seen: np.ndarray, frequent_above: int, percent: int, k: int = COMBINE,
+               most: int = PREFIX) -> np.ndarray:
+    """Single rare tokens and ``k``-combinations of frequent ones from the extended prefix of one ascending set; of a set
+    with a prefix of more than ``most`` tokens the single tokens of the shorter prefix that is enough for these.
 
     ``seen`` are the tokens' sketch counts. A set too small to share ``k`` tokens carries its frequent ones singly too.
     """
-    n = len(tokens)
+    n, border = len(tokens), single_from(percent, k, most)
     least = -(-percent * n // 100)
     order = np.argsort(seen, kind="stable")[:n - least + k]
-    prefix, often = tokens[order], seen[order] > frequent_above
-    out = [prefix[~often]]
-    common = prefix[often]
-    if least < k:
-        out.append(common)
-    if len(common) >= k:
-        combined = common
-        chosen = np.arange(len(common))
-        for _ in range(k - 1):  # all later partners of what is combined so far
-            left = np.repeat(np.arange(len(chosen)), len(common) - 1 - chosen)
-            step = np.arange(len(left)) - np.repeat(np.cumsum(len(common) - 1 - chosen) - (len(common) - 1 - chosen),
-                                                    len(common) - 1 - chosen)
-            right = chosen[left] + 1 + step
-            combined = combined[left] * np.uint64(0xD1342543DE82EF95) + common[right]
-            chosen = right
-        out.append(combined)
+    prefix = tokens[order]
+    out = [prefix[:n - least + 1]] if n * 100 >= percent * border else []
+    if n < border:
+        often = seen[order] > frequent_above
+        out.append(prefix[~often])
+        common = prefix[often]
+        if least < k:
+            out.append(common)
+        if len(common) >= k:
+            combined = common
+            chosen = np.arange(len(common))
+            for _ in range(k - 1):  # all later partners of what is combined so far
+                partners = len(common) - 1 - chosen
+                left = np.repeat(np.arange(len(chosen)), partners)
+                step = np.arange(len(left)) - np.repeat(np.cumsum(partners) - partners, partners)
+                right = chosen[left] + 1 + step
+                combined = combined[left] * np.uint64(0xD1342543DE82EF95) + common[right]
+                chosen = right
+            out.append(combined)
     return np.unique(np.concatenate(out))
 
 
@@ -141,14 +163,17 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     Signatures with the same smallest node go together, as a group of near copies shares hundreds of them: each pair is
     made once for all. Many nodes are cut into blocks, and each two blocks meet in a task of their own.
     """
-    wide = stage(members.groupBy("low").agg(F.approx_count_distinct("node").alias("size")).where(F.col("size") > BLOCK)
+    # a node and its signatures are one row, which does not repeat the node's bitmap for each of them
+    held = stage(members.groupBy("low", "node").agg(F.collect_list("signature").alias("signatures"),
+                                                    F.first("component").alias("component")), "held")
+    wide = stage(held.groupBy("low").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
                  .select("low", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "wide")
     blocks = F.coalesce("blocks", F.lit(1))
-    dealt = members.join(nodes.select("node", "n", "bits"), "node").join(wide, "low", "left") \
+    dealt = held.join(nodes.select("node", "n", "bits"), "node").join(wide, "low", "left") \
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))) \
         .select("low", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block",
-                "signature", "node", "component", "n", "bits")
+                "signatures", "node", "component", "n", "bits")
     keys = ["low", "left", "right"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys) \
         .mapInArrow(lambda b: _met(b, percent), "a long, b long").distinct()
@@ -156,12 +181,13 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _met(batches, percent):
     for (_, left, right), rows in runs(batches, ("low", "left", "right")):
-        name, first, of = np.unique(rows.column("node").to_numpy(), return_index=True, return_inverse=True)
+        name = rows.column("node").to_numpy()  # a node of the group is one row
         if len(name) < 2:
             continue
-        _, signature = np.unique(rows.column("signature").to_numpy(), return_inverse=True)
-        block = rows.column("block").to_numpy()[first]
-        component, n = (rows.column(c).to_numpy()[first] for c in ("component", "n"))
+        lists = rows.column("signatures")
+        of = np.repeat(np.arange(len(name)), pc.list_value_length(lists).to_numpy())
+        _, signature = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        block, component, n = (rows.column(c).to_numpy() for c in ("block", "component", "n"))
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
         shared = np.zeros((len(a), len(b)), bool)
         order = np.argsort(signature, kind="stable")
@@ -178,7 +204,7 @@ def _met(batches, percent):
             shared &= name[a][:, None] < name[b][None, :]
         i, j = np.nonzero(shared)
         if len(i):
-            bits = rows.column("bits").take(pa.array(first))
+            bits = rows.column("bits")
             keep = _bounded(bits.take(pa.array(a[i])), bits.take(pa.array(b[j])), n[a[i]], n[b[j]], percent)
             x, y = name[a[i[keep]]], name[b[j[keep]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -192,7 +218,8 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     Two rows link when ``100 * |intersection| >= percent * |union|``; ``component_id`` is the smallest ``doc_id`` in
     reach. Null and wordless texts have no n-grams and link with nothing. Rows with equal sets are always linked, also
     rows that repeat an id; rows of one id with different texts are linked only if their texts are. A null id is never
-    a component's id unless all its rows have none. Other columns are not read. An empty table gives an empty one.
+    a component's id unless all its rows have none. Other columns are not read. An empty table gives an empty one. A
+    very long text is one set: memory and signatures are linear in its words.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.withColumn("version", F.xxhash64("text"))
@@ -211,7 +238,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
 
     def index(batches):
         seen = shared_table.value
-        held = [[] for _ in _ROWS]
+        held, carried = [[] for _ in _ROWS], 0
         for doc, version, tokens in _sets(batches, width):
             row = (doc, version, None, 0, None, None)
             if len(tokens):
@@ -220,9 +247,10 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
                        signatures(tokens, counts, frequent_above, percent).view(np.int64))
             for column, value in zip(held, row):
                 column.append(value)
-            if len(held[0]) == 2000:
+            carried += 0 if row[5] is None else len(row[5])
+            if len(held[0]) == 2000 or carried >= YIELD:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, _ROWS)], schema=_ROWS)
-                held = [[] for _ in _ROWS]
+                held, carried = [[] for _ in _ROWS], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, _ROWS)], schema=_ROWS)
 
     rows = stage(docs.mapInArrow(index, _ROWS_DDL), "rows")

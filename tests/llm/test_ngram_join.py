@@ -1,9 +1,10 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
-from retrievo.llm.ngram_join import one_of_each, similar_sets
+from retrievo.llm.ngram_join import one_of_each, signatures, similar_sets, single_from
 
 SCHEMA = "doc_id long, text string"
 
@@ -45,3 +46,48 @@ def test_edge_rows(spark):
                   if r.text)
     assert kept == [("5", "one two three four"), ("5", "other words stand here")]
     assert similar_sets(docs.where("false"), 3, 90).count() == 0
+
+
+def test_similar_sets_share_a_signature():
+    """Also across the size from which sets carry single tokens; whatever tokens are frequent."""
+    rng = np.random.default_rng(4)
+    for percent in (80, 90):
+        border = single_from(percent)
+        for _ in range(300):
+            n = int(rng.integers(max(1, border - 60), border + 60))
+            base = np.unique(rng.integers(1, 1 << 63, n).astype(np.uint64))
+            away = int(rng.integers(0, len(base) // 8 + 1))
+            near = np.unique(np.concatenate([rng.permutation(base)[away:],
+                                             rng.integers(1, 1 << 63, int(rng.integers(0, 40))).astype(np.uint64)]))
+            seen = {t: int(rng.choice([1, 5, 100, 1000])) for t in np.union1d(base, near).tolist()}
+            a, b = (signatures(s, np.array([seen[t] for t in s.tolist()]), 64, percent) for s in (base, near))
+            shared = len(np.intersect1d(base, near))
+            if 100 * shared >= percent * len(np.union1d(base, near)):
+                assert len(np.intersect1d(a, b)), (percent, border, len(base), len(near))
+
+
+def test_signatures_are_linear_in_the_set():
+    for n in (300, 2_000, 20_000, 200_000):
+        tokens = np.arange(1, n + 1).astype(np.uint64)
+        for percent in (80, 90):
+            assert len(signatures(tokens, np.full(n, 1000), 64, percent)) <= max(2 * n, 3000)
+
+
+def test_long_texts(spark):
+    """Near copies of a long text, below and above the border, many of them; one text of 200,000 words."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for size in (280, 330, 900):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for i in range(80):
+            words = list(base)
+            for _ in range(rng.randint(0, size // 60)):
+                words[rng.randrange(size)] = rng.choice(vocabulary)
+            rows.append(" ".join(words + [rng.choice(vocabulary) for _ in range(rng.randint(0, size // 12))]))
+    rows += [" ".join(rng.choice(vocabulary) for _ in range(200_000))]
+    rows += [rows[-1] + " more words"]
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    got = similar_sets(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.similar(rows, 5, 80)
