@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retrievo.operators import telemetry as m
+from retrievo.operators import sketches, telemetry as m
 from retrievo.plans.registry import register, table
+from retrievo.staging import new_stage_path
 
 
 def events(spark, sf_dir):
@@ -162,3 +163,20 @@ def token_budget_replay(spark, sf_dir):
     ev = events(spark, sf_dir)
     return m.token_budget(ev, "user_id", F.ceil(F.col("value") * 40), per_min=4_500, requests=3,
                           window_s=WINDOW_S).select("event_id", "tokens", "decision", "retry_after")
+
+
+@register("sketch_percentiles", """
+SELECT event_type, count(*) AS n, round(sum(greatest(value - 10, 0)), 4) AS total, greatest(max(value) - 10, 0) AS max,
+  true AS p50_within, true AS p95_within, true AS p99_within
+FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY event_type""")
+def sketch_percentiles(spark, sf_dir):
+    """Percentiles of half a month from stored sketches of minutes: totals, and whether each rank is within its bound."""
+    shifted = events(spark, sf_dir).withColumn("value", F.col("value") - 10).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, start, end = new_stage_path(spark, "sketches"), "2024-01-05 06:00:00", "2024-01-20 12:00:00"
+    sketches.write_sketches(sketches.timer_sketches(shifted, ["event_type"]), path)
+    found = sketches.sketched_percentiles(sketches.read_sketches(spark, path, start, end), ["event_type"])
+    own = shifted.filter((F.col("ts") >= start) & (F.col("ts") < end))
+    errors = sketches.rank_errors(found, own, ["event_type"])
+    within = [(F.col(f"e.{p}") <= sketches.RANK_ERROR).alias(f"{p}_within") for p in m.TIMER_PERCENTILES]
+    return found.alias("f").join(errors.alias("e"), "event_type").select(
+        "event_type", "n", F.round("total", 4).alias("total"), "max", *within)
