@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = META) ->
     known = there.where(some).orderBy(by_hash, "doc_id").limit(LABELLED)
     pool = there.where(~some).orderBy(by_hash, "doc_id").limit(POOL)
     chosen = stage(known.union(pool), "sample-ids")
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *columns, "quality", "toxic")
+    sample = docs.select("doc_id", "text", *columns).join(F.broadcast(chosen), "doc_id")  # docs may have such columns too
 
     def run(batches):
         for batch in batches:

@@ -41,3 +41,13 @@ def test_held_out_accuracy(spark):
     assert out.count() == 3 and classify(odd.where("false"), model).count() == 0
     without = fit(frame, given.where("false"))
     assert {r.keep for r in classify(frame, without).collect()} == {True}
+
+
+def test_documents_with_columns_named_like_labels(spark):
+    docs, labels = _documents(400)
+    rows = [(*d, 7, "x") for d in docs]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality int, "
+                                        "toxic string")
+    given = spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
+    out = classify(frame, fit(frame, given))
+    assert {r.quality for r in out.select("quality").distinct().collect()} == {7} and out.count() == 400
