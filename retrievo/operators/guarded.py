@@ -1,7 +1,8 @@
 """Ad-hoc SELECT over an allow-list of tables.
 
-Three layers: rules on the text of the statement, a session of its own that holds only the allowed views, and a row
-limit around the statement. The text rules refuse more than they must; anything they cannot place is refused.
+Three layers: a walk over the statement's lexemes, a session of its own that holds only the allowed views, and a row limit
+around the statement. The walk knows where a relation must stand, also in comma lists, nested joins and subqueries, and
+refuses what it cannot place: quoted names, comments, substitutions, names of other relations and functions.
 """
 
 from __future__ import annotations
@@ -40,46 +41,102 @@ class RejectedSql(ValueError):
     """The statement is not allowed."""
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z_][a-z0-9_$]*(?:\s*\.\s*[a-z_][a-z0-9_$]*)*", text)
+_LEXEME = re.compile(r"""
+    (?P<space>\s+)
+  | (?P<comment>--|/\*|\*/|\#)
+  | (?P<text>'(?:[^'\\]|'')*')
+  | (?P<name>[a-z_][a-z0-9_]*(?:\s*\.\s*[a-z_][a-z0-9_]*)*)
+  | (?P<number>\d+(?:\.\d*)?(?:e[+-]?\d+)?|\.\d+)
+  | (?P<sign><=>|<>|!=|>=|<=|\|\||[()+\-*/%,=<>.])
+""", re.VERBOSE)
+# words that end the list of relations of a SELECT
+_AFTER_FROM = frozenset("where group having order limit union intersect except select window sort cluster distribute".split())
+
+
+def _lexemes(statement: str) -> list[tuple[str, str]]:
+    """Kind and text of every lexeme; names are lower-cased and their dots stand without spaces."""
+    low, at, out = statement.lower(), 0, []
+    while at < len(low):
+        m = _LEXEME.match(low, at)
+        if m is None:
+            raise RejectedSql(f"unexpected character {statement[at]!r} at {at}")
+        kind = m.lastgroup
+        if kind == "comment":
+            raise RejectedSql(f"a comment begins at {at}")
+        if kind != "space":
+            out.append((kind, re.sub(r"\s*\.\s*", ".", m.group()) if kind == "name" else m.group()))
+        at = m.end()
+    return out
+
+
+class _Frame:
+    """What stands between two parentheses, or the whole statement."""
+
+    def __init__(self, wants: bool = False):
+        self.selects = False   # it has a SELECT of its own, so FROM names relations
+        self.listing = False   # inside the list of relations
+        self.wants = wants     # the next name is a relation
+
+
+def relations(lexemes: list[tuple[str, str]]) -> list[str]:
+    """Names that stand where a relation must: after FROM and JOIN, and after the commas of their list."""
+    found, frames = [], [_Frame()]
+    for place, (kind, text) in enumerate(lexemes):
+        frame, before = frames[-1], lexemes[place - 1][1] if place else ""
+        if text == "(" and kind == "sign":
+            frames.append(_Frame(frame.wants))
+            frame.wants = False
+        elif text == ")" and kind == "sign":
+            if len(frames) == 1:
+                raise RejectedSql("a parenthesis is closed that was not opened")
+            frames.pop()
+        elif kind == "sign" and text == ",":
+            frame.wants = frame.listing
+        elif kind != "name":
+            if frame.wants:
+                raise RejectedSql(f"{text} stands where a relation must")
+        elif text == "select":
+            frame.selects, frame.listing, frame.wants = True, False, False
+        elif text == "join" or (text == "from" and frame.selects and before != "distinct"):
+            frame.listing = frame.wants = True
+        elif frame.wants and text != "lateral":
+            found.append(text)
+            frame.wants = False
+            frame.listing = True
+        elif text in _AFTER_FROM:
+            frame.listing = False
+    if len(frames) > 1:
+        raise RejectedSql("a parenthesis is not closed")
+    return found
 
 
 def check_select(sql: str | None, allowed: set[str], known: set[str] = frozenset(),
                  namespaces: set[str] = frozenset()) -> str:
-    """The statement without trailing semicolons, or ``RejectedSql``.
+    """The statement without semicolons at its end, or ``RejectedSql`` with the reason.
 
     ``known``: other relations that the session could resolve; ``namespaces``: database and catalog names.
     """
-    if sql is None or not sql.strip():
-        raise RejectedSql("There is no statement.")
-    text = re.sub(r";+\s*$", "", sql.strip())
-    low = text.lower()
-    if not re.match(r"select\s", low):
-        raise RejectedSql("Only SELECT queries are allowed.")
-    if any(mark in low for mark in ("--", "/*", "*/", ";")):
-        raise RejectedSql("One statement without comments, please.")
-    bare = re.sub(r"'(?:[^'\\]|''|\\.)*'", "''", low)
-    if any(c in bare for c in "`\"\\{$:@"):
-        raise RejectedSql("Quoted names and substitutions are not allowed.")
-    for word in FORBIDDEN:
-        if re.search(rf"\b{word.replace(' ', chr(92) + 's+')}\b", bare):
-            raise RejectedSql(f"This word may not stand in a statement: {word}")
-    tables = re.findall(r"\b(?:from|join)\s+([a-z0-9_.$]+)", bare)
-    if not tables:
-        raise RejectedSql("The statement reads none of the allowed tables.")
-    for name in tables:
-        if name not in allowed:
-            raise RejectedSql(f"Access to table is not allowed: {name}")
-    for name in re.findall(r"([a-z_][a-z0-9_.]*)\s*\(", bare):
-        if name not in FUNCTIONS and name not in _SYNTAX:
-            raise RejectedSql(f"Function is not allowed: {name}")
-    for word in _words(bare):
-        head = re.split(r"\s*\.\s*", word)[0]
-        if "." in word and head in namespaces:
-            raise RejectedSql(f"Access to namespace is not allowed: {head}")
-        if "." not in word and word in known:
-            raise RejectedSql(f"Access to table is not allowed: {word}")
-    return text
+    statement = (sql or "").strip().rstrip("; \t\r\n")
+    lexemes = _lexemes(statement)
+    if not lexemes or lexemes[0] != ("name", "select"):
+        raise RejectedSql("a statement must begin with SELECT")
+    names = [(i, text) for i, (kind, text) in enumerate(lexemes) if kind == "name"]
+    for i, text in names:
+        parts = text.split(".")
+        following = lexemes[i + 1][1] if i + 1 < len(lexemes) else ""
+        for word in (*parts, f"{text} {following}"):
+            if word in FORBIDDEN:
+                raise RejectedSql(f"{word.upper()} may not stand in a statement")
+        if following == "(" and text not in FUNCTIONS and text not in _SYNTAX:
+            raise RejectedSql(f"{text} is none of the functions that may be called")
+        if (parts[0] in namespaces if len(parts) > 1 else text in known):
+            raise RejectedSql(f"{text} is out of reach")
+    read = relations(lexemes)
+    if not read:
+        raise RejectedSql("no table is read")
+    if other := [name for name in read if name not in allowed]:
+        raise RejectedSql(f"tables that may not be read: {', '.join(other)}")
+    return statement
 
 
 def guarded_select(spark: SparkSession, sql: str, tables: dict[str, Callable[[SparkSession], DataFrame]],
