@@ -20,35 +20,6 @@ def event_stream(spark, sf_dir):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(spark, stream, mode):
-    path = new_stage_path(spark, "stream")
-    sink = sinks.whole_table(f"{path}/out") if mode == "complete" else sinks.batch_files(f"{path}/out")
-    sinks.drain(stream, sink, f"{path}/checkpoint", mode)
-    return spark.read.parquet(f"{path}/out")
-
-
-@register("stream_rate_5m", SQL["rate_5m"])
-def stream_rate_5m(spark, sf_dir):
-    out = _drained(spark, telemetry.rate_stream(event_stream(spark, sf_dir), ["event_type"]), "complete")
-    return out.select(F.col("at").cast("timestamp_ntz").alias("at"), "event_type", F.round("rate", 9).alias("rate"))
-
-
-@register("stream_daily_increase", SQL["daily_increase"])
-def stream_daily_increase(spark, sf_dir):
-    out = _drained(spark, telemetry.increase_stream(event_stream(spark, sf_dir), ["event_type"]), "complete")
-    return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
-
-
-@register("stream_error_ratio", f"""
-WITH {_slide("'1 hour'", 3600, 6)}
-SELECT "at", round(count(*) FILTER (event_type = 'error') / 21600.0 / greatest(count(*) / 21600.0, 0.001), 9)::DOUBLE
-  AS ratio FROM p GROUP BY "at\"""")
-def stream_error_ratio(spark, sf_dir):
-    out = _drained(spark, telemetry.ratio_stream(
-        event_stream(spark, sf_dir), F.col("event_type") == "error", "6 hours", "1 hour", 21_600), "complete")
-    return out.select(F.col("at").cast("timestamp_ntz").alias("at"), F.round("ratio", 9).alias("ratio"))
-
-
 def _decided(spark, sf_dir, **limits):
     path = new_stage_path(spark, "quotas")
     quotas.run_quotas(event_stream(spark, sf_dir), path, f"{path}/checkpoint", "user_id", window_s=WINDOW_S, **limits)
@@ -155,6 +126,34 @@ def _split_events(spark, sf_dir, parts):
     return path, events.schema
 
 
+def _closed(spark, sf_dir, windows):
+    """All windows of the events in append mode: ``windows`` makes them of the stream of rows on time."""
+    path, schema = _split_events(spark, sf_dir, 1)
+    return _kept(spark, windows(stateful.on_time_stream(spark, path, schema)))
+
+
+@register("stream_rate_5m", SQL["rate_5m"])
+def stream_rate_5m(spark, sf_dir):
+    out = _closed(spark, sf_dir, lambda events: telemetry.rate_stream(events, ["event_type"]))
+    return out.select(F.col("at").cast("timestamp_ntz").alias("at"), "event_type", F.round("rate", 9).alias("rate"))
+
+
+@register("stream_daily_increase", SQL["daily_increase"])
+def stream_daily_increase(spark, sf_dir):
+    out = _closed(spark, sf_dir, lambda events: telemetry.increase_stream(events, ["event_type"]))
+    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "increase")
+
+
+@register("stream_error_ratio", f"""
+WITH {_slide("'1 hour'", 3600, 6)}
+SELECT "at", round(count(*) FILTER (event_type = 'error') / 21600.0 / greatest(count(*) / 21600.0, 0.001), 9)::DOUBLE
+  AS ratio FROM p GROUP BY "at\"""")
+def stream_error_ratio(spark, sf_dir):
+    out = _closed(spark, sf_dir, lambda events: telemetry.ratio_stream(
+        events, F.col("event_type") == "error", "6 hours", "1 hour", 21_600))
+    return out.select(F.col("at").cast("timestamp_ntz").alias("at"), F.round("ratio", 9).alias("ratio"))
+
+
 @register("stream_increase_late", SQL["daily_increase"])
 def stream_increase_late(spark, sf_dir):
     """Daily counts in append mode of events that come out of order: closed windows and the late rows make the whole."""

@@ -33,7 +33,10 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/retrievo/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the staging folder; ``remove_staged`` deletes what is there."""
+    path = f"{staging_root(spark)}/retrievo/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -44,12 +47,11 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_staged(spark: SparkSession) -> int:
-    """Delete the tables that this process has staged, once no result that reads them is needed any more."""
+    """Delete what this process has staged, once no result that reads it is needed any more."""
     removed = 0
     while _staged:
         path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())

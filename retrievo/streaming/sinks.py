@@ -26,14 +26,6 @@ def batch_files(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def whole_table(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for complete mode: the newest result replaces the table."""
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(path)
-
-    return write
-
-
 def progress(spark: SparkSession, *paths: str) -> dict:
     """Batches and rows so far, counted from the batch folders that the sinks of a stream have written."""
     seen = None

@@ -27,11 +27,6 @@ def increase_stream(events: DataFrame, labels: Sequence[str], window: str = "1 d
     return telemetry.increase(events.withWatermark("ts", watermark), labels, window)
 
 
-def first_entries_stream(entries: DataFrame, key: str = "cache_key", ttl: str = "24 hours") -> DataFrame:
-    """Cache entries by key, one per lifetime: a key is let through again once its state has expired."""
-    return entries.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
-
-
 def with_late_split(df: DataFrame, delay_seconds: int, newest) -> tuple[DataFrame, DataFrame]:
     """Rows on time and late rows against the newest event time seen before (None at the start)."""
     if newest is None:
