@@ -26,9 +26,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from retrievo.llm.words import slices
 
 WORD_END = "</w>"
-MEMORY_SPANS = 200_000  # distinct spans between white space in a generation; a worker keeps two, so frequent ones stay
-MEMORY_NODES = 1_000_000  # nodes of the trie that a worker keeps before it starts a new one
-MEMORY_PAIRS = 500_000
+MEMORY_SPANS = 80_000  # distinct spans between white space in a generation; a worker keeps two, so frequent ones stay
+MEMORY_NODES = 300_000  # nodes of the trie that a worker keeps before it starts a new one
+MEMORY_PAIRS = 200_000
 _ENDS = 256  # a byte that ends its word is another symbol
 
 
