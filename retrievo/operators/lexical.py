@@ -60,13 +60,29 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              vocabulary: DataFrame | None = None) -> DataFrame:
-    """Postings of the corpus, or only those of the terms in ``vocabulary``."""
+    """Postings of the corpus, or only those of the terms in ``vocabulary``. A document is one row."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), bm25_tokenize(F.col(text)).alias("_tokens"))
-    terms = tokens.select("doc_id", F.size("_tokens").cast("long").alias("dl"),
-                          F.explode(F.concat("_tokens", F.array(F.lit(DOCUMENT_ROW)))).alias("term"))
-    if vocabulary is not None:
-        terms = terms.join(_wanted(vocabulary), "term", "left_semi")
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    terms = tokens.mapInArrow(_count_terms, f"doc_id {kind}, dl long, term string, tf long")
+    return terms if vocabulary is None else terms.join(_wanted(vocabulary), "term", "left_semi")
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of each document from its own row, and the posting with the empty term; nothing is shuffled."""
+    for batch in batches:
+        lists = batch.column(1)
+        lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        size = max(1, len(coded.dictionary))
+        pair, tf = np.unique(row * size + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
+        every = np.arange(batch.num_rows)
+        row = np.concatenate([pair // size, every])
+        words = pa.concat_arrays([coded.dictionary.cast(pa.string()).take(pa.array(pair % size)),
+                                  pa.array([DOCUMENT_ROW] * batch.num_rows, pa.string())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row)), pa.array(lengths[row]), words,
+             pa.array(np.concatenate([tf, np.ones(batch.num_rows, np.int64)]))], names=["doc_id", "dl", "term", "tf"])
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
