@@ -88,10 +88,10 @@ class Vocabulary:
     def _index_tokens(self, of_letter: dict[str, int]) -> None:
         """The automaton of all tokens over bytes: its steps, suffix links and the longest token that ends in a state; and
         for each token its parts, its length and the next shorter token that ends it."""
-        self.parts = {i: self._symbols(t) for t, i in self.ids.items()}
-        self.width = {i: len(p) for i, p in self.parts.items()}
+        self.tokens = {i: t for t, i in self.ids.items()}
+        self.width = {i: len(self._symbols(t)) for t, i in self.ids.items()}
         self._steps: dict[int, int] = {}
-        own, paths = [-1], [()]
+        own, paths = array("i", [-1]), [()]
         for t, i in self.ids.items():
             *plain, end = self._symbols(t)
             path = [of_letter[c] for c in plain] + [of_letter[end.removesuffix(WORD_END) or end]
@@ -109,7 +109,7 @@ class Vocabulary:
         depth = [0] * len(own)
         for state in range(1, len(own)):
             depth[state] = depth[paths[state][0]] + 1
-        self._fail, self._ending, self.shorter = [0] * len(own), list(own), {}
+        self._fail, self._ending, self.shorter = array("i", bytes(4 * len(own))), own[:], {}
         for state in sorted(range(1, len(own)), key=depth.__getitem__):
             parent, symbol = paths[state]
             self._fail[state] = self._step(self._fail[parent], symbol) if parent else 0
@@ -153,7 +153,7 @@ class Vocabulary:
         """Whether merging the symbols of two tokens together gives these two tokens; of one token, if ``left`` is -1."""
         key = left << 20 | right if left >= 0 else -1 - right
         if (known := self._stable.get(key)) is None:
-            a, b = self.parts.get(left, []), self.parts[right]
+            a, b = self._symbols(self.tokens[left]) if left >= 0 else [], self._symbols(self.tokens[right])
             joined = (["".join(a)] if a else []) + ["".join(b)]
             known = tuple(joined) not in self.rank and self.merged(a + b) == joined
             if len(self._stable) >= MEMORY_PAIRS:
