@@ -2,7 +2,7 @@
 
 A word's encoding is a chain of tokens in which every neighbouring pair is stable: merging the two tokens' own symbols
 gives the same pair back. Therefore the encoding of a prefix is the encoding of a shorter prefix and one more token, and
-the last token of each prefix tells the whole chain. Distinct words go into a trie that a worker keeps; going down, each
+the last token of each prefix tells the whole chain. Distinct words go into a trie that a task keeps; going down, each
 new node finds its last token from those of its ancestors, so a prefix that many words share is encoded once. The tokens
 that end at a node come from the vocabulary's suffix links, longest first. Documents are then put together from their
 words' tokens. Nothing is shuffled.
@@ -26,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from retrievo.llm.words import slices
 
 WORD_END = "</w>"
-MEMORY_SPANS = 80_000  # distinct spans between white space in a generation; a worker keeps two, so frequent ones stay
-MEMORY_NODES = 300_000  # nodes of the trie that a worker keeps before it starts a new one
+MEMORY_SPANS = 80_000  # distinct spans between white space in a generation; a task keeps two, so frequent ones stay
+MEMORY_NODES = 300_000  # nodes of the trie that a task keeps before it starts a new one
 MEMORY_PAIRS = 200_000
 _ENDS = 256  # a byte that ends its word is another symbol
 
@@ -80,6 +80,12 @@ class Vocabulary:
         self._words: dict[str, list[int]] = {}
         self._plant()
 
+    def forget(self) -> None:
+        """Give back what texts have taught, so that the worker's next tasks find its memory free."""
+        self._reset()
+        self._stable = {}
+        pa.default_memory_pool().release_unused()
+
     def _plant(self) -> None:
         """An empty trie: children by (node, symbol), and for each node its automaton state and last token."""
         self._children: dict[int, int] = {}
@@ -278,7 +284,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 def vocabulary(definition: str) -> Vocabulary:
-    """One vocabulary for each worker process and file, with the words it has met."""
+    """One vocabulary for each worker process and file, with the words that a task has met."""
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
@@ -315,6 +321,7 @@ def tokenize(docs: DataFrame, definition: str, digests: bool = False) -> DataFra
                                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns],
                                                  names=[*part.schema.names, *[f.name for f in fields]])
+        own.forget()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *fields]))
 
