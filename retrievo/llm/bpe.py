@@ -26,9 +26,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from retrievo.llm.words import slices
 
 WORD_END = "</w>"
-MEMORY_SPANS = 80_000  # distinct spans between white space in a generation; a task keeps two, so frequent ones stay
-MEMORY_NODES = 300_000  # nodes of the trie that a task keeps before it starts a new one
-MEMORY_PAIRS = 200_000
+MEMORY_SPANS = 200_000  # distinct spans between white space in a generation; a task keeps two, so frequent ones stay
+MEMORY_NODES = 1_000_000  # nodes of the trie that a task keeps before it starts a new one
+MEMORY_PAIRS = 500_000
 _ENDS = 256  # a byte that ends its word is another symbol
 
 
@@ -60,6 +60,7 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self._stable: dict[int, bool] = {}
+        self.keep()
         self._index_tokens(of_letter)
         size = max([*self.ids.values(), *self.special.values()]) + 1
         held = [b""] * size
@@ -80,6 +81,11 @@ class Vocabulary:
         self._words: dict[str, list[int]] = {}
         self._plant()
 
+    def keep(self, share: float = 1.0) -> None:
+        """Limits of what is kept, as a share of the full ones: less takes more time and gives the same ids."""
+        self.spans_kept, self.nodes_kept, self.pairs_kept = (
+            int(share * n) for n in (MEMORY_SPANS, MEMORY_NODES, MEMORY_PAIRS))
+
     def forget(self) -> None:
         """Give back what texts have taught, so that the worker's next tasks find its memory free."""
         self._reset()
@@ -162,7 +168,7 @@ class Vocabulary:
             a, b = self._symbols(self.tokens[left]) if left >= 0 else [], self._symbols(self.tokens[right])
             joined = (["".join(a)] if a else []) + ["".join(b)]
             known = tuple(joined) not in self.rank and self.merged(a + b) == joined
-            if len(self._stable) >= MEMORY_PAIRS:
+            if len(self._stable) >= self.pairs_kept:
                 self._stable.clear()
             self._stable[key] = known
         return known
@@ -170,7 +176,7 @@ class Vocabulary:
     def learn(self, words: list[str]) -> None:
         """Ids of words, which come in order: down the trie from where the word leaves the one before it, with the last
         token of each prefix, and then backwards from the end."""
-        if len(self._states) > MEMORY_NODES:
+        if len(self._states) > self.nodes_kept:
             self._plant()
         children, states, lasts, width = self._children, self._states, self._last, self.width
         before, nodes, last = b"", [0], []  # the word before without its last symbol, its nodes, their last tokens
@@ -219,7 +225,7 @@ class Vocabulary:
         return out
 
     def _learn_spans(self, fresh: list[str]) -> None:
-        if len(self._words) > MEMORY_SPANS:
+        if len(self._words) > self.spans_kept:
             self._words = {}
         spans, flat, borders = self._old
         cut = {s: self.pattern.findall(_lower(s)) for s in fresh if s not in spans and s not in self.special}
@@ -237,7 +243,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._pieces(t) for t in texts]
-        if len(self._spans) > MEMORY_SPANS:
+        if len(self._spans) > self.spans_kept:
             self._old = (self._spans, self._flat, self._borders)
             self._spans, self._flat, self._borders = {}, array("I"), array("q", [0])
         fresh = set().union(*cut).difference(self._spans)
@@ -296,13 +302,14 @@ DIGESTS = StructType().add("n_tokens", "long").add("ids_sha256", "string").add("
 _RESULTS = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
 
 
-def tokenize(docs: DataFrame, definition: str, digests: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, definition: str, digests: bool = False, remember: float = 1.0) -> DataFrame:
     """Every row with ``token_ids`` and ``decoded``, or with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
 
     ``definition`` is the text of a tokenizer file; it is broadcast, as its size is that of the vocabulary. Ids are
     those of the file's own library without added tokens, truncation and padding: its special strings in a text are
     their ids. ``decoded`` keeps special tokens and word ends. A null or empty text has no tokens and decodes to the
-    empty text. Columns named like a result are replaced, all others kept; rows may repeat and ids be null.
+    empty text. Columns named like a result are replaced, all others kept; rows may repeat and ids be null. ``remember``
+    is the share of a task's full memory for words met before, for jobs that need it for more than tokens.
     """
     fields = DIGESTS.fields if digests else _RESULTS
     docs = docs.drop(*[f.name for f in fields])
@@ -310,6 +317,7 @@ def tokenize(docs: DataFrame, definition: str, digests: bool = False) -> DataFra
 
     def run(batches):
         own = vocabulary(sent.value)
+        own.keep(remember)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = own.encode([t or "" for t in part.column("text").to_pylist()])
