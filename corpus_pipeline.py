@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document with the number and digest of its tokens and the digest of what they decode to."""
     prepare(spark)
-    return tokenize(docs.select(COLUMNS), read_definition(default_path()), digests=True) \
+    return tokenize(docs.select(COLUMNS), read_definition(default_path()), digests=True, remember=0.35) \
         .select("doc_id", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
