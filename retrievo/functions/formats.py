@@ -39,11 +39,18 @@ def lines(col: Column) -> Column:
     return F.filter(F.transform(F.split(col, "\n"), strip), lambda t: t != "")
 
 
+def significant_lines(col: Column) -> Column:
+    """The lines that ``format_of`` judges: all but those that separate articles."""
+    return F.filter(lines(col), lambda t: ~F.startswith(t, F.lit(ARTICLE_MARK)))
+
+
 def detect_format(col: Column, ignore_rules: bool = False) -> Column:
-    """FAQ, CONVERSATION, ARTICLE, CSV, MIXED or PLAIN by the share of marked lines.
+    """FAQ, CONVERSATION, ARTICLE, CSV, MIXED or PLAIN by the share of marked lines."""
+    return format_of(significant_lines(col), ignore_rules)
+
 
-    ``ignore_rules`` leaves separator lines of dashes out of the count.
-    """
+def format_of(significant: Column, ignore_rules: bool = False) -> Column:
+    """The format of a text by its significant lines; ``ignore_rules`` leaves separator lines of dashes out of the count."""
     def decide(rows: Column) -> Column:
         total = F.size(rows)
         share = lambda test: F.size(F.filter(rows, test)) / total
@@ -63,7 +70,6 @@ def detect_format(col: Column, ignore_rules: bool = False) -> Column:
 
         return F.when(total == 0, F.lit("PLAIN")).otherwise(let(shares, name))
 
-    significant = F.filter(lines(col), lambda t: ~F.startswith(t, F.lit(ARTICLE_MARK)))
     if ignore_rules:
         significant = F.filter(significant, lambda t: t != RULE_MARK)
     return let(significant, decide)

@@ -14,16 +14,16 @@ ANSWER_CHARS = 2048
 QA_TEXT_CHARS = 3072
 CATEGORY_CHARS = 100
 
-_TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_TRIM = "".join(map(chr, range(0x21)))
 
 
 def strip(col: Column) -> Column:
     """Drop control characters and spaces at both ends."""
-    return F.regexp_replace(col, _TRIM, "")
+    return F.btrim(col, F.lit(_TRIM))
 
 
 def is_blank(col: Column) -> Column:
-    return col.isNull() | (F.regexp_replace(col, r"\s+", "") == "")
+    return col.isNull() | ~col.rlike(r"\S")
 
 
 def clean_text(col: Column) -> Column:

@@ -113,9 +113,10 @@ def doc_format(spark, sf_dir):
     base = docs(spark, sf_dir)
     kinds = {k: d.shaped(F.col("text"), k) for k in _KINDS} | {"plain": F.col("text"), "mixed": d.mixed(F.col("text"))}
     parts = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("body")) for k, c in kinds.items()])
-    return base.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.*").select(
-        "doc_id", "kind", formats.detect_format(F.col("body")).alias("format"),
-        formats.detect_format(F.col("body"), ignore_rules=True).alias("format_without_rules"))
+    rows = base.select("doc_id", F.explode(parts).alias("p")).select(
+        "doc_id", "p.kind", formats.significant_lines(F.col("p.body")).alias("_lines"))
+    return rows.select("doc_id", "kind", formats.format_of(F.col("_lines")).alias("format"),
+                       formats.format_of(F.col("_lines"), ignore_rules=True).alias("format_without_rules"))
 
 
 def _blocks_sql(kind: str, separator: str) -> str:
