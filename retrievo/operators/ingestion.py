@@ -8,8 +8,9 @@ from retrievo.functions.text import (QUESTION_CHARS, clean_text, generation_toke
 from retrievo.operators.documents import CHUNK_OVERLAP, CHUNK_SIZE, chunks
 from retrievo.operators.embedding import hashed_embedding
 from retrievo.operators.ordered import running_total
-from retrievo.sources.index import write_chunks
+from retrievo.sources.index import require_writable, write_chunks
 from retrievo.sources.readers import SUPPORTED_TYPES, document_text
+from retrievo.staging import stage
 
 ERROR_CHARS = 1000
 MIN_MESSAGES = 3
@@ -27,22 +28,34 @@ def ingest_documents(docs: DataFrame, embed=None, size: int = CHUNK_SIZE, overla
     A document that cannot be processed gets status FAILED and its error; the others are not affected. The status has
     one row per document and comes from the document's own row, without a shuffle.
     """
+    cut = _cut_documents(docs, size, overlap)
+    return _chunk_rows(cut, embed), _status_rows(cut)
+
+
+def _cut_documents(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Each document's row with its error or its chunks instead of the raw text."""
     error = (F.when(~F.col("file_type").isin(*SUPPORTED_TYPES),
                     F.concat(F.lit("Unsupported file type: "), F.col("file_type")))
              .when(is_blank(F.col("raw")), F.lit("text is blank")))
     read = docs.withColumn("error_message", F.substring(error, 1, ERROR_CHARS))
-    cut = read.withColumn("_chunks", F.when(
+    return read.select("doc_id", "file_name", "file_type", "error_message", F.when(
         F.col("error_message").isNull(),
         chunks(document_text(F.col("file_type"), F.col("raw")), size, overlap))
-        .otherwise(F.array().cast("array<string>")))
-    status = cut.select(
+        .otherwise(F.array().cast("array<string>")).alias("_chunks"))
+
+
+def _status_rows(cut: DataFrame) -> DataFrame:
+    return cut.select(
         "doc_id", "file_name", "file_type",
         F.when(F.col("error_message").isNull(), "COMPLETED").otherwise("FAILED").alias("processing_status"),
         F.size("_chunks").alias("chunk_count"), "error_message")
+
+
+def _chunk_rows(cut: DataFrame, embed) -> DataFrame:
     rows = cut.select("doc_id", "file_name", F.size("_chunks").alias("total_chunks"),
                       F.posexplode("_chunks").alias("chunk_index", "content")).withColumn(
         "char_count", F.length("content"))
-    return (rows if embed is None else embed(rows, "content", "embedding")), status
+    return rows if embed is None else embed(rows, "content", "embedding")
 
 
 def ingest_index(docs: DataFrame, path: str, embed=hashed_embedding, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
@@ -50,9 +63,11 @@ def ingest_index(docs: DataFrame, path: str, embed=hashed_embedding, size: int =
     """Ingest documents into ``path/chunks`` and ``path/status`` and return both as written.
 
     Each chunk has the ``chunk_id`` that searches name, its text and its vector; a chunk without a vector is kept, as words
-    still find it.
+    still find it. Documents are read and parsed once; both tables come from their staged chunks.
     """
-    rows, status = ingest_documents(docs, embed, size, overlap)
+    require_writable(read_only)
+    cut = stage(_cut_documents(docs, size, overlap), "cut_documents")
+    rows, status = _chunk_rows(cut, embed), _status_rows(cut)
     rows = rows.withColumn("chunk_id", F.concat_ws("#", "file_name", F.col("chunk_index").cast("string")))
     write_chunks(rows, f"{path}/chunks", read_only=read_only)
     status.write.mode("append").parquet(f"{path}/status")

@@ -33,9 +33,12 @@ def index_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 256, read_only: bool = False) -> None:
-    """Append chunks in hash buckets of the document, so lookups and deletes by document touch one bucket."""
+    """Append chunks in hash buckets of the document, so lookups and deletes by document touch one bucket.
+
+    A bucket is one file of each write, however many tasks made its chunks.
+    """
     require_writable(read_only)
-    (chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    (chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).repartition("bucket")
      .write.mode("append").partitionBy("bucket").parquet(path))
 
 
