@@ -70,9 +70,12 @@ def cached_embedding(df: DataFrame, path: str, now, embed: Callable[[DataFrame,
     spark = df.sparkSession
     now = F.lit(now).cast("timestamp")
     keyed = df.drop(out).withColumn("_key", cache_key(PREFIX, F.col(text)))
-    texts = stage(keyed.filter(F.col(text).isNotNull()).groupBy("_key").agg(F.first(text).alias("_text")), "texts")
+    asking = keyed.filter(F.col(text).isNotNull()).select("_key", F.col(text).alias("_text"))
+    texts = stage(asking.select("_key").distinct(), "text_keys")
     known = _living(read_cache(spark, path), now, lifetime_s)
-    fresh = texts.join(known, texts["_key"] == known["key"], "left_anti")
+    open_keys = stage(texts.join(known, texts["_key"] == known["key"], "left_anti"), "open_keys")
+    # only texts that are embedded are moved
+    fresh = asking.join(open_keys, "_key", "left_semi").dropDuplicates(["_key"])
     made = embed(fresh, "_text", out).select(F.col("_key").alias("key"), F.col(out).alias("embedding"),
                                              now.alias("written_at"))
     folder = f"{path}/added-{_generation(_folders(spark, path))}-{uuid.uuid4().hex}"
