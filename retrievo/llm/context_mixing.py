@@ -2,16 +2,17 @@
 
 A text is its words and one end. A word of the list of frequent ones is coded as bits along a fixed tree over that list;
 any other as the list's escape and then its bytes and a stop, along a tree over bytes. Several predictors each give the
-next bit from a hashed context: the place in the tree together with the last frequent word before, with the last one,
-two, three or four bytes, or with all of the word so far. What a predictor knows are counts of zeros and ones in a table
-of fixed size. Its stretched probability is weighted by how often it has seen the context, weights being gated by that
+next bit from a hashed context of the running text: the place in the tree together with the last frequent word before,
+the word before or the two words before; among bytes with the last one, two, three or four bytes, which reach across the
+space into the word before, with all of the word so far, or with that and the word before. Contexts end where the text
+starts. What a predictor knows are counts of zeros and ones in a table of fixed size. Its stretched probability is weighted by how often it has seen the context, weights being gated by that
 count and by the place in the code; the sum is squashed to a probability. Weights are learned online, in small batches,
 and averaged over tasks. At last an adaptive map, kept by place and probability, corrects the result. A text's score is
 the sum over its bits.
 
 Learning takes two passes over the training texts, one that adds up the counts and one that fits weights and map to
-counts from which one occurrence was taken off. Equal words after the same frequent word have equal probabilities, so
-each task works on its distinct ones.
+counts from which one occurrence was taken off. Equal words after the same two words and the same frequent word have
+equal probabilities, so each task works on its distinct ones.
 
 The base score needs exact counts of all tokens. Those of the most frequent ones are broadcast, as many as a parameter
 says; tokens of texts that are not among them meet their counts in a join.
@@ -35,6 +36,7 @@ KINDS = 32               # frequent words that are a context for what follows
 SLICE = 8 << 20          # text bytes that are taken together
 RATE, BATCH = 0.02, 1 << 14
 STOP, END = 256, 257     # symbols beside the bytes
+START, TAIL = 300, 3     # what stands before a text; bytes of the word before that are contexts
 _END_HASH = np.uint64(0x9FB21C651E98DF25)  # the end's token, told apart from words by its own hash
 _PREDICTORS = 6
 _GATES, _CONFIDENCE = 32, 12
@@ -103,18 +105,37 @@ class Lexicon:
         return np.where(self.token[place] == hashed, place, -1)
 
 
+class Before:
+    """What stands before each word in the running text: hashes of the last and the last two words, and the last
+    ``TAIL`` symbols of the last one, nearest first; 0 and ``START`` where the text starts."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, tail: np.ndarray):
+        self.one, self.two, self.tail = one, two, tail
+
+    @staticmethod
+    def nothing(n: int) -> Before:
+        return Before(np.zeros(n, _U), np.zeros(n, _U), np.full((n, TAIL), START))
+
+    def __getitem__(self, pick) -> Before:
+        return Before(self.one[pick], self.two[pick], self.tail[pick])
+
+
 class Spelled:
-    """Bits of distinct (kind before, word) pairs; the end is the word of no bytes. ``leaf`` is a word's in the list."""
+    """Bits of distinct words by what stands before; the end is the word of no bytes. ``leaf`` is a word's in the list,
+    ``kinds`` the last frequent word before; the bytes of listed words are not read."""
 
-    def __init__(self, words: list[bytes], kinds: np.ndarray, leaf: np.ndarray, lexicon: Lexicon, code: Code):
+    def __init__(self, words: list[bytes], kinds: np.ndarray, leaf: np.ndarray, lexicon: Lexicon, code: Code,
+                 before: Before | None = None):
+        before = before or Before.nothing(len(words))
         own = np.flatnonzero(leaf == lexicon.escape)
-        bytes_ = self._bytes([words[i] for i in own], kinds[own], code)
+        bytes_ = self._bytes([words[i] for i in own], before[own], code)
         tree, kind = lexicon.tree, kinds.astype(_U)
         of = np.repeat(np.arange(len(words)), tree.lengths[leaf])
         at = np.arange(len(of)) - np.repeat(np.cumsum(tree.lengths[leaf]) - tree.lengths[leaf], tree.lengths[leaf]) \
             + tree.starts[leaf][of]
         node = tree.nodes[at].astype(_U) + _U(1 << 40)
-        listed = [node, _mix(node) + kind[of] + _U(1)]
+        mixed = _mix(node)
+        listed = [node, mixed + kind[of] + _U(1), mixed + (_mix(before.one) + _U(3))[of], mixed + (_mix(before.two) + _U(5))[of]]
         depth = np.minimum(tree.depth[at], 31).astype(np.int64)
         slots = [*[_slot(c, i) for i, c in enumerate(listed)], *[np.zeros(len(of), np.int64)] * (_PREDICTORS - len(listed))]
         self.parts = [(0, len(of), len(listed)), (len(of), len(of) + len(bytes_["bit"]), _PREDICTORS)]
@@ -125,7 +146,7 @@ class Spelled:
         self.slots = [np.concatenate(p) for p in zip(slots, bytes_["slots"])]
 
     @staticmethod
-    def _bytes(words: list[bytes], kinds: np.ndarray, code: Code) -> dict:
+    def _bytes(words: list[bytes], running: Before, code: Code) -> dict:
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         starts = np.cumsum(lengths) - lengths
         symbols = np.full(lengths.sum(), STOP, np.int64)
@@ -135,16 +156,22 @@ class Spelled:
         symbols[(starts + lengths - 1)[lengths == 1]] = END
         word = np.repeat(np.arange(len(words)), lengths)
         place = np.arange(len(symbols)) - starts[word]
-        before = [np.where(place >= k, symbols[np.maximum(np.arange(len(symbols)) - k, 0)], 300).astype(_U)
-                  for k in range(1, 5)]
+        # the word before ends in a stop, and its last bytes come before that
+        space = np.where(running.one > 0, STOP, START)
+        ahead = np.column_stack([space, running.tail])
+        before = []
+        for k in range(1, TAIL + 2):
+            last = symbols[np.maximum(np.arange(len(symbols)) - k, 0)]
+            across = place < k
+            last[across] = ahead[word[across], k - 1 - place[across]]
+            before.append(last.astype(_U))
         context = [before[0]]
-        for k in range(1, 4):
+        for k in range(1, TAIL + 1):
             context.append(_mix(context[-1] + _U(7 * k)) + before[k])
         steps = _mix(symbols.astype(_U) + _U(1)) * (place.astype(_U) * _U(2) + _U(1))
         total = np.cumsum(steps, dtype=_U)
-        prefix = total - steps - (total - steps)[starts][word] if len(words) else total
-        kind = kinds.astype(_U)[word]
-        context += [prefix + place.astype(_U), _mix(kind + _U(1)) + _mix(before[0]) + before[1]]
+        prefix = total - steps - (total - steps)[starts][word] + place.astype(_U) if len(words) else total
+        context += [prefix, _mix(prefix + _U(11)) + _mix(running.one)[word]]
         count = code.lengths[symbols]
         of = np.repeat(np.arange(len(symbols)), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + code.starts[symbols][of]
@@ -181,8 +208,12 @@ class Model:
     def __init__(self, code: Code, counts: np.ndarray):
         """``counts``: predictor, slot, bit; large ones are halved in pairs until 16 bits hold them."""
         self.code = code
-        scale = np.maximum(counts.max(2, keepdims=True) / 65535, 1)
-        self.counts = np.where(counts > 0, np.maximum(counts / scale, 1), 0).astype(np.uint16)
+        self.counts = np.zeros(counts.shape, np.uint16)
+        for own, part in zip(self.counts, counts):
+            np.minimum(part, 65535, out=own, casting="unsafe")
+            large = np.flatnonzero(part.max(1) > 65535)
+            scale = part[large].max(1, keepdims=True) / 65535
+            own[large] = np.where(part[large] > 0, np.maximum(part[large] / scale, 1), 0)
         self.weights = np.full((_PREDICTORS, _GATES, _CONFIDENCE), 0.3)
         self.weights[0, 24:], self.weights[1, 24:] = 0.5, np.linspace(0.1, 0.9, _CONFIDENCE)
         self.map = np.zeros((_PLACES * _MAP, 3))  # zeros, ones, and the sum of what was predicted
@@ -268,20 +299,45 @@ class _Slice:
         self.hashed = np.append(hashes(self.data, self.starts, self.ends), np.full(self.n, _END_HASH))
 
     def distinct(self, lexicon: Lexicon):
-        """Each token's place in the lexicon, and which of the distinct (kind before, word) it is, with their parts."""
+        """Each token's place in the lexicon, and which of the words that differ by themselves or by what stands before
+        it is; of these the bytes where they are spelled, the last frequent word before, the leaf and what is before."""
         place = lexicon.find(self.hashed)
         kind = np.where(place >= 0, lexicon.kind[place], 0)[:self.words] if len(lexicon.kind) else np.zeros(self.words, int)
         last = np.maximum.accumulate(np.where(kind > 0, np.arange(1, self.words + 1), 0))
         first = np.searchsorted(self.rows[:self.words], np.arange(self.n + 1))
         upto = np.append(0, last)
-        before = np.append(upto[:-1], upto[first[1:]])  # the last word with a kind before each word and each end
-        before = np.where(before > first[self.rows], np.append(0, kind)[before], 0)
-        key = self.hashed * _U(2) + before.astype(_U) * _U(0xA0761D6478BD642F)
-        _, at, which = np.unique(key, return_index=True, return_inverse=True)
-        raw = self.data.tobytes()
-        a, b = (np.append(x, np.zeros(self.n, np.int64))[at].tolist() for x in (self.starts, self.ends))
-        leaf = np.append(lexicon.leaf, lexicon.escape)[place[at]]
-        return place, which, [raw[x:y] for x, y in zip(a, b)], before[at], leaf
+        frequent = np.append(upto[:-1], upto[first[1:]])  # the last word with a kind before each word and each end
+        frequent = np.where(frequent > first[self.rows], np.append(0, kind)[frequent], 0)
+        at = np.append(np.arange(self.words), first[1:]) - 1  # the word before each word and each end
+        hashed = np.append(self.hashed[:self.words], _U(0))
+        one = np.where(at >= first[self.rows], hashed[at], _U(0))
+        two = np.where(at > first[self.rows], _mix(hashed[np.maximum(at - 1, 0)]), _U(0)) + one
+        key = _mix(self.hashed + _mix(one)) + _mix(two + _U(1)) * _U(0xA0761D6478BD642F) + frequent.astype(_U)
+        _, pick, which = np.unique(key, return_index=True, return_inverse=True)
+        leaf = np.append(lexicon.leaf, lexicon.escape)[place[pick]]
+        raw, spelled = self.data.tobytes(), leaf == lexicon.escape
+        a, b = (np.where(spelled, np.append(x, np.zeros(self.n, np.int64))[pick], 0).tolist() for x in (self.starts, self.ends))
+        return (place, which, [raw[x:y] for x, y in zip(a, b)], frequent[pick], leaf,
+                Before(one[pick], two[pick], self._tails(at[pick], one[pick] > 0)))
+
+    def _tails(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        out = np.full((len(at), TAIL), START)
+        if self.words:
+            last = self.ends[at][:, None] - 1 - np.arange(TAIL)
+            inside = there[:, None] & (last >= self.starts[at][:, None])
+            out[inside] = LOWER[self.data[last[inside]]]
+        return out
+
+    def spelled(self, lexicon: Lexicon, code: Code):
+        """``place`` and ``which`` of ``distinct``, and its words in runs: their bits and first and last number."""
+        place, which, words, kinds, leaf, before = self.distinct(lexicon)
+        size = np.array([len(w) for w in words]) + 8
+
+        def runs():
+            for a, b in _chunks(size):
+                yield Spelled(words[a:b], kinds[a:b], leaf[a:b], lexicon, code, before[a:b]), a, b
+
+        return place, which, len(words), runs()
 
 
 def _slices(batches):
@@ -290,16 +346,14 @@ def _slices(batches):
             yield part, _Slice(part)
 
 
-def _chunks(words: list[bytes], size: int = 1 << 18):
+def _chunks(sizes: np.ndarray, size: int = 1 << 18):
     """Runs of words of a bounded number of bytes, or single ones."""
-    at, total = 0, 0
-    for i, w in enumerate(words):
-        if total and total + len(w) > size:
-            yield at, i
-            at, total = i, 0
-        total += len(w) + 1
-    if at < len(words):
-        yield at, len(words)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - sizes[at] + size, side="right")))
+        yield at, to
+        at = to
 
 
 def _token_counts(train: DataFrame) -> DataFrame:
@@ -339,10 +393,10 @@ def fit(train: DataFrame, lexicon: Lexicon):
     sent = spark.sparkContext.broadcast((code, lexicon))
 
     def spelled(own: _Slice, code: Code, lexicon: Lexicon):
-        _, which, words, before, leaf = own.distinct(lexicon)
-        often = np.bincount(which, minlength=len(words)).astype(np.float64)
-        for a, b in _chunks(words):
-            yield Spelled(words[a:b], before[a:b], leaf[a:b], lexicon, code), often[a:b]
+        _, which, n, parts = own.spelled(lexicon, code)
+        often = np.bincount(which, minlength=n).astype(np.float64)
+        for s, a, b in parts:
+            yield s, often[a:b]
 
     def count(batches):
         code, lexicon = sent.value
@@ -409,9 +463,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             own_model.weights, own_model.map = learned
         row = 0
         for part, own in _slices(batches):
-            place, which, words, before, leaf = own.distinct(lexicon)
-            bits = np.concatenate([own_model.bits(Spelled(words[a:b], before[a:b], leaf[a:b], lexicon, own_model.code), b - a)
-                                   for a, b in _chunks(words)])
+            place, which, _, parts = own.spelled(lexicon, own_model.code)
+            bits = np.concatenate([own_model.bits(s, b - a) for s, a, b in parts])
             rows, known = own.rows, place >= 0
             logs = np.where(known, np.log10((np.append(lexicon.often, 0)[place] + 0.5) / scale), 0)
             total = lambda x: np.bincount(rows, x, own.n)

@@ -53,3 +53,31 @@ def test_scores(spark):
     assert sum(r.score for r in held) > 1.05 * sum(r.base_score for r in held)  # both are negative
     assert score_texts(frame.where("false")).count() == 0
     assert score_texts(frame.where("doc_id = 0")).first().n_tokens > 1
+
+
+def test_word_order_counts(spark):
+    """A phrase of the training texts is likelier than its words shuffled, of listed words and of spelled ones."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("kal", "mor", "tis", "ven", "dru") for b in ("ba", "do", "gi", "lu", "ne", "po", "ra", "su")]
+    phrase, often = words[:12], [f"often{i}" for i in range(40)]  # the most frequent words are none of the phrase
+    texts = [" ".join([*rng.choices(often, k=90), *rng.sample(words, 12), *phrase]) for _ in range(400)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [*enumerate(texts), (held[0], " ".join(phrase)), (held[1], " ".join([*phrase[1::2], *phrase[::2]]))]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > 0.8 * got[held[1]]
+    assert score_texts(spark.createDataFrame([(0, None), (1, " \t")], "doc_id long, text string")).count() == 2
+
+
+def test_contexts_reach_across_the_space():
+    """Spelled words take other slots after another word, at their first byte and within."""
+    from retrievo.llm.context_mixing import Before
+
+    code, lexicon = Code(np.ones(258)), Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+    none = np.zeros(2, np.int64)
+    tail = np.array([[ord(c) for c in t] for t in ("cba", "zba")])
+    before = Before(np.array([5, 9], np.uint64), np.array([6, 9], np.uint64), tail)
+    s = Spelled([b"word"] * 2, none, none, lexicon, code, before)
+    a, b = (np.flatnonzero(s.word == w) for w in (0, 1))
+    same = [(s.slots[i][a] == s.slots[i][b]) for i in range(6)]
+    assert same[0].all() and same[4].all() and not same[5][1:].any()
+    assert not same[1][:2].all() and not same[3][0]
