@@ -159,3 +159,23 @@ def test_the_setting_of_the_state_store_is_put_back(spark):
     with stateful.keyed_state(spark):
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_keys_share_state_values(spark, tmp_path):
+    """The state of many keys is as many values as there are shards, and decisions are those of the batch operator."""
+    schema = "event_id long, user_id string, ts timestamp"
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 1500 == 7 else f"u{i % 1500}", start + dt.timedelta(milliseconds=10 * i)) for i in range(4500)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    query = stateful.drain_stateful(stateful.quota_stream(stream, "user_id", limit=2),
+                                    sinks.batch_files(f"{tmp_path}/quotas"), f"{tmp_path}/q")
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2 * stateful.SHARDS
+    got = {r.request_id: r.decision for r in spark.read.parquet(f"{tmp_path}/quotas").collect()}
+    assert got == {i: "allowed" if i < 3000 else "rate_limit_exceeded" for i in range(4500)}
+    asked = stream.selectExpr("event_id AS request_id", "'view' AS kind", "user_id AS key", "ts")
+    query = stateful.drain_stateful(stateful.lifetimes_stream(asked, {"view": 20}),
+                                    sinks.batch_files(f"{tmp_path}/life"), f"{tmp_path}/l")
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 2 * stateful.SHARDS
+    got = {r.request_id: r.hit for r in spark.read.parquet(f"{tmp_path}/life").collect()}
+    assert got == {i: 1500 <= i < 3000 for i in range(4500)}
