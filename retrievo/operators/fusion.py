@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from retrievo.functions.text import search_key
-from retrievo.operators.lexical import Bm25Index, bm25_over_candidates, bm25_search, bm25_top
+from retrievo.operators.lexical import Bm25Index, CorpusScan, bm25_over_candidates, bm25_search
 from retrievo.operators.ordered import top_k
 from retrievo.operators.vector import vector_search
 from retrievo.staging import stage
@@ -60,19 +60,20 @@ def annotate_vector_only(hits: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_search(index: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(),
-                  corpus: DataFrame | None = None, bm25: Bm25Index | None = None,
+                  corpus: DataFrame | None = None, bm25: Bm25Index | CorpusScan | None = None,
                   candidates: DataFrame | None = None) -> DataFrame:
     """Vector and BM25 lists of 20 per question, fused to ``top_k``; vector hits alone with ``hybrid`` off.
 
     ``index``: doc_id, embedding. ``queries``: query_id, query, embedding. BM25 runs over ``corpus`` (doc_id, text) or
-    a ready ``bm25`` index. Without either it ranks only the 50 best vector hits, whose text ``candidates`` holds.
+    a ready ``bm25`` index or ``CorpusScan``. Without either it ranks only the 50 best vector hits, whose text ``candidates`` holds.
     """
     opts = options.resolved()
     if not opts.hybrid:
         return annotate_vector_only(vector_search(index, queries, opts.top_k, opts.threshold), opts.top_k)
     if bm25 is not None or corpus is not None:
         vector_hits = vector_search(index, queries, ROUTE_K, opts.threshold)
-        lexical_hits = bm25_search(bm25, queries, ROUTE_K) if bm25 is not None else bm25_top(corpus, queries, ROUTE_K)
+        scan = bm25 if isinstance(bm25, CorpusScan) else CorpusScan(corpus) if bm25 is None else None
+        lexical_hits = scan.top(queries, ROUTE_K) if scan else bm25_search(bm25, queries, ROUTE_K)
     elif candidates is not None:
         pool = stage(vector_search(index, queries, CANDIDATE_POOL, opts.threshold), "pool")
         vector_hits = pool.filter(F.col("rank") <= ROUTE_K)

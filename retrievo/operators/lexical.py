@@ -1,8 +1,8 @@
 """BM25 over a batch of questions.
 
-``bm25_scan`` reads the corpus twice, once for the statistics of the question terms and once for the scores, and
-shuffles only counts per term and the best rows of each task. It serves question batches whose terms fit a bounded
-broadcast.
+``bm25_scan`` reads the texts once, stages which question terms each document holds, and takes the statistics and the
+scores from that; only counts per term and the best rows of each task are shuffled. It serves question batches whose
+terms fit a bounded broadcast.
 
 ``bm25_search`` works on a stored index of postings with joins and sets no bound on the questions. Each document also
 has one posting with the empty term, so the document count and the mean length come from the pass that builds the
@@ -215,63 +215,99 @@ def _sum_scores(impacts: DataFrame, weights: DataFrame, salts: int) -> DataFrame
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
     """Top ``k`` over a corpus (doc_id, text): a scan, or an index of the question terms for very large batches."""
-    qt = stage(query_terms(queries), "query_terms")
-    if qt.count() <= SCAN_TERMS:
-        return bm25_scan(docs, qt, k, k1, b)
-    return bm25_search(bm25_index(docs, vocabulary=qt), queries, k, k1, b)
+    return CorpusScan(docs).top(queries, k, k1, b)
 
 
 def bm25_scan(docs: DataFrame, qt: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """Top ``k`` for the question terms ``qt`` (query_id, term, qtf), at most ``SCAN_TERMS`` rows of them."""
-    tokens = docs.select("doc_id", bm25_tokenize(F.col("text")).alias("tokens"))
-    counted = (tokens.select(F.size("tokens").cast("long").alias("dl"),
-                             F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(DOCUMENT_ROW))))
-                             .alias("term"))
-               .join(_wanted(qt), "term", "left_semi")
-               .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total")))
-    ddl, query_type, doc_type = hits_ddl(qt, docs), dict(qt.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-    counts = counted.toArrow()  # one row per question term
-    terms, df = counts["term"].combine_chunks(), counts["df"].to_numpy()
-    corpus = pc.index(terms, DOCUMENT_ROW).as_py()
-    if corpus < 0:
-        return docs.sparkSession.createDataFrame([], ddl + ", rank int")
-    n_docs, avg_dl = int(df[corpus]), counts["total"][corpus].as_py() / int(df[corpus])
-    asked = qt.toArrow()  # bounded by SCAN_TERMS
-    place = np.asarray(pc.fill_null(pc.index_in(asked["term"].combine_chunks(), value_set=terms), -1))
-    order = np.argsort(place, kind="stable")
-    order = order[place[order] >= 0]
-    query_ids, query = np.unique(id_array(asked["query_id"].combine_chunks())[order], return_inverse=True)
-    rarity = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    weight = asked["qtf"].to_numpy()[order] * rarity[place[order]]
-    first = np.searchsorted(place[order], np.arange(len(terms) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((terms, first, query, weight, query_ids))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, first, query, weight, query_ids = shared.value
-        n_terms, n_queries = len(terms), len(query_ids)
-        best = LocalTopK(n_queries, k, 10.0 ** -SCORE_DIGITS)
-        step = max(1, SCORE_CELLS // max(1, n_queries))
-        for batch in batches:
-            ids, lists = id_array(batch.column(0)), batch.column(1)
-            lengths = np.asarray(lists.value_lengths(), dtype=np.int64)
-            term = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1), dtype=np.int64)
-            row = np.repeat(np.arange(len(ids)), lengths)
-            pair, tf = np.unique((row * n_terms + term)[term >= 0], return_counts=True)
-            row, term = pair // max(1, n_terms), pair % max(1, n_terms)
-            sat = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / avg_dl))
-            for start in range(0, len(ids), step):
-                lo, hi = np.searchsorted(row, [start, start + step])
-                size = min(step, len(ids) - start)
-                per = first[term[lo:hi] + 1] - first[term[lo:hi]]
-                offset = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                entry = np.repeat(first[term[lo:hi]], per) + offset
-                cell = np.repeat(row[lo:hi] - start, per) * n_queries + query[entry]
-                scores = np.bincount(cell, weights=np.repeat(sat[lo:hi], per) * weight[entry],
-                                     minlength=size * n_queries)
-                best.add(ids[start:start + size], scores.reshape(size, n_queries))
-        yield best.hits(query_ids, query_type, doc_type)
-
-    return top_k(tokens.mapInArrow(scan, ddl), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return CorpusScan(docs).scan(qt, k, k1, b)
+
+
+class CorpusScan:
+    """Searches of one corpus (doc_id, text), whose texts are cut into tokens once for all batches of questions.
+
+    That pass stages a row for each document: its length, and which of the question terms it holds how often. A later
+    batch reads only this table as long as it asks for the same terms or fewer; others take a new pass.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.terms, self.held = docs, None, None
+
+    def top(self, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+        qt = stage(query_terms(queries), "query_terms")
+        if qt.count() <= SCAN_TERMS:
+            return self.scan(qt, k, k1, b)
+        return bm25_search(bm25_index(self.docs, vocabulary=qt), queries, k, k1, b)
+
+    def _find(self, asked: pa.Array) -> None:
+        if self.terms is not None and pc.all(pc.is_in(asked, value_set=self.terms)).as_py() is not False:
+            return
+        self.terms = pc.unique(asked)
+        shared = self.docs.sparkSession.sparkContext.broadcast(self.terms)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms = shared.value
+            n_terms = max(1, len(terms))
+            for batch in batches:
+                lists = batch.column(1)
+                lengths = np.asarray(lists.value_lengths(), dtype=np.int64)
+                term = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1), dtype=np.int64)
+                row = np.repeat(np.arange(batch.num_rows), lengths)
+                pair, tf = np.unique((row * n_terms + term)[term >= 0], return_counts=True)
+                upto = pa.array(np.searchsorted(pair // n_terms, np.arange(batch.num_rows + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(lengths), *[pa.ListArray.from_arrays(upto, pa.array(c, pa.int32()))
+                                                           for c in (pair % n_terms, tf)]], names=["doc_id", "dl", "terms", "tfs"])
+
+        tokens = self.docs.select("doc_id", bm25_tokenize(F.col("text")).alias("tokens"))
+        kind = dict(self.docs.dtypes)["doc_id"]
+        self.held = stage(tokens.mapInArrow(find, f"doc_id {kind}, dl long, terms array<int>, tfs array<int>"), "matches")
+
+    def scan(self, qt: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+        """Top ``k`` for the question terms ``qt`` (query_id, term, qtf), at most ``SCAN_TERMS`` rows of them."""
+        docs, ddl = self.docs, hits_ddl(qt, self.docs)
+        query_type, doc_type = dict(qt.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+        asked = qt.toArrow()  # bounded by SCAN_TERMS
+        term = asked["term"].combine_chunks()
+        self._find(term)
+        total = self.held.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
+        if not total["n"]:
+            return docs.sparkSession.createDataFrame([], ddl + ", rank int")
+        n_docs, avg_dl, df = total["n"], total["dl"] / total["n"], np.zeros(len(self.terms), np.int64)
+        counts = self.held.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # a row per term
+        df[counts["term"].to_numpy()] = counts["count"].to_numpy()
+        place = np.asarray(pc.index_in(term, value_set=self.terms), dtype=np.int64)
+        order = np.argsort(place, kind="stable")
+        order = order[df[place[order]] > 0]
+        query_ids, query = np.unique(id_array(asked["query_id"].combine_chunks())[order], return_inverse=True)
+        rarity = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        weight = asked["qtf"].to_numpy()[order] * rarity[place[order]]
+        first = np.searchsorted(place[order], np.arange(len(df) + 1))
+        shared = docs.sparkSession.sparkContext.broadcast((first, query, weight, query_ids))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, query, weight, query_ids = shared.value
+            n_queries = len(query_ids)
+            best = LocalTopK(n_queries, k, 10.0 ** -SCORE_DIGITS)
+            step = max(1, SCORE_CELLS // max(1, n_queries))
+            for batch in batches:
+                ids, lengths = id_array(batch.column(0)), batch.column(1).to_numpy()
+                row = np.repeat(np.arange(len(ids)), np.asarray(batch.column(2).value_lengths(), dtype=np.int64))
+                term, tf = (np.asarray(batch.column(c).flatten(), dtype=np.int64) for c in (2, 3))
+                sat = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / avg_dl))
+                for start in range(0, len(ids), step):
+                    lo, hi = np.searchsorted(row, [start, start + step])
+                    size = min(step, len(ids) - start)
+                    per = first[term[lo:hi] + 1] - first[term[lo:hi]]
+                    offset = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                    entry = np.repeat(first[term[lo:hi]], per) + offset
+                    cell = np.repeat(row[lo:hi] - start, per) * n_queries + query[entry]
+                    scores = np.bincount(cell, weights=np.repeat(sat[lo:hi], per) * weight[entry],
+                                         minlength=size * n_queries)
+                    best.add(ids[start:start + size], scores.reshape(size, n_queries))
+            yield best.hits(query_ids, query_type, doc_type)
+
+        return top_k(self.held.mapInArrow(score, ddl), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def bm25_over_candidates(candidates: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B,

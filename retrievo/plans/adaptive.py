@@ -179,24 +179,26 @@ _LOOP, _HYBRID_LOOP = _loop_sql(_retrieve_sql, _DOCS), _loop_sql(_hybrid_sql, f"
 
 def resolve(spark, sf_dir):
     docs = corpus(spark, sf_dir)
+    scan = lexical.CorpusScan(docs)
 
     def retriever(queries):
-        hits = lexical.bm25_top(docs, queries, TOP_K)
+        hits = scan.top(queries, TOP_K)
         return hits.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
 
     return adaptive.adaptive_rag(questions(spark, sf_dir), retriever, LANGUAGE, 2, THRESHOLD, MULTI_THRESHOLD)
 
 
 def resolve_hybrid(spark, sf_dir):
-    """The loop over hybrid search. BM25 reads the texts in each round, as postings of all words take more disk than the
-    texts do; the vectors are staged once."""
+    """The loop over hybrid search. BM25 cuts the texts into words in the first round and keeps what the questions ask for,
+    as postings of all words take more disk than the texts do; the vectors are staged once."""
     docs = corpus(spark, sf_dir)
+    scan = lexical.CorpusScan(docs)
     index = stage(vector_index(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi"), "vectors")
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
     def retriever(queries):
         hits = fusion.hybrid_search(index, queries.join(vecs, "query_id", "left"),
-                                    fusion.SearchOptions(HYBRID_K, VECTOR_THRESHOLD, True), corpus=docs)
+                                    fusion.SearchOptions(HYBRID_K, VECTOR_THRESHOLD, True), bm25=scan)
         return hits.withColumn("score", F.col("rrf_score")).join(
             docs.select("doc_id", F.col("text").alias("content")), "doc_id")
 

@@ -175,3 +175,13 @@ def test_hashed_embedding(spark):
     assert out[1] == out[2] != out[3] and out[4] is None
     assert np.linalg.norm(out[1]) == pytest.approx(1, abs=1e-6)
     assert sum(x > 0 for x in out[1]) in (1, 2)
+
+
+def test_a_corpus_is_cut_into_words_once(spark):
+    """Later batches with the same terms or fewer read the first one's matches; other terms take a new pass."""
+    d = docs(spark, [(i, f"apple {'pear ' * (i % 3)}plum{i}") for i in range(40)] + [(99, None), (98, "")])
+    scan = lexical.CorpusScan(d)
+    for batch, again in ((["apple pear", "plum7"], True), (["plum7", "pear"], False), (["plum9 pear"], True)):
+        held, got = scan.held, scan.top(asks(spark, *batch), 5)
+        assert (scan.held is not held) == again
+    assert ranked(got) == ranked(lexical.bm25_top(d, asks(spark, "plum9 pear"), 5))
