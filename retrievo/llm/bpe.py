@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from retrievo.llm.blobs import give_back
 from retrievo.llm.words import slices
 
 WORD_END = "</w>"
@@ -90,7 +91,7 @@ class Vocabulary:
         """Give back what texts have taught, so that the worker's next tasks find its memory free."""
         self._reset()
         self._stable = {}
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def _plant(self) -> None:
         """An empty trie: children by (node, symbol), and for each node its automaton state and last token."""

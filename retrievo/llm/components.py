@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrievo.staging import stage
+from retrievo.staging import scratch, stage
 
 
 def _state(pairs: DataFrame) -> tuple:
@@ -19,19 +19,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     chain's logarithm needs. Minima are aggregated before they are shuffled and hubs are split by the skew join, so a
     node with very many links stays in no single task. Nulls are no nodes.
     """
-    pairs = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
-    before = _state(pairs)
-    while before[0]:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-        large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                      .distinct(), "cc-large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        after = _state(pairs)
-        if after == before:
-            break
-        before = after
-    roots = pairs.select("v", "v").toDF("node", "component")
-    return pairs.select("u", "v").toDF("node", "component").union(roots).distinct()
+    with scratch(links.sparkSession) as own:
+        pairs = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
+        before = _state(pairs)
+        while before[0]:
+            both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+            large = stage(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                          .distinct(), "cc-large")
+            low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+            small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            pairs = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+            after = _state(pairs)
+            if after == before:
+                break
+            before = after
+        roots = pairs.select("v", "v").toDF("node", "component")
+        return own.keep(pairs.select("u", "v").toDF("node", "component").union(roots).distinct())

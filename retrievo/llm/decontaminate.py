@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from retrievo.llm.blobs import giving_back
 from retrievo.llm.fm_index import MAX_SYMBOLS, FMIndex
 from retrievo.llm.words import LETTERS, column_bytes, hashes, slices, spans, words_of
 from retrievo.staging import stage
@@ -141,6 +142,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def _search(sent, again: bool):
+    @giving_back
     def run(batches):
         phrases, held, texts, size = sent.value, [], [], 0
         for batch in batches:
@@ -180,6 +182,7 @@ def _with_hits(held, texts, phrases, again):
         at += n
 
 
+@giving_back
 def _cut(batches):
     """Texts without their spans; what is left is not joined into new words."""
     for batch in batches:

@@ -25,16 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrievo.llm import blobs
-from retrievo.llm.blobs import runs
+from retrievo.llm.blobs import giving_back, runs
 from retrievo.llm.components import components
 from retrievo.llm.words import SPACED, shingles, slices, words_of
-from retrievo.staging import stage
+from retrievo.staging import scratch, stage
 
 SKETCH_BITS = 22  # counters of the token sketch: 16 MB, whatever the corpus
 RARE_FLOOR = 64   # tokens seen more often than this, and than four times the mean counter, are the frequent class
 COMBINE = 2       # k: tokens of a frequent-class combination
 PREFIX = 64       # sets with a longer prefix carry single tokens only
 YIELD = 1 << 20   # signatures that a task holds before it sends them on
+FILTER_BITS = 26  # bits of the filter of shared signatures: 8 MB, whatever the corpus
 SHORT_BITS, LONG_BITS, LONG_SET = 512, 4096, 1024
 BLOCK = 512         # nodes of a group that one task compares with another block
 
@@ -127,6 +128,7 @@ def _bounded(bits_a: pa.Array, bits_b: pa.Array, na: np.ndarray, nb: np.ndarray,
     return keep
 
 
+@giving_back
 def _passes(batches, percent):
     for batch in batches:
         keep = pa.array(_bounded(batch.column("bits_a"), batch.column("bits_b"), batch.column("na").to_numpy(),
@@ -137,24 +139,67 @@ def _passes(batches, percent):
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough: bounds first, then exact overlaps of the sets still needed."""
-    light = nodes.select("node", "n", "bits")
-    near = stage(pairs.join(light.toDF("a", "na", "bits_a"), "a").join(light.toDF("b", "nb", "bits_b"), "b")
-                 .mapInArrow(lambda t: _passes(t, percent), "a long, b long"), "near")
-    wanted = stage(nodes.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-                   .select(F.col("doc_id").alias("id")).distinct(), "wanted")
+    with scratch(nodes.sparkSession) as own:
+        light = nodes.select("node", "n", "bits")
+        near = stage(pairs.join(light.toDF("a", "na", "bits_a"), "a").join(light.toDF("b", "nb", "bits_b"), "b")
+                     .mapInArrow(lambda t: _passes(t, percent), "a long, b long"), "near")
+        used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stage(nodes.join(used, "node", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "wanted")
+
+        @giving_back
+        def held(batches):
+            for _, _, tokens in _sets(batches, width):
+                if len(tokens):
+                    yield pa.RecordBatch.from_arrays([pa.array([_node(tokens)], pa.int64()),
+                                                      pa.array([tokens.view(np.int64)], pa.list_(pa.int64()))],
+                                                     schema=_SETS)
+
+        sets = stage(docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id), "left_semi")
+                     .mapInArrow(held, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+        shared = F.size(F.array_intersect("ta", "tb")).cast("long")
+        return own.keep(stage(near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+                              .where(shared * (100 + percent) >= percent * (F.size("ta") + F.size("tb")))
+                              .select("a", "b"), "links"))
+
+
+def _members(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``signature``, ``node`` and the hub's columns of every node that carries a signature of ``hubs``.
+
+    Most signatures are carried by one node alone. A filter of one hash, which cannot miss a shared one, drops nearly all
+    of them where they are read, so that they are not shuffled to meet their hub.
+    """
+    size = 1 << FILTER_BITS - 3
+
+    @giving_back
+    def fill(batches):
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _filter_place(batch.column("signature").to_numpy())
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield from blobs.blocks_of(bits)
+
+    spark = nodes.sparkSession
+    shared = spark.sparkContext.broadcast(
+        blobs.gather(hubs.select("signature").mapInArrow(fill, blobs.SCHEMA), size, "uint8", np.bitwise_or))
+
+    @giving_back
+    def likely(batches):
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column("signatures")
+            of = np.repeat(batch.column("node").to_numpy(), pc.list_value_length(lists).to_numpy())
+            signature = lists.flatten().to_numpy()
+            at = _filter_place(signature)
+            own = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(signature[own]), pa.array(of[own])], names=["signature", "node"])
+
+    return stage(nodes.select("node", "signatures").mapInArrow(likely, "signature long, node long")
+                 .join(hubs, "signature"), "members")
 
-    def held(batches):
-        for _, _, tokens in _sets(batches, width):
-            if len(tokens):
-                yield pa.RecordBatch.from_arrays([pa.array([_node(tokens)], pa.int64()),
-                                                  pa.array([tokens.view(np.int64)], pa.list_(pa.int64()))],
-                                                 schema=_SETS)
 
-    sets = stage(docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id), "left_semi").mapInArrow(held, "node long, tokens array<long>")
-                 .dropDuplicates(["node"]), "sets")
-    shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return stage(near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-                 .where(shared * (100 + percent) >= percent * (F.size("ta") + F.size("tb"))).select("a", "b"), "links")
+def _filter_place(signature: np.ndarray) -> np.ndarray:
+    mixed = signature.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -179,6 +224,7 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .mapInArrow(lambda b: _met(b, percent), "a long, b long").distinct()
 
 
+@giving_back
 def _met(batches, percent):
     for (_, left, right), rows in runs(batches, ("low", "left", "right")):
         name = rows.column("node").to_numpy()  # a node of the group is one row
@@ -225,6 +271,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     docs = docs.withColumn("version", F.xxhash64("text"))
     size = 1 << SKETCH_BITS
 
+    @giving_back
     def count(batches):
         seen = np.zeros(size, np.uint32)
         for _, _, tokens in _sets(batches, width):
@@ -236,6 +283,7 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     frequent_above = max(RARE_FLOOR, 4 * int(table.mean()))
     shared_table = docs.sparkSession.sparkContext.broadcast(table)
 
+    @giving_back
     def index(batches):
         seen = shared_table.value
         held, carried = [[] for _ in _ROWS], 0
@@ -253,28 +301,33 @@ def similar_sets(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
                 held, carried = [[] for _ in _ROWS], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, _ROWS)], schema=_ROWS)
 
-    rows = stage(docs.mapInArrow(index, _ROWS_DDL), "rows")
-    least = stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "least")
-    nodes = stage(rows.where("node is not null").dropDuplicates(["node"]), "nodes")
-
-    met = nodes.select("node", F.size("signatures").alias("carried"), F.explode("signatures").alias("signature"))
-    # the node with most shared tokens is the likeliest centre of a group of copies
-    hubs = stage(met.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"),
-                                              F.max_by("node", "carried").alias("hub"))
-                 .where("low <> high").drop("high"), "hubs")
-    members = stage(met.select("signature", "node").join(hubs, "signature"), "members")
-    pairs = members.select("node", F.explode(F.array("low", "hub")).alias("with")).where("node <> with") \
-        .select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-    links = _verified(pairs, nodes, docs, width, percent)
-    found = stage(components(links), "found")
-
-    placed = stage(members.select("signature", "low", "node").join(found, "node", "left")
-                   .withColumn("component", F.coalesce("component", "node")), "placed")
-    mixed = stage(placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                  .where("x <> y").select("signature"), "mixed")
-    left = stage(placed.join(mixed, "signature", "left_semi"), "left")
-    more = _verified(_across(left, nodes, percent), nodes, docs, width, percent)
-    return _labelled(rows, least, links.union(more))
+    spark = docs.sparkSession
+    with scratch(spark) as own:
+        with scratch(spark) as indexed:  # signatures stay with the nodes alone
+            signed = stage(docs.mapInArrow(index, _ROWS_DDL), "signed")
+            rows = indexed.keep(stage(signed.select("doc_id", "version", "node", "n"), "rows"))
+            nodes = indexed.keep(stage(signed.where("node is not null").drop("version").dropDuplicates(["node"]), "nodes"))
+        least = stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "least")
+
+        with scratch(spark) as meeting:
+            met = nodes.select("node", F.size("signatures").alias("carried"), F.explode("signatures").alias("signature"))
+            # the node with most shared tokens is the likeliest centre of a group of copies
+            hubs = stage(met.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"),
+                                                      F.max_by("node", "carried").alias("hub"))
+                         .where("low <> high").drop("high"), "hubs")
+            members = _members(nodes, hubs)
+            pairs = members.select("node", F.explode(F.array("low", "hub")).alias("with")).where("node <> with") \
+                .select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
+            links = meeting.keep(_verified(pairs, nodes, docs, width, percent))
+            found = stage(components(links), "found")
+
+            placed = stage(members.select("signature", "low", "node").join(found, "node", "left")
+                           .withColumn("component", F.coalesce("component", "node")), "placed")
+            mixed = stage(placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+                          .where("x <> y").select("signature"), "mixed")
+            left = meeting.keep(stage(placed.join(mixed, "signature", "left_semi"), "left"))
+        more = _verified(_across(left, nodes, percent), nodes, docs, width, percent)
+        return own.keep(_labelled(rows, least, links.union(more)))
 
 
 def _labelled(rows: DataFrame, least: DataFrame, links: DataFrame) -> DataFrame:
@@ -295,18 +348,21 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of a component's rows that share this id, one text stays, and of its repeated rows one. Rows without an id stay
     only if no row of their component has one. Texts without words are nobody's copies and stay.
     """
-    classes = stage(similar_sets(docs, width, percent).where("component is not null"), "classes")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_id"),
-                     F.col("version").alias("first_version"))
-    kept = stage(classes.groupBy("component").agg(F.min(first).alias("first")).select("component", "first.*"), "kept")
-    gone = stage(classes.join(kept, "component").where("not (doc_id <=> first_id and version = first_version)")
-                 .select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct(), "gone")
-    version = F.xxhash64("text")
-    stays = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (version == gone.gone_version), "left_anti")
-    repeated = stage(classes.groupBy("doc_id", "version").agg(F.count("*").alias("rows")).where("rows > 1")
-                     .select(F.col("doc_id").alias("id"), F.col("version").alias("of")), "repeated")
-    if repeated.isEmpty():
-        return stays
-    again = stays.doc_id.eqNullSafe(repeated.id) & (version == repeated.of)
-    return stays.join(repeated, again, "left_anti").unionByName(
-        stays.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    with scratch(docs.sparkSession) as own:
+        classes = stage(similar_sets(docs, width, percent).where("component is not null"), "classes")
+        first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_id"),
+                         F.col("version").alias("first_version"))
+        kept = stage(classes.groupBy("component").agg(F.min(first).alias("first")).select("component", "first.*"), "kept")
+        gone = own.keep(stage(
+            classes.join(kept, "component").where("not (doc_id <=> first_id and version = first_version)")
+            .select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct(), "gone"))
+        version = F.xxhash64("text")
+        stays = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (version == gone.gone_version), "left_anti")
+        repeated = own.keep(stage(
+            classes.groupBy("doc_id", "version").agg(F.count("*").alias("rows")).where("rows > 1")
+            .select(F.col("doc_id").alias("id"), F.col("version").alias("of")), "repeated"))
+        if repeated.isEmpty():
+            return stays
+        again = stays.doc_id.eqNullSafe(repeated.id) & (version == repeated.of)
+        return stays.join(repeated, again, "left_anti").unionByName(
+            stays.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from retrievo.llm.blobs import giving_back
 from retrievo.llm.words import LETTERS, SPACED, column_bytes, hashes, mix, slices, spans
 from retrievo.staging import stage
 
@@ -210,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = META) ->
     chosen = stage(known.union(pool), "sample-ids")
     sample = docs.select("doc_id", "text", *columns).join(F.broadcast(chosen), "doc_id")  # docs may have such columns too
 
+    @giving_back
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -248,6 +250,7 @@ def classify(docs: DataFrame, model: Classifier, reject: float = REJECT) -> Data
     docs = docs.drop(*[r.name for r in results])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @giving_back
     def run(batches):
         own = sent.value
         for batch in batches:

@@ -4,7 +4,8 @@ import brute
 import numpy as np
 import pytest
 
-from retrievo.llm.ngram_join import one_of_each, signatures, similar_sets, single_from
+from retrievo import staging
+from retrievo.llm.ngram_join import _members, one_of_each, signatures, similar_sets, single_from
 
 SCHEMA = "doc_id long, text string"
 
@@ -91,3 +92,29 @@ def test_long_texts(spark):
     rng.shuffle(rows)
     got = similar_sets(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.similar(rows, 5, 80)
+
+
+def _near_rows():
+    base = [" ".join(f"w{i * 7 + k}" for k in range(60)) for i in range(40)]
+    return [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " more") for i, t in enumerate(base)] + [(200, base[0])]
+
+
+def test_what_was_staged_on_the_way_is_deleted(spark, tmp_path, monkeypatch):
+    """The job leaves only the tables that its result reads."""
+    monkeypatch.setattr(staging, "staging_root", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame(_near_rows(), "doc_id long, text string")
+    one = one_of_each(docs, 5, 80)
+    assert sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "retrievo").iterdir()) == ["gone", "repeated"]
+    assert sorted(r.doc_id for r in one.collect()) == list(range(40))
+
+
+def test_signatures_of_one_node_are_not_shuffled(spark):
+    """Members are the same as by a join of all signatures, and few others pass the filter."""
+    rng = random.Random(8)
+    carried = {n: [rng.randrange(-1 << 62, 1 << 62) for _ in range(20)] + [n % 50] for n in range(500)}
+    nodes = spark.createDataFrame(list(carried.items()), "node long, signatures array<long>")
+    hubs = spark.createDataFrame([(s, s, s) for s in range(50)], "signature long, low long, hub long")
+    got = sorted((r.signature, r.node, r.low, r.hub) for r in _members(nodes, hubs).collect())
+    assert got == sorted((n % 50, n, n % 50, n % 50) for n in carried)
+    none = _members(nodes, hubs.where("false"))
+    assert none.count() == 0 and none.columns == ["signature", "node", "low", "hub"]
