@@ -51,12 +51,14 @@ def stream_import(spark, sf_dir):
 
 
 LINES_PER_BATCH = 2_000
+AT_ONCE = 16  # batches of a micro-batch
 
 
 def _line_import(spark, sf_dir):
     path = new_stage_path(spark, "line-import")
     chat_lines(spark, sf_dir).select("file_name", "line").write.partitionBy("file_name").text(f"{path}/in")
-    line_imports.run_line_import(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", lines_per_batch=LINES_PER_BATCH)
+    line_imports.run_line_import(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", lines_per_batch=LINES_PER_BATCH,
+                                 at_once=AT_ONCE)
     return f"{path}/out"
 
 

@@ -151,13 +151,15 @@ def build_index(spark: SparkSession, path: str, target: str, range_bytes: int =
 
 @dataclass
 class LineRange(InputPartition):
-    """Lines ``first`` to ``last`` (exclusive) of a file, found ``skip`` lines after a byte."""
+    """Lines ``first`` to ``last`` (exclusive) of a file, found ``skip`` lines after a byte; ``step`` counts runs of lines
+    in the micro-batch."""
 
     path: str
     byte: int
     skip: int
     first: int
     last: int
+    step: int
 
 
 def split_lines(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -183,6 +185,7 @@ class LineReader(DataSourceStreamReader):
         self.index = options["index"]
         self.per_batch = int(options.get("lines_per_batch", LINES_PER_BATCH))
         self.per_task = int(options.get("lines_per_task", LINES_PER_TASK))
+        self.per_step = int(options.get("lines_per_step", 0))
         self.at: dict | None = None
         files = self._table("files").sort_by("file_no").to_pydict()
         self.files = list(zip(files["path"], files["lines"]))
@@ -208,24 +211,26 @@ class LineReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[LineRange]:
         if self.at is None:  # a restart plans its last batch once more before it asks for another one
             self.at = end
-        out = []
+        out, done = [], 0
         for k in range(start["file"], min(end["file"] + 1, len(self.files))):
             path, lines = self.files[k]
             first = start["line"] if k == start["file"] else 0
             last = end["line"] if k == end["file"] else lines
             if first < last:
-                out += self._parts(path, first, last)
+                out += self._parts(path, first, last, done)
+                done += last - first
         return out
 
-    def _parts(self, path: str, first: int, last: int) -> list[LineRange]:
+    def _parts(self, path: str, first: int, last: int, done: int = 0) -> list[LineRange]:
         marks = self._table("marks", columns=["line", "byte"], filters=[("path", "=", path), ("line", "<", last)])
         line, byte = (marks.sort_by("line").column(c).to_numpy() for c in ("line", "byte"))
         out = []
         while first < last:
-            to = min(last, first + self.per_task)
+            step = done // self.per_step if self.per_step else 0
+            to = min(last, first + self.per_task, *([first + (step + 1) * self.per_step - done] if self.per_step else []))
             k = int(np.searchsorted(line, first, side="right")) - 1
-            out.append(LineRange(path, int(byte[k]), first - int(line[k]), first, to))
-            first = to
+            out.append(LineRange(path, int(byte[k]), first - int(line[k]), first, to, step))
+            first, done = to, done + to - first
         return out
 
     def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
@@ -242,13 +247,18 @@ class LineReader(DataSourceStreamReader):
                     texts.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
                     size += len(line)
                     if size >= _READ or len(texts) >= 10_000:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([p.path] * len(texts)), pa.array(numbers, pa.int64()), pa.array(texts)], schema=_ARROW)
+                        yield self._rows(p, numbers, texts)
                         numbers, texts, size = [], [], 0
                 number += 1
             if texts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p.path] * len(texts)), pa.array(numbers, pa.int64()), pa.array(texts)], schema=_ARROW)
+                yield self._rows(p, numbers, texts)
+
+    def _rows(self, p: LineRange, numbers: list[int], texts: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([p.path] * len(texts)), pa.array(numbers, pa.int64()), pa.array(texts)]
+        if not self.per_step:
+            return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+        return pa.RecordBatch.from_arrays([*columns, pa.array([p.step] * len(texts), pa.int32())],
+                                          schema=_ARROW.append(pa.field("step", pa.int32())))
 
     def commit(self, end: dict) -> None:
         pass
@@ -260,18 +270,22 @@ class LineSource(DataSource):
         return SOURCE
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", step int" if "lines_per_step" in self.options else "")
 
     def streamReader(self, schema) -> LineReader:
         return LineReader(self.options)
 
 
 def line_stream(spark: SparkSession, index: str, lines_per_batch: int = LINES_PER_BATCH,
-                lines_per_task: int = LINES_PER_TASK) -> DataFrame:
-    """file_name, line_no (from 0) and line of the indexed files, file by file, ``lines_per_batch`` a micro-batch."""
+                lines_per_task: int = LINES_PER_TASK, lines_per_step: int | None = None) -> DataFrame:
+    """file_name, line_no (from 0) and line of the indexed files, file by file, ``lines_per_batch`` a micro-batch.
+
+    With ``lines_per_step`` also the ``step`` that a line belongs to: its micro-batch's runs of so many lines, from 0.
+    """
     spark.dataSource.register(LineSource)
-    return (spark.readStream.format(SOURCE).option("index", index).option("lines_per_batch", str(lines_per_batch))
-            .option("lines_per_task", str(lines_per_task)).load())
+    stream = (spark.readStream.format(SOURCE).option("index", index).option("lines_per_batch", str(lines_per_batch))
+              .option("lines_per_task", str(lines_per_task)))
+    return (stream.option("lines_per_step", str(lines_per_step)) if lines_per_step else stream).load()
 
 
 def indexed_files(spark: SparkSession, index: str) -> list[int]:

@@ -116,6 +116,33 @@ def test_progress_over_many_batches(spark, tmp_path):
     assert steps.n == 120 and (steps.ok, steps.bad) == (totals.ok, totals.bad)
 
 
+def test_batches_side_by_side(spark, tmp_path):
+    """Eight batches a micro-batch, stopped after the first is written: rows and progress as with one at a time."""
+    source, target, checkpoint = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    files = {"dev.jsonl": [_line(i) for i in range(75)], "train.jsonl": [_line(i) for i in range(75, 230)]}
+    for name, lines in files.items():
+        _write(source, name, lines)
+    seen = []
+
+    def lost(batch_id):
+        seen.append(batch_id)
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception):
+        run_line_import(spark, str(source), target, checkpoint, lines_per_batch=BATCH_LINES, after_batch=lost, at_once=8)
+    run_line_import(spark, str(source), target, checkpoint, lines_per_batch=BATCH_LINES, after_batch=seen.append, at_once=8)
+    assert seen == [0, 0, 8]
+    rows = spark.read.parquet(f"{target}/lines").select("line_no", "file_name", "batch_id", "reason").collect()
+    at = [r.line_no + (75 if r.file_name.endswith("train.jsonl") else 0) for r in rows]
+    assert sorted(at) == [i for i in range(230) if _line(i).strip()]
+    assert all(i // BATCH_LINES == r.batch_id for i, r in zip(at, rows))
+    steps = import_progress(spark, target).orderBy("batch_id").collect()
+    assert [(r.batch_id, r.lines_done) for r in steps] == [(i, min(230, 18 * (i + 1))) for i in range(13)]
+    for r in steps:
+        own = [x.reason for x in rows if x.batch_id == r.batch_id]
+        assert (r.success, r.fail) == (own.count(None), len(own) - own.count(None))
+
+
 def test_read_only(spark, tmp_path):
     with pytest.raises(ReadOnlyError):
         run_line_import(spark, str(tmp_path), f"{tmp_path}/out", f"{tmp_path}/c", read_only=True)
