@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrievo.llm import blobs
@@ -154,7 +154,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                                                       pa.array([tokens.view(np.int64)], pa.list_(pa.int64()))],
                                                      schema=_SETS)
 
-        sets = stage(docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id), "left_semi")
+        # most texts are dropped where they are read, so that no join deals them out
+        likely = docs.where(_likely(wanted.select(F.xxhash64("id")), F.xxhash64("doc_id")))
+        sets = stage(likely.join(wanted, likely.doc_id.eqNullSafe(wanted.id), "left_semi")
                      .mapInArrow(held, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
         shared = F.size(F.array_intersect("ta", "tb")).cast("long")
         return own.keep(stage(near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
@@ -168,19 +170,7 @@ def _members(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
     Most signatures are carried by one node alone. A filter of one hash, which cannot miss a shared one, drops nearly all
     of them where they are read, so that they are not shuffled to meet their hub.
     """
-    size = 1 << FILTER_BITS - 3
-
-    @giving_back
-    def fill(batches):
-        bits = np.zeros(size, np.uint8)
-        for batch in batches:
-            at = _filter_place(batch.column("signature").to_numpy())
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        yield from blobs.blocks_of(bits)
-
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(
-        blobs.gather(hubs.select("signature").mapInArrow(fill, blobs.SCHEMA), size, "uint8", np.bitwise_or))
+    shared = _filter(hubs.select("signature"))
 
     @giving_back
     def likely(batches):
@@ -189,19 +179,50 @@ def _members(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
             lists = batch.column("signatures")
             of = np.repeat(batch.column("node").to_numpy(), pc.list_value_length(lists).to_numpy())
             signature = lists.flatten().to_numpy()
-            at = _filter_place(signature)
-            own = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            own = np.flatnonzero(_passing(bits, signature))
             yield pa.RecordBatch.from_arrays([pa.array(signature[own]), pa.array(of[own])], names=["signature", "node"])
 
     return stage(nodes.select("node", "signatures").mapInArrow(likely, "signature long, node long")
                  .join(hubs, "signature"), "members")
 
 
-def _filter_place(signature: np.ndarray) -> np.ndarray:
-    mixed = signature.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _filter(keys: DataFrame):
+    """The broadcast filter of one column of longs: no key misses it, and few others pass."""
+    size = 1 << FILTER_BITS - 3
+
+    @giving_back
+    def fill(batches):
+        bits = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = _filter_place(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield from blobs.blocks_of(bits)
+
+    return keys.sparkSession.sparkContext.broadcast(
+        blobs.gather(keys.mapInArrow(fill, blobs.SCHEMA), size, "uint8", np.bitwise_or))
+
+
+def _filter_place(key: np.ndarray) -> np.ndarray:
+    mixed = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _passing(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = _filter_place(key)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def _likely(keys: DataFrame, key: Column) -> Column:
+    """Whether a row's ``key`` passes the filter of ``keys``. Only the key goes to Python; the row's text stays."""
+    shared = _filter(keys)
+
+    @F.arrow_udf("boolean")
+    def passes(key: pa.Array) -> pa.Array:
+        return pa.array(_passing(shared.value, key.to_numpy(zero_copy_only=False)))
+
+    return passes(key)
+
+
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes that share a signature, stand in different components and pass the bounds.
 
@@ -356,13 +377,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         gone = own.keep(stage(
             classes.join(kept, "component").where("not (doc_id <=> first_id and version = first_version)")
             .select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")).distinct(), "gone"))
-        version = F.xxhash64("text")
-        stays = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (version == gone.gone_version), "left_anti")
         repeated = own.keep(stage(
             classes.groupBy("doc_id", "version").agg(F.count("*").alias("rows")).where("rows > 1")
             .select(F.col("doc_id").alias("id"), F.col("version").alias("of")), "repeated"))
+        version = F.xxhash64("text")
+        # rows whose key is surely of neither table stay without a join, which would deal out their texts
+        likely = _likely(gone.union(repeated).select(F.xxhash64("gone_id", "gone_version")),
+                         F.xxhash64(F.col("doc_id").cast("long"), version))
+        others, some = docs.where(~likely), docs.where(likely)
+        stays = some.join(gone, some.doc_id.eqNullSafe(gone.gone_id) & (version == gone.gone_version), "left_anti")
         if repeated.isEmpty():
-            return stays
+            return others.unionByName(stays)
         again = stays.doc_id.eqNullSafe(repeated.id) & (version == repeated.of)
-        return stays.join(repeated, again, "left_anti").unionByName(
+        return others.unionByName(stays.join(repeated, again, "left_anti")).unionByName(
             stays.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

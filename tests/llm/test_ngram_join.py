@@ -118,3 +118,32 @@ def test_signatures_of_one_node_are_not_shuffled(spark):
     assert got == sorted((n % 50, n, n % 50, n % 50) for n in carried)
     none = _members(nodes, hubs.where("false"))
     assert none.count() == 0 and none.columns == ["signature", "node", "low", "hub"]
+
+
+def _shuffled_bytes(spark):
+    java = spark._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(
+        java(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), java()).iterator()
+    out = 0
+    while stages.hasNext():
+        out += stages.next().shuffleWriteBytes()
+    return out
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Also where the table of copies is too large to broadcast, a text without copies meets no join."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(1200)) for _ in range(60)]
+    rows = [*enumerate(texts), (100, texts[0]), (101, texts[1] + " more"), (2, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4).localCheckpoint()
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "-1")
+        one = one_of_each(docs, 5, 80)
+        before = _shuffled_bytes(spark)
+        got = one.collect()
+        assert _shuffled_bytes(spark) - before < 0.3 * sum(map(len, texts))
+    finally:
+        spark.conf.set(size, own)
+    assert sorted((r.doc_id, r.text) for r in got) == list(enumerate(texts))
