@@ -20,6 +20,8 @@ says; tokens of texts that are not among them meet their counts in a join.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,11 @@ _PREDICTORS = 6
 _GATES, _CONFIDENCE = 32, 12
 _MAP, _PLACES = 33, 258 + 32  # probability steps and places of the adaptive map
 _U = np.uint64
+_MULTIPLIER = _U(0x9E3779B97F4A7C15)
+_LEAD = 20               # bits of a hash by which the list is entered
+_LAST = (2 << TABLE_BITS) - 1
+_STEP_BITS = np.uint16(15)  # the last bits of an input hold its step
+_SCALE = 160             # steps of an input in a unit; 65535 against none is below 12.1
 
 
 class Code:
@@ -66,19 +73,30 @@ class Code:
         self.lengths = np.array(depth[:n])
         self.starts = np.cumsum(self.lengths) - self.lengths
         total = int(self.lengths.sum())
-        self.nodes, self.bits, self.depth = np.zeros(total, np.int32), np.zeros(total, np.int8), np.zeros(total, np.int8)
+        self.nodes, self.bits = np.zeros(total, np.int32), np.zeros(total, np.int8)
         leaf, at, level = np.arange(n), np.arange(n), np.array(depth)
         while len(leaf := leaf[parent[at] >= 0]):
             at = at[parent[at] >= 0]
             step = level[at] - 1
             place = self.starts[leaf] + step
-            self.nodes[place], self.bits[place], self.depth[place] = parent[at] - n, side[at], np.minimum(step, 127)
+            self.nodes[place], self.bits[place] = parent[at] - n, side[at]
             at = parent[at]
+        self.ways = self.nodes * 2 + self.bits
+
+    def along(self, symbols: np.ndarray):
+        """The ways to symbols, one after another: their lengths, and each bit's step, node and bit."""
+        length = self.lengths[symbols]
+        step = np.arange(int(length.sum()))
+        begin = np.cumsum(length) - length
+        way = self.ways.take(step + np.repeat(self.starts[symbols] - begin, length)).astype(np.int64)
+        step -= np.repeat(begin, length)
+        return length, step, way
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * _U(0x9E3779B97F4A7C15)
-    return x ^ (x >> _U(29))
+    x = x * _MULTIPLIER
+    x ^= x >> _U(29)
+    return x
 
 
 class Lexicon:
@@ -91,18 +109,25 @@ class Lexicon:
         self.tree = Code(np.append(often[:listed], rest + often[listed:].sum()))
         order = np.argsort(token)
         self.token, self.often = token[order], often[order]
+        self.first = np.searchsorted(self.token >> _U(64 - _LEAD), np.arange(1 << _LEAD, dtype=_U))
+        np.minimum(self.first, max(len(token) - 1, 0), out=self.first)
         self.leaf = np.where(order < listed, order, listed)  # the last leaf is the escape
         self.kind = np.zeros(len(token), np.int64)
         self.kind[np.searchsorted(self.token, kinds)] = np.arange(1, len(kinds) + 1)
         self.escape = listed
 
     def find(self, hashed: np.ndarray) -> np.ndarray:
-        """Places of the tokens, -1 for those not frequent."""
+        """Places of the tokens, -1 for those not frequent. The leading bits of a hash say where to start."""
         if not len(self.token):
             return np.full(len(hashed), -1)
-        place = np.searchsorted(self.token, hashed)
-        place[place == len(self.token)] = 0
-        return np.where(self.token[place] == hashed, place, -1)
+        place = self.first[(hashed >> _U(64 - _LEAD)).view(np.int64)]
+        late = np.flatnonzero(self.token[place] < hashed)
+        while len(late):
+            late = late[place[late] < len(self.token) - 1]
+            place[late] += 1
+            late = late[self.token[place[late]] < hashed[late]]
+        place[self.token[place] != hashed] = -1
+        return place
 
 
 class Before:
@@ -120,33 +145,51 @@ class Before:
         return Before(self.one[pick], self.two[pick], self.tail[pick])
 
 
+class Bits:
+    """Bits of words one after another: ``length`` bits of each of ``words``; ``at`` is twice a predictor's slot, plus the
+    bit."""
+
+    def __init__(self, words, length, bit, place, gate, at):
+        self.words, self.length, self.bit, self.place, self.gate, self.at = words, length, bit, place, gate, at
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Each bit's value, of one for every word of the whole."""
+        return np.repeat(values[self.words], self.length)
+
+
 class Spelled:
     """Bits of distinct words by what stands before; the end is the word of no bytes. ``leaf`` is a word's in the list,
-    ``kinds`` the last frequent word before; the bytes of listed words are not read."""
+    ``kinds`` the last frequent word before; the bytes of listed words are not read. ``parts`` are the bits in the list,
+    which have fewer predictors, and those of bytes."""
 
     def __init__(self, words: list[bytes], kinds: np.ndarray, leaf: np.ndarray, lexicon: Lexicon, code: Code,
                  before: Before | None = None):
         before = before or Before.nothing(len(words))
         own = np.flatnonzero(leaf == lexicon.escape)
-        bytes_ = self._bytes([words[i] for i in own], before[own], code)
-        tree, kind = lexicon.tree, kinds.astype(_U)
-        of = np.repeat(np.arange(len(words)), tree.lengths[leaf])
-        at = np.arange(len(of)) - np.repeat(np.cumsum(tree.lengths[leaf]) - tree.lengths[leaf], tree.lengths[leaf]) \
-            + tree.starts[leaf][of]
-        node = tree.nodes[at].astype(_U) + _U(1 << 40)
-        mixed = _mix(node)
-        listed = [node, mixed + kind[of] + _U(1), mixed + (_mix(before.one) + _U(3))[of], mixed + (_mix(before.two) + _U(5))[of]]
-        depth = np.minimum(tree.depth[at], 31).astype(np.int64)
-        slots = [*[_slot(c, i) for i, c in enumerate(listed)], *[np.zeros(len(of), np.int64)] * (_PREDICTORS - len(listed))]
-        self.parts = [(0, len(of), len(listed)), (len(of), len(of) + len(bytes_["bit"]), _PREDICTORS)]
-        self.bit = np.concatenate([tree.bits[at], bytes_["bit"]]).astype(np.int64)
-        self.word = np.concatenate([of, own[bytes_["word"]]])
-        self.place = np.concatenate([258 + depth, bytes_["node"]])
-        self.gate = np.concatenate([24 + np.minimum(depth // 2, 7), bytes_["gate"]])
-        self.slots = [np.concatenate(p) for p in zip(slots, bytes_["slots"])]
+        self.parts = [self._listed(leaf, kinds, before, lexicon.tree),
+                      self._bytes([words[i] for i in own], own, before[own], code)]
+        self.count = sum(len(p.bit) for p in self.parts)
+
+    @property
+    def word(self) -> np.ndarray:
+        return np.concatenate([np.repeat(p.words, p.length) for p in self.parts])
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        """Slots of all bits by predictor, 0 where it has none."""
+        none = np.zeros(len(self.parts[0].bit), np.int64)
+        return [np.concatenate([p.at[i] >> 1 if i < len(p.at) else none for p in self.parts]) for i in range(_PREDICTORS)]
+
+    @staticmethod
+    def _listed(leaf: np.ndarray, kinds: np.ndarray, before: Before, tree: Code) -> Bits:
+        length, step, way = tree.along(leaf)
+        contexts = [kinds.astype(_U) + _U(1), _mix(before.one) + _U(3), _mix(before.two) + _U(5)]
+        depth = np.minimum(step, 31)
+        return Bits(np.arange(len(leaf)), length, (way & 1).astype(np.int8), depth + 258, np.minimum(depth >> 1, 7) + 24,
+                    [way & _LAST, *[_at(_mix(c) + _U(i), length, way) for i, c in enumerate(contexts, 1)]])
 
     @staticmethod
-    def _bytes(words: list[bytes], running: Before, code: Code) -> dict:
+    def _bytes(words: list[bytes], own: np.ndarray, running: Before, code: Code) -> Bits:
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         starts = np.cumsum(lengths) - lengths
         symbols = np.full(lengths.sum(), STOP, np.int64)
@@ -172,18 +215,22 @@ class Spelled:
         total = np.cumsum(steps, dtype=_U)
         prefix = total - steps - (total - steps)[starts][word] + place.astype(_U) if len(words) else total
         context += [prefix, _mix(prefix + _U(11)) + _mix(running.one)[word]]
-        count = code.lengths[symbols]
-        of = np.repeat(np.arange(len(symbols)), count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + code.starts[symbols][of]
-        node = code.nodes[at].astype(_U) + _U(1)
-        return {"bit": code.bits[at], "node": code.nodes[at].astype(np.int64), "word": word[of],
-                "slots": [_slot(_mix(c + _U(97 * i))[of] + node * _U(0xC2B2AE3D27D4EB4F), i) for i, c in enumerate(context)],
-                "gate": np.minimum(place[of], 5) * 4 + np.minimum(code.depth[at], 3).astype(np.int64)}
-
-
-def _slot(context: np.ndarray, predictor: int) -> np.ndarray:
-    """Slot 0 is kept empty: a predictor that has nothing to say."""
-    return np.maximum(_mix(context + _U(predictor)) >> _U(64 - TABLE_BITS), 1).astype(np.int64)
+        length, step, way = code.along(symbols)
+        upto = np.append(0, np.cumsum(length))
+        gate = np.repeat(np.minimum(place, 5) * 4, length)
+        gate += np.minimum(step, 3)
+        return Bits(own, upto[starts + lengths] - upto[starts], (way & 1).astype(np.int8), way >> 1, gate,
+                    [_at(_mix(c + _U(97 * i)) + _U(i), length, way) for i, c in enumerate(context)])
+
+
+def _at(context: np.ndarray, length: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """Twice the slot of each bit, plus the bit. A context's hash says where its tree starts in the table; nodes follow
+    in the order of the tree, so that the upper ones, which most ways pass, stand side by side."""
+    start = context * _MULTIPLIER >> _U(64 - TABLE_BITS) << _U(1)
+    out = np.repeat(start.view(np.int64), length)
+    out += way
+    out &= _LAST
+    return out
 
 
 def _inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +249,21 @@ def _map_place(place: np.ndarray, x: np.ndarray) -> np.ndarray:
     return place * _MAP + np.clip(np.rint(x * 2) + _MAP // 2, 0, _MAP - 1).astype(np.int64)
 
 
+def new_table() -> np.ndarray:
+    """Counts by predictor, slot and bit, one after another."""
+    return np.zeros(_PREDICTORS << TABLE_BITS + 1, np.uint32)
+
+
+def count_into(table: np.ndarray, s: Spelled, often: np.ndarray) -> None:
+    """Add the bits of words that stand ``often``."""
+    by = table.reshape(_PREDICTORS, -1)
+    often = often.astype(np.uint32)
+    for part in s.parts:
+        times = part.spread(often)
+        for i, at in enumerate(part.at):
+            np.add.at(by[i], at, times)
+
+
 class Model:
     """Counts, weights and map: everything that a text's score needs. Its size is fixed."""
 
@@ -219,23 +281,9 @@ class Model:
         self.map = np.zeros((_PLACES * _MAP, 3))  # zeros, ones, and the sum of what was predicted
         self._ready = None
 
-    def _stretch(self, s: Spelled, pick, predictors: int, weights, without: bool = False):
-        """What the predictors say, their steps, the gates and the weighted sum; ``without`` the bit's own occurrence."""
-        inputs, steps, gate, bit = [], [], s.gate[pick], s.bit[pick]
-        ready = self._tables(without)
-        total = np.zeros(len(bit), np.float32)
-        for i in range(predictors):
-            slot = s.slots[i][pick]
-            if without:
-                slot = slot * 2 + bit
-            x, step = ready[i][0][slot], ready[i][1][slot]
-            total += weights[i, gate, step].astype(np.float32) * x
-            inputs.append(x)
-            steps.append(step)
-        return inputs, steps, gate, total
-
     def _tables(self, without: bool) -> list:
-        """Input and step of every slot; ``without``: of every slot and bit, less one occurrence of that bit."""
+        """Input of every slot in 12 bits, its step in the last four; ``without``: of every slot and bit, less one occurrence of that
+        bit."""
         if self._ready is None or self._ready[0] != without:
             made = []
             for n in self.counts:
@@ -243,28 +291,49 @@ class Model:
                 if without:
                     zeros, ones = (np.column_stack([np.maximum(zeros - 1, 0), zeros]).ravel(),
                                    np.column_stack([ones, np.maximum(ones - 1, 0)]).ravel())
-                made.append([c.astype(k) for c, k in zip(_inputs(zeros, ones), (np.float32, np.uint8))])
+                x, step = _inputs(zeros, ones)
+                made.append((np.rint(x * _SCALE) + 2048).astype(np.uint16) << 4 | step.astype(np.uint16))
             self._ready = (without, made)
         return self._ready[1]
 
+    @staticmethod
+    def _weighed(ready: list, at: list, gate: np.ndarray, weights: np.ndarray):
+        """What the predictors say, where their weights are, and the weighted sum."""
+        inputs, where, total = [], [], np.zeros(len(gate), np.float32)
+        gate = gate * _CONFIDENCE
+        for table, own, weight in zip(ready, at, weights):
+            x = table.take(own)
+            place = (x & _STEP_BITS) + gate
+            x = (x >> np.uint16(4)).astype(np.float32)
+            x -= np.float32(2048)
+            x *= np.float32(1 / _SCALE)
+            total += weight.take(place) * x
+            inputs.append(x)
+            where.append(place)
+        return inputs, where, total
+
     def learn(self, s: Spelled, often: np.ndarray, weights: np.ndarray, tally: np.ndarray) -> None:
-        """One online pass over the bits; a word that stands often counts by the root of how often, at most tenfold."""
-        times_of = np.minimum(np.sqrt(often), 10)
-        size = _GATES * _CONFIDENCE
-        for first, last, predictors in s.parts:
-            order = np.random.default_rng(last).permutation(last - first) + first
-            for at in range(0, len(order), BATCH):
-                pick = order[at:at + BATCH]
-                inputs, steps, gate, total = self._stretch(s, pick, predictors, weights, True)
-                p, times = _squash(total), times_of[s.word[pick]]
-                error = (s.bit[pick] - p) * times
-                for i in range(predictors):
-                    where = gate * _CONFIDENCE + steps[i]
-                    slope = np.bincount(where, error * inputs[i], size) / np.sqrt(np.bincount(where, times, size) + 100)
-                    weights[i] += RATE * slope.reshape(_GATES, _CONFIDENCE)
-                where = _map_place(s.place[pick], total)
-                for column, value in enumerate((times * (1 - s.bit[pick]), times * s.bit[pick], times * p)):
-                    tally[:, column] += np.bincount(where, value, len(tally))
+        """One online pass over the bits; a word that stands often counts by the root of how often, at most tenfold.
+
+        Words come in the order of their hashes, which is as good as a random one.
+        """
+        times_of = np.minimum(np.sqrt(often), 10).astype(np.float32)
+        size, ready = _GATES * _CONFIDENCE, self._tables(True)
+        for part in s.parts:
+            times_all, sums = part.spread(times_of), np.zeros(len(part.bit), np.float32)
+            for at in range(0, len(part.bit), BATCH):
+                pick = slice(at, at + BATCH)
+                bit, times = part.bit[pick], times_all[pick]
+                now = weights.astype(np.float32).reshape(_PREDICTORS, size)
+                inputs, where, total = self._weighed(ready, [a[pick] for a in part.at], part.gate[pick], now)
+                error = (bit - _squash(total)) * times
+                for weight, x, place in zip(weights, inputs, where):
+                    slope = np.bincount(place, error * x, size) / np.sqrt(np.bincount(place, minlength=size) + 100)
+                    weight += RATE * slope.reshape(_GATES, _CONFIDENCE)
+                sums[pick] = total
+            where = _map_place(part.place, sums)
+            tally[:, :2] += np.bincount(where * 2 + part.bit, times_all, 2 * len(tally)).reshape(-1, 2)
+            tally[:, 2] += np.bincount(where, times_all * _squash(sums), len(tally))
 
     def bits(self, s: Spelled, words: int) -> np.ndarray:
         """Bits that each distinct word takes."""
@@ -272,15 +341,20 @@ class Model:
         n = self.map
         seen = n[:, 0] + n[:, 1]
         shift = np.log((n[:, 1] + 5) / (n[:, 0] + 5)) - np.log((n[:, 2] + 5) / (seen - n[:, 2] + 5))
-        shift = shift * seen / (seen + 200)
-        for first, last, predictors in s.parts:
-            for at in range(first, last, 1 << 16):
-                pick = slice(at, min(at + (1 << 16), last))
-                total = self._stretch(s, pick, predictors, self.weights)[3].astype(np.float64)
-                refined = total + shift[_map_place(s.place[pick], total)]
-                own = np.where(s.bit[pick] == 1, refined, -refined)
-                out += np.bincount(s.word[pick], np.logaddexp(0, -own) / np.log(2), words)
-        return out
+        shift = (shift * seen / (seen + 200)).astype(np.float32)
+        ready, weights = self._tables(False), self.weights.astype(np.float32).reshape(_PREDICTORS, -1)
+        for part in s.parts:
+            if not len(part.bit):
+                continue
+            cost = np.empty(len(part.bit))
+            for at in range(0, len(part.bit), BATCH):
+                pick = slice(at, at + BATCH)
+                total = self._weighed(ready, [a[pick] >> 1 for a in part.at], part.gate[pick], weights)[2]
+                total += shift.take(_map_place(part.place[pick], total))
+                total *= 1 - 2 * part.bit[pick]  # the stretched probability of the other bit
+                cost[pick] = np.maximum(total, 0) + np.log(1 + np.exp(-np.abs(total)))
+            out[part.words] += np.add.reduceat(cost, np.cumsum(part.length) - part.length)  # all have bits
+        return out / np.log(2)
 
 
 def is_training(doc_id: Column) -> Column:
@@ -296,7 +370,10 @@ class _Slice:
         self.starts, self.ends, rows = spans(self.data, borders, SPACED)
         self.n, self.words = part.num_rows, len(rows)
         self.rows = np.append(rows, np.arange(self.n))
-        self.hashed = np.append(hashes(self.data, self.starts, self.ends), np.full(self.n, _END_HASH))
+
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        return np.append(hashes(self.data, self.starts, self.ends), np.full(self.n, _END_HASH))
 
     def distinct(self, lexicon: Lexicon):
         """Each token's place in the lexicon, and which of the words that differ by themselves or by what stands before
@@ -315,10 +392,12 @@ class _Slice:
         key = _mix(self.hashed + _mix(one)) + _mix(two + _U(1)) * _U(0xA0761D6478BD642F) + frequent.astype(_U)
         _, pick, which = np.unique(key, return_index=True, return_inverse=True)
         leaf = np.append(lexicon.leaf, lexicon.escape)[place[pick]]
-        raw, spelled = self.data.tobytes(), leaf == lexicon.escape
-        a, b = (np.where(spelled, np.append(x, np.zeros(self.n, np.int64))[pick], 0).tolist() for x in (self.starts, self.ends))
-        return (place, which, [raw[x:y] for x, y in zip(a, b)], frequent[pick], leaf,
-                Before(one[pick], two[pick], self._tails(at[pick], one[pick] > 0)))
+        raw, own = self.data.tobytes(), np.flatnonzero(leaf == lexicon.escape)
+        a, b = (np.append(x, np.zeros(self.n, np.int64))[pick[own]].tolist() for x in (self.starts, self.ends))
+        words, tails = np.full(len(pick), b"", object), np.full((len(pick), TAIL), START)
+        words[own] = np.fromiter((raw[x:y] for x, y in zip(a, b)), object, len(own))
+        tails[own] = self._tails(at[pick[own]], one[pick[own]] > 0)
+        return place, which, words, frequent[pick], leaf, Before(one[pick], two[pick], tails)
 
     def _tails(self, at: np.ndarray, there: np.ndarray) -> np.ndarray:
         out = np.full((len(at), TAIL), START)
@@ -331,7 +410,8 @@ class _Slice:
     def spelled(self, lexicon: Lexicon, code: Code):
         """``place`` and ``which`` of ``distinct``, and its words in runs: their bits and first and last number."""
         place, which, words, kinds, leaf, before = self.distinct(lexicon)
-        size = np.array([len(w) for w in words]) + 8
+        size, own = np.full(len(words), 8), np.flatnonzero(leaf == lexicon.escape)
+        size[own] += np.fromiter(map(len, words[own]), np.int64, len(own))
 
         def runs():
             for a, b in _chunks(size):
@@ -400,12 +480,10 @@ def fit(train: DataFrame, lexicon: Lexicon):
 
     def count(batches):
         code, lexicon = sent.value
-        table = np.zeros(_PREDICTORS * size * 2, np.uint32)
+        table = new_table()
         for _, own in _slices(batches):
             for s, often in spelled(own, code, lexicon):
-                times = often[s.word]
-                for i in range(_PREDICTORS):
-                    np.add.at(table, i * size * 2 + s.slots[i] * 2 + s.bit, np.where(s.slots[i] > 0, times, 0).astype(np.uint32))
+                count_into(table, s, often)
         yield from blobs.blocks_of(table)
 
     table = blobs.gather(train.mapInArrow(count, blobs.SCHEMA), _PREDICTORS * size * 2, "uint32",
@@ -420,7 +498,7 @@ def fit(train: DataFrame, lexicon: Lexicon):
         for _, own in _slices(batches):
             for s, often in spelled(own, model.code, lexicon):
                 model.learn(s, often, weights, tally)
-                seen += len(s.bit)
+                seen += s.count
         if seen:  # weights go in by the number of bits that made them
             yield from blobs.blocks_of(np.concatenate([weights.ravel() * seen, tally.ravel(), [seen]]))
 

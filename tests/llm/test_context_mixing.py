@@ -81,3 +81,30 @@ def test_contexts_reach_across_the_space():
     same = [(s.slots[i][a] == s.slots[i][b]) for i in range(6)]
     assert same[0].all() and same[4].all() and not same[5][1:].any()
     assert not same[1][:2].all() and not same[3][0]
+
+
+def test_bits_are_the_mixed_ones():
+    """Listed words have fewer predictors; what the model says is what its counts and weights make, one bit at a time."""
+    rng = np.random.default_rng(3)
+    token = np.sort(rng.integers(1, 1 << 62, 50).astype(np.uint64))
+    lexicon, code = Lexicon(token, np.full(50, 9), 5), Code(rng.integers(0, 99, 258))
+    asked = np.append(token[::3], rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    plain = [int(np.flatnonzero(token == t)[0]) if t in token else -1 for t in asked]
+    assert lexicon.find(asked).tolist() == plain
+    words = [b"", b"nul\0", b"nul", b"listed", b"also"]
+    s = Spelled(words, np.array([0, 1, 2, 3, 0]), np.array([50, 50, 50, 7, 8]), lexicon, code)
+    assert [len(p.at) for p in s.parts] == [4, 6] and s.count == len(s.word) == sum(len(p.bit) for p in s.parts)
+    model = Model(code, rng.integers(0, 3000, (6, 1 << 20, 2)).astype(np.uint32))
+    want = np.zeros(len(words))
+    for part in s.parts:
+        for j, word in enumerate(np.repeat(part.words, part.length)):
+            total = 0
+            for i, at in enumerate(part.at):
+                assert at[j] & 1 == part.bit[j]
+                zeros, ones = model.counts[i, at[j] >> 1].astype(float)
+                step = min(int(math.log2(zeros + ones + 1)), 11)
+                total += model.weights[i, part.gate[j], step] * math.log((ones + 0.4) / (zeros + 0.4))
+            want[word] += math.log2(1 + math.exp(-total if part.bit[j] else total))
+    assert np.allclose(model.bits(s, len(words)), want, rtol=0.01)
+    both = Model(code, np.zeros((6, 1 << 20, 2), np.uint32)).bits(s, len(words))
+    assert np.allclose(both, np.bincount(s.word, minlength=len(words)))
