@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from retrievo.functions.text import bm25_tokenize, clean_text
+from retrievo.functions.text import bm25_tokenize, clean_text, let
 
 
 def term_bucket(term: Column, dim: int) -> Column:
@@ -16,12 +16,17 @@ def term_bucket(term: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
 
 
-def hashed_embedding(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = 64) -> DataFrame:
+def hashed_embedding(df: DataFrame, text: str = "text", out: str = "embedding", dim: int = 64,
+                     every_text: bool = False) -> DataFrame:
     """Add the unit vector of log(1 + count) per hashed term; null for text without terms.
 
-    The default embedder: like any other it takes a table and returns it with one more column.
+    The default embedder: like any other it takes a table and returns it with one more column. With ``every_text`` a text
+    without terms is one term, and null is the empty text, so that each has a vector as a model would give.
     """
-    hashed = df.withColumn("_buckets", F.transform(bm25_tokenize(F.col(text)), lambda t: term_bucket(t, dim)))
+    terms = bm25_tokenize(F.col(text))
+    if every_text:
+        terms = let(terms, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.coalesce(F.col(text), F.lit("")))))
+    hashed = df.withColumn("_buckets", F.transform(terms, lambda t: term_bucket(t, dim)))
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,16 +45,22 @@ def hashed_embedding(df: DataFrame, text: str = "text", out: str = "embedding",
     return hashed.mapInArrow(weigh, schema)
 
 
+def every_text_embedding(df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
+    """``hashed_embedding`` that gives every text a vector."""
+    return hashed_embedding(df, text, out, every_text=True)
+
+
 def dedupe_embed(df: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] = hashed_embedding,
                  text: str = "text", out: str = "embedding") -> DataFrame:
     """Embed each distinct text once and attach the vector to every row that holds the text.
 
-    Rows meet their vector by the text's hash. The distinct side has one row per hash, so a text that fills a third of
-    the table is split by the adaptive skew join.
+    Rows meet their vector by the text's hash; null texts have the vector of null. The distinct side has one row per hash,
+    so a text that fills a third of the table is split by the adaptive skew join.
     """
     keyed = df.withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
     once = embed(keyed.dropDuplicates(["_key"]).select("_key", F.col(text).alias("_text")), "_text", out)
-    return keyed.join(once.drop("_text"), "_key", "left").drop("_key")
+    vectors = once.select(F.col("_key").alias("_once"), out)
+    return keyed.join(vectors, F.col("_key").eqNullSafe(F.col("_once")), "left").drop("_key", "_once")
 
 
 MODEL_BATCH = 18  # texts that a model is asked for at once
