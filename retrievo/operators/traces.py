@@ -118,12 +118,14 @@ def stop_reasons(steps: DataFrame, max_steps: int = MAX_STEPS, timeout_ms: int =
         F.coalesce("total_latency_ms", F.lit(0)).alias("total_latency_ms"))
 
 
-def subtasks(df: DataFrame, key: str, task: str = "task", response: str = "response", n: int = MAX_SUBTASKS
-             ) -> DataFrame:
-    """The first ``n`` subtasks of a plan; the whole task where the plan names none."""
+def subtasks(df: DataFrame, key: str, task: str = "task", response: str = "response", n: int = MAX_SUBTASKS,
+             blank: bool = False) -> DataFrame:
+    """The first ``n`` subtasks of a plan; the whole task where the plan names none. A blank plan or task gives nothing,
+    unless ``blank`` says that only a missing one does."""
     found = F.filter(F.transform(F.regexp_extract_all(F.col(response), F.lit(SUBTASK_PATTERN), 2), strip),
                      lambda s: s != "")
-    whole = F.when(~is_blank(F.col(response)) & ~is_blank(F.col(task)), F.array(F.col(task))).otherwise(
+    missing = F.isnull if blank else is_blank
+    whole = F.when(~missing(F.col(response)) & ~missing(F.col(task)), F.array(F.col(task))).otherwise(
         F.array().cast("array<string>"))
     return df.select(key, F.posexplode(F.slice(F.when(F.size(found) > 0, found).otherwise(whole), 1, n))
                      .alias("_i", "subtask")).select(key, (F.col("_i") + 1).alias("index"), "subtask")

@@ -39,3 +39,7 @@ def test_embed_cache_runs(spark, odd_dir):
 
 def test_embed_dedupe(spark, odd_dir):
     same(spark, odd_dir, "embed_dedupe")
+
+
+def test_subtasks(spark, odd_dir):
+    same(spark, odd_dir, "subtasks")
