@@ -23,14 +23,18 @@ _BODY_SQL = f"CASE doc_id % {len(KINDS)} " + " ".join(
 _FILES_SQL = f"SELECT doc_id, {_NAME} AS file_name, {_TYPE} AS file_type, {_BODY_SQL} AS body FROM documents"
 
 
+FOLDERS = 1024  # that a table's files are dealt over
+
+
 def _written(spark, sf_dir) -> str:
-    """The folder with one file for each document; its shape follows from its id."""
+    """The folder with one file for each document, in folders below it; its shape follows from its id."""
     body, text = F.col("text"), F.col("text")
     for i, kind in enumerate(KINDS[:5]):
         shaped = d.mixed(text) if kind == "mixed" else d.shaped(text, kind)
         body = F.when(F.col("doc_id") % len(KINDS) == i, shaped).otherwise(body)
     folder = f"{new_stage_path(spark, 'files')}/in"
-    write_text_files(table(spark, sf_dir, "documents").select(F.expr(_NAME).alias("file_name"), body.alias("text")), folder)
+    write_text_files(table(spark, sf_dir, "documents").select(F.expr(_NAME).alias("file_name"), body.alias("text")), folder,
+                     folders=FOLDERS)
     return folder
 
 

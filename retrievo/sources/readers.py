@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from retrievo.functions.formats import structured_text
 from retrievo.functions.text import is_blank, strip
+from retrievo.sources.files import read_files
 
 CHAT_SCHEMA = "messages array<struct<role:string,content:string>>, _corrupt string"
 DEFAULT_CATEGORY = "uncategorized"
@@ -23,13 +24,11 @@ def document_text(kind: Column, raw: Column) -> Column:
 
 
 def read_raw_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """One row per UTF-8 file as it is: doc_id, file_name, file_type, raw. Empty files are not listed."""
-    # many small files: whole files as bytes open at a third of the cost of the text reader's
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter("length > 0")
-             .select(F.col("content").cast("string").alias("raw"), F.col("_metadata.file_name").alias("file_name"),
-                     F.col("_metadata.file_path").alias("_path")))
-    return files.select(F.sha2(F.col("_path").cast("binary"), 256).alias("doc_id"), "file_name",
-                        file_type(F.col("file_name")).alias("file_type"), "raw")
+    """One row per UTF-8 file as it is, in folders below the path too: doc_id, file_name, file_type, raw. Empty files are
+    not listed. The driver holds no file's name."""
+    return read_files(spark, path, pattern).select(
+        F.sha2(F.col("path").cast("binary"), 256).alias("doc_id"), "file_name",
+        file_type(F.col("file_name")).alias("file_type"), F.col("content").cast("string").alias("raw"))
 
 
 def read_text_documents(spark: SparkSession, path: str, pattern: str = "*.{txt,md,TXT,MD}") -> DataFrame:
