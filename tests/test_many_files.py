@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from retrievo.operators import ingestion
 from retrievo.sources import readers
 from retrievo.sources.files import read_files, write_text_files
 
@@ -36,3 +37,10 @@ def test_the_driver_lists_no_files(spark, folder):
     """No file index in the plan: it would hold a status for each file."""
     read = readers.read_raw_documents(spark, folder)
     assert read.inputFiles() == [] and "binaryFile" not in read._jdf.queryExecution().toString()
+
+
+def test_ingest_of_folders_below(spark, folder, tmp_path):
+    chunks, status = ingestion.ingest_index(readers.read_raw_documents(spark, folder), str(tmp_path / "out"))
+    assert status.filter("processing_status = 'COMPLETED' AND chunk_count = 1").count() == 305
+    assert {r.file_name for r in status.collect()} == {f"d{i}.txt" for i in range(300)} | {"top.txt"} | set(ODD)
+    assert {r.chunk_id: r.content for r in chunks.collect()}["d7.txt#0"] == "text 7" and chunks.count() == 305
